@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_benchmark_decontamination(spark, sf_dir):
+    from . import decontaminate
+
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_classifier(spark, sf_dir):
     from . import quality
 
@@ -20,4 +26,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from . import decontaminate
+
+    return {"op6_benchmark_decontamination": decontaminate.ORACLE}

@@ -157,3 +157,24 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     begin = np.cumsum(lengths) - lengths
     return np.arange(total) - np.repeat(begin - starts, lengths)
+
+
+def append_columns(df, fields: dict, make):
+    """df with columns added by make(record batch) -> arrays, one for each of fields.
+
+    fields: name -> Spark type. A column of df that has one of these names is
+    replaced; all others, whatever they are called, pass through.
+    """
+    from pyspark.sql import types as T
+
+    ship(df.sparkSession)
+    keep = [c for c in df.columns if c not in fields]
+    kept = df.select(*[f"`{c}`" for c in keep]) if keep != df.columns else df
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(k, v) for k, v in fields.items()]])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names)
+
+    return kept.mapInArrow(run, schema)
