@@ -21,11 +21,17 @@ def op9_quality_classifier(spark, sf_dir):
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_jaccard_join(spark, sf_dir):
+    from . import ngram_join
+
+    return ngram_join.JaccardJoin(table(spark, sf_dir, "documents"), n=4, num=85, den=100).membership()
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    from . import decontaminate
+    from . import decontaminate, ngram_join
 
-    return {"op6_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op6_benchmark_decontamination": decontaminate.ORACLE, "op10_ngram_jaccard_join": ngram_join.ORACLE}
