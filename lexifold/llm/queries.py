@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    from . import suffix_dedup
+
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     from . import decontaminate
 
