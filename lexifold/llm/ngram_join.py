@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .shared import components, cut, free
+from .shared import components, cut
 
 U = np.uint64
 HASH_BITS = 54
@@ -305,7 +305,6 @@ class JaccardJoin:
             self._sets = cut(self.sets())
             self._classes = cut(self._sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id")).where("class_id is not null"))
             shared = cut(self.shared())
-            free(self.spark)
             tried = cut(self._pairs(shared, False))
             links = cut(self._verified(tried))
             label = components(links)

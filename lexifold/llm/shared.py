@@ -18,13 +18,12 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)
-
-
-def free(spark) -> None:
-    """Lets Spark delete shuffle files that no plan refers to any more."""
+    out = df.checkpoint(eager=True)
+    del df
+    # Spark deletes the shuffle files of plans that nothing refers to any more, once the JVM has seen that.
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    context._jvm.System.gc()
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
