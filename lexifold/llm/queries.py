@@ -21,6 +21,12 @@ def op6_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_output(spark, sf_dir):
+    from . import token_output
+
+    return token_output.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark, sf_dir):
     from . import quality
 

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the folder in spark.checkpoint.dir.
+def shared_folder(spark) -> str:
+    """The folder in spark.checkpoint.dir; only where that is unset (as in tests) one below the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints").rstrip("/")
 
-    The cluster names that folder; only where it is unset (as in tests) one
-    below the warehouse is taken.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        context.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint(eager=True)
     del df
     # Spark deletes the shuffle files of plans that nothing refers to any more, once the JVM has seen that.
