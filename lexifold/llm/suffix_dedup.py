@@ -8,11 +8,13 @@ doc_id come before all others.
 Every string of `length` bytes has an anchor, the leftmost least hash among its
 grams of 20 bytes, so equal strings have equal anchors. Consecutive starts with
 one anchor form a run. Runs whose anchor occurs once cannot repeat and go no
-further (only hashes and places are shuffled for this). The others travel, with
-their bytes, to the partition of their anchor's hash; of equal runs in a task
-just the first does, the rest being repeats. There a suffix array of all runs is
-built by two-stage sorting (suffix_array.py), neighbours that share `length`
-bytes are joined to classes, and all of a class but its earliest are repeats.
+further (only hashes and places are shuffled for this). Before anything is
+sorted, equal rows are brought together: of equal whole documents, and of equal
+whole runs, the earliest stands for all. The distinct runs travel, with their
+bytes, to the partition of their anchor's hash. There a suffix array of all of
+them is built by two-stage sorting (suffix_array.py), neighbours that share
+`length` bytes are joined to classes, and all of a class but its earliest are
+repeats.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,90 +97,95 @@ def _merge(start: np.ndarray, end: np.ndarray):
     return start[new], end[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(end) - 1]))]
 
 
+def _originals(batch):
+    return pc.if_else(batch.column("copy"), "", batch.column("text"))
+
+
 def _find_runs(length):
+    """Every run as a row; of equal ones in a block just the first, the others as repeated intervals."""
+
     def run(batches):
         order = _Order()
         for batch in batches:
             d = batch.column("d").to_numpy()
             sub = order.number(d)
-            for block in tb.blocks(batch.column("text")):
+            for block in tb.blocks(_originals(batch)):
                 doc, start, count, key = anchored_runs(block, length)
                 if not len(doc):
                     continue
-                # Runs whose anchor comes twice in this block are settled here: they need no partner
-                # elsewhere, and one row (count 0) tells the others that it occurs.
-                by = np.argsort(key, kind="stable")
-                k = key[by]
-                same = np.concatenate(([False], k[1:] == k[:-1]))
-                settled = np.zeros(len(key), bool)
-                settled[by] = same | np.concatenate((same[1:], [False]))
-                heads = by[np.concatenate((same[1:], [False])) & ~same]
+                a = block.off[doc] + start
+                whole = tb.span_hash(tb.prefix_sums(block.buf, tb.PLAIN), a, a + count + length - 1)
+                first = np.zeros(len(key), bool)
+                first[np.unique(whole, return_index=True)[1]] = True
                 row = block.rows.start + doc
-                route = np.where(settled, tb.mix(d[row].astype(U) + start.astype(U)), key)
-                cols = [
-                    np.concatenate((route, key[heads])).view(np.int64),
-                    np.concatenate((settled, np.zeros(len(heads), bool))),
-                    np.concatenate((d[row], np.zeros(len(heads), np.int64))),
-                    np.concatenate((sub[row], np.zeros(len(heads), np.int32))),
-                    np.concatenate((start, np.zeros(len(heads), np.int64))).astype(np.int32),
-                    np.concatenate((count, np.zeros(len(heads), np.int64))).astype(np.int32),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["route", "settled", "d", "sub", "start", "count"])
-
-    return run, "route long, settled boolean, d long, sub int, start int, count int"
-
-
-def _repeated(batches):
-    """Runs that are settled or whose route, the anchor's hash, has another row."""
-    for t in _whole_groups(batches, "route"):
-        route, settled, count = (t.column(c).to_numpy() for c in ("route", "settled", "count"))
-        a, b = _groups(route)
-        keep = settled.copy()
-        keep[tb.ranges(a, b - a)] = True
-        keep &= count > 0
-        yield from t.select(["d", "sub", "start", "count"]).filter(pa.array(keep)).to_batches()
+                yield _row_batch(key[first], whole[first], d[row[first]], sub[row[first]], start[first], count[first])
+                if not first.all():
+                    base = (row[~first] - block.rows.start) * (1 << 40) + start[~first]
+                    s, e = _merge(base, base + count[~first] + length - 1)
+                    row, s, e = block.rows.start + (s >> 40), s & ((1 << 40) - 1), e & ((1 << 40) - 1)
+                    yield _row_batch(tb.mix(d[row].astype(U) + s.astype(U)), np.zeros(len(s), U), d[row], sub[row], s, s - e)
+
+    return run, "route long, whole long, d long, sub int, start int, count int"
+
+
+def _row_batch(route, whole, d, sub, start, count):
+    """count: starts in the run; negative: a repeated interval of that many bytes."""
+    cols = [route.view(np.int64), whole.view(np.int64), d, sub, start.astype(np.int32), count.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["route", "whole", "d", "sub", "start", "count"])
+
+
+def _repeated(length):
+    """Runs whose route, the anchor's hash, has another row; of equal ones but the first as repeated intervals.
+
+    Sorted by (route, whole, d, sub, start).
+    """
+
+    def run(batches):
+        for t in _whole_groups(batches, "route"):
+            route, whole, count = (t.column(c).to_numpy() for c in ("route", "whole", "count"))
+            count = count.copy()
+            a, b = _groups(route)
+            keep = count < 0
+            keep[tb.ranges(a, b - a)] = True
+            equal = np.concatenate(([False], (route[1:] == route[:-1]) & (whole[1:] == whole[:-1]))) & (count > 0)
+            count[equal] = -(count[equal] + length - 1)
+            out = t.select(["d", "sub", "start"]).append_column("count", pa.array(count)).filter(pa.array(keep))
+            yield from out.to_batches()
+
+    return run, "d long, sub int, start int, count int"
 
 
 def _collect_runs(length):
+    """The bytes of each run with its anchor's hash; repeated intervals without bytes."""
+
     def run(batches):
         order = _Order()
-        seen: set[int] = set()
         for batch in batches:
             d = batch.column("d").to_numpy()
             sub = order.number(d)
             runs = batch.column("runs")
             flat, offs = runs.values, runs.offsets.to_numpy()
             r_sub, r_start, r_count = (flat.field(c).to_numpy() for c in ("sub", "start", "count"))
-            for block in tb.blocks(batch.column("text")):
-                sums = tb.prefix_sums(block.buf, tb.PLAIN)
+            for block in tb.blocks(_originals(batch)):
                 rows = np.arange(block.rows.start, block.rows.start + len(block))
                 n = offs[rows + 1] - offs[rows]
                 at, doc = tb.ranges(offs[rows], n), np.repeat(np.arange(len(block)), n)
                 mine = r_sub[at] == sub[rows[doc]]
                 at, doc = at[mine], doc[mine]
-                if not len(at):
-                    continue
-                by = np.lexsort((r_start[at], doc))
-                at, doc = at[by], doc[by]
                 start, count = r_start[at].astype(np.int64), r_count[at].astype(np.int64)
-                a = block.off[doc] + start
-                size = count + length - 1
-                whole = tb.span_hash(sums, a, a + size)
-                fresh = np.array([not (h in seen or seen.add(h)) for h in whole.tolist()], bool)
-                # equal runs after the first of the task: repeats, merged to whole intervals
-                old = ~fresh
+                old = count < 0
                 if old.any():
-                    base = (rows[doc[old]] - block.rows.start) * (1 << 40)
-                    s, e = _merge(base + start[old], base + start[old] + size[old])
-                    row = block.rows.start + (s >> 40)
-                    s, e = s & ((1 << 40) - 1), e & ((1 << 40) - 1)
-                    yield _run_batch(tb.mix(d[row].astype(U)).view(np.int64), d[row], sub[row], s, e - s, pa.nulls(len(row), pa.binary()))
-                at, doc, start, count, a, size = (x[fresh] for x in (at, doc, start, count, a, size))
-                if len(at):
+                    base = doc[old] * (1 << 40) + start[old]
+                    s, e = _merge(base, base - count[old])
+                    row, s, e = block.rows.start + (s >> 40), s & ((1 << 40) - 1), e & ((1 << 40) - 1)
+                    yield _run_batch(tb.mix(d[row].astype(U) + s.astype(U)).view(np.int64), d[row], sub[row], s, e - s, pa.nulls(len(row), pa.binary()))
+                doc, start, count = doc[~old], start[~old], count[~old]
+                if len(doc):
+                    a, size = block.off[doc] + start, count + length - 1
                     data = pa.Array.from_buffers(
                         pa.binary(), len(a), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.py_buffer(block.buf[tb.ranges(a, size)])]
                     )
-                    key = _anchor_keys(sums, block, a, count, length)
+                    key = _anchor_keys(tb.prefix_sums(block.buf, tb.PLAIN), block, a, count, length)
                     yield _run_batch(key.view(np.int64), d[rows[doc]], sub[rows[doc]], start, count, data)
 
     return run, "key long, d long, sub int, start int, count int, bytes binary"
@@ -255,32 +263,37 @@ def _sort_runs(length):
     return run, "d long, sub int, start long, end long"
 
 
-def _apply(batches):
-    order = _Order()
-    for batch in batches:
-        d = batch.column("d").to_numpy()
-        sub = order.number(d)
-        out: dict[str, list] = {"kept": [], "spans": [], "n_bytes": []}
-        for i, (text, found) in enumerate(zip(batch.column("text").fill_null("").to_pylist(), batch.column("found"))):
-            raw = text.encode()
-            spans = []
-            if found.is_valid and len(found.values):
-                mine = found.values.field("sub").to_numpy() == sub[i]
-                if mine.any():
-                    s, e = _merge(found.values.field("start").to_numpy()[mine], found.values.field("end").to_numpy()[mine])
-                    spans = list(zip(s.tolist(), e.tolist()))
-            at, kept = 0, []
-            for s, e in spans:
-                kept.append(raw[at:s])
-                at = e
-            kept.append(raw[at:])
-            out["kept"].append(b"".join(kept))
-            out["spans"].append([{"start": s, "end": e} for s, e in spans])
-            out["n_bytes"].append(len(raw))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out["kept"], pa.binary())],
-            ["doc_id", "n_bytes", "spans", "kept"],
-        )
+def _apply(length):
+    """Merges each document's repeated intervals and cuts them out."""
+
+    def run(batches):
+        order = _Order()
+        for batch in batches:
+            d = batch.column("d").to_numpy()
+            sub = order.number(d)
+            kept, spans, n_bytes = [], [], []
+            for i, (text, copy, found) in enumerate(zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), batch.column("found"))):
+                raw = text.encode()
+                mine = [(0, len(raw))] if copy and len(raw) >= length else []
+                if found.is_valid and len(found.values):
+                    own = found.values.field("sub").to_numpy() == sub[i]
+                    if own.any():
+                        s, e = _merge(found.values.field("start").to_numpy()[own], found.values.field("end").to_numpy()[own])
+                        mine = list(zip(s.tolist(), e.tolist()))
+                at, left = 0, []
+                for s, e in mine:
+                    left.append(raw[at:s])
+                    at = e
+                left.append(raw[at:])
+                kept.append(b"".join(left))
+                spans.append([{"start": s, "end": e} for s, e in mine])
+                n_bytes.append(len(raw))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("d"), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                ["d", "n_bytes", "spans", "kept"],
+            )
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -291,16 +304,24 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     tb.ship(docs.sparkSession)
-    dealt = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("d"), "doc_id", "text").repartition("d")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = keyed.repartition("d")
     in_order = lambda df: df.sortWithinPartitions("d", "text")
-    runs = in_order(dealt).select("d", "text").mapInArrow(*_find_runs(length))
-    again = runs.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated, "d long, sub int, start int, count int")
+    # whole documents that are copies of an earlier one
+    sums = keyed.select("d", F.md5(F.col("text").cast("binary")).alias("sum"))
+    least = sums.groupBy("sum").agg(F.min("d").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = sums.join(least, "sum").where("d > least").groupBy("d").agg(F.collect_set("sum").alias("copied"))
+    marked = dealt.join(copies, "d", "left").withColumn("copy", F.coalesce(F.array_contains("copied", F.md5(F.col("text").cast("binary"))), F.lit(False)))
+    marked = marked.select("d", "text", "copy")
+    runs = in_order(marked).mapInArrow(*_find_runs(length))
+    again = runs.repartition("route").sortWithinPartitions("route", "whole", "d", "sub", "start").mapInArrow(*_repeated(length))
     by_doc = again.groupBy("d").agg(F.collect_list(F.struct("sub", "start", "count")).alias("runs"))
-    moved = in_order(dealt.join(by_doc, "d")).select("d", "text", "runs").mapInArrow(*_collect_runs(length))
+    moved = in_order(marked.join(by_doc, "d")).select("d", "text", "copy", "runs").mapInArrow(*_collect_runs(length))
     found = moved.repartition("key").sortWithinPartitions("key", "d", "sub", "start").mapInArrow(*_sort_runs(length))
     removed = found.groupBy("d").agg(F.collect_list(F.struct("sub", "start", "end")).alias("found"))
-    joined = in_order(dealt.join(removed, "d", "left")).select("d", "doc_id", "text", "found")
-    return joined.mapInArrow(_apply, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    joined = in_order(marked.join(removed, "d", "left")).select("d", "text", "copy", "found")
+    out = joined.mapInArrow(_apply(length), "d long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.select(F.when(F.col("d") != FIRST, F.col("d")).alias("doc_id"), "n_bytes", "spans", "kept")
 
 
 def report(docs: DataFrame, length: int = 100) -> DataFrame:
