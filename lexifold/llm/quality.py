@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textblocks as tb
 from .labelled import held_out, training_rows
@@ -136,24 +136,14 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataF
 
     Columns of those names in docs are replaced; other columns stay as they are.
     """
-    tb.ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    fields = docs.select(*keep).schema
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        model = held.value
-        for batch in batches:
-            got = [model.score_block(b) for b in tb.blocks(batch.column("text"))]
-            s = np.concatenate(got) if got else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"]
-            )
-
-    from pyspark.sql import types as T
+    def make(batch):
+        got = [held.value.score_block(b) for b in tb.blocks(batch.column("text"))]
+        s = np.concatenate(got) if got else np.zeros(0)
+        return [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
 
-    schema = T.StructType([*fields.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*keep).mapInArrow(run, schema)
+    return tb.append_columns(docs, {"score": T.DoubleType(), "predicted": T.IntegerType()}, make)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
