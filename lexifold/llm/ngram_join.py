@@ -15,10 +15,14 @@ are left out as long as a set has enough filled partitions that the argument
 holds without them; else the set signs again under another hash, and under the
 last one with the empty ones too. Either set of a pair having enough suffices.
 
-Classes that share a signature are compared exactly (text against text). First
-each is compared with the smallest of its group; then, with the components that
-these links give, every pair of a group in different components. Pairs within
-one component need no comparison, as no component would change.
+Groups of classes with one signature are written once however many signatures
+they share. Of a group, first each class is compared with the smallest; then,
+with the components that these links give, all classes in different components
+(pairs within one would change no component). A pair is compared text against
+text, but only if its odd sketches allow it: a sketch has a bit for each cell of
+a hash of the domain, set if the set has an odd number of elements there, so two
+sets differ in at least as many elements as their sketches differ in bits. With
+two to four bits an element few pairs that are not similar enough remain.
 
 Null and wordless texts have the empty set and are linked with nothing. Texts
 with fewer than n words have all their words as one element. A document may
@@ -175,6 +179,49 @@ def _whole_groups(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
+def odd_sketches(hashes, first) -> pa.Array:
+    """A bit vector for each set: 2**j cells, j by size alone, a cell is 1 if it has an odd number of elements."""
+    n = np.diff(first)
+    log = np.maximum(6, np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64))
+    base = np.concatenate(([0], np.cumsum(1 << log)))
+    cell = (tb.mix(hashes + U(0xABCDEF)) & ((U(1) << log.astype(U)) - U(1))[np.repeat(np.arange(len(n)), n)]).astype(np.int64)
+    count = np.bincount(np.repeat(base[:-1], n) + cell, minlength=int(base[-1]))
+    bits = np.packbits((count & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(bits)])
+
+
+class Sketches:
+    """Distances of the odd sketches in a column; a larger one is folded to the other's cells."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        column = column.combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self.words = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view(U) if len(column) else np.zeros(0, U)
+        self.start, self.size = (off[:-1] - off[0]) // 8, np.diff(off) // 8
+
+    def _at(self, rows, width):
+        out = np.zeros((len(rows), width), U)
+        size = self.size[rows]
+        for s in np.unique(size):
+            mine = size == s
+            got = self.words[self.start[rows[mine]][:, None] + np.arange(s)]
+            out[mine] = np.bitwise_xor.reduce(got.reshape(len(got), s // width, width), axis=1)
+        return out
+
+    def differ(self, a, b) -> np.ndarray:
+        """Bits that the sketches of rows a[i] and b[i] differ in."""
+        out = np.zeros(len(a), np.int64)
+        width = np.minimum(self.size[a], self.size[b])
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)
+            step = max(1, (1 << 20) // int(w))
+            for at in range(0, len(rows), step):
+                r = rows[at : at + step]
+                out[r] = np.bitwise_count(self._at(a[r], w) ^ self._at(b[r], w)).sum(1)
+        return out
+
+
 class JaccardJoin:
     """The join of a table of documents with itself; similarity at least num / den on word n-grams."""
 
@@ -185,7 +232,7 @@ class JaccardJoin:
         self._linked = None
 
     def sets(self) -> DataFrame:
-        """(doc_id, n_shingles, set_key) of every row."""
+        """(doc_id, n_shingles, set_key, sketch) of every row."""
         n = self.n
 
         def run(batches):
@@ -193,11 +240,11 @@ class JaccardJoin:
                 for block in tb.blocks(batch.column("text")):
                     h, first = shingle_sets(block, n)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(block.rows.start, len(block)), pa.array(np.diff(first)), pa.array(_set_keys(h, first))],
-                        ["doc_id", "n_shingles", "set_key"],
+                        [batch.column("doc_id").slice(block.rows.start, len(block)), pa.array(np.diff(first)), pa.array(_set_keys(h, first)), odd_sketches(h, first)],
+                        ["doc_id", "n_shingles", "set_key", "sketch"],
                     )
 
-        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, set_key long")
+        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, set_key long, sketch binary")
 
     def signed(self) -> DataFrame:
         """(sig, set_key, size) of every set; a task signs equal sets once."""
@@ -218,41 +265,50 @@ class JaccardJoin:
         return self.docs.mapInArrow(run, "sig long, set_key long, size int")
 
     def shared(self) -> DataFrame:
-        """The rows of signed() whose signature at least two different sets have."""
+        """(grp, set_key, size): the different groups of at least two sets with one signature."""
 
         def run(batches):
             for t in _whole_groups(batches, "sig"):
                 sig, key, size = (t.column(c).to_numpy() for c in ("sig", "set_key", "size"))
-                if len(sig):
-                    first = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
-                    sig, key, size = sig[first], key[first], size[first]
-                    a, b = _groups(sig)
-                    at = tb.ranges(a, b - a)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(key[at]), pa.array(size[at])], ["sig", "set_key", "size"])
+                first = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
+                sig, key, size = sig[first], key[first], size[first]
+                a, b = _groups(sig)
+                at = tb.ranges(a, b - a)
+                name = tb.segment_sums(tb.mix(key[at].view(U)), np.concatenate(([0], np.cumsum(b - a))))
+                new = np.isin(np.arange(len(name)), np.unique(name, return_index=True)[1])
+                name, a, n = name[new], a[new], (b - a)[new]
+                at = tb.ranges(a, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n).view(np.int64)), pa.array(key[at]), pa.array(size[at])], ["grp", "set_key", "size"])
 
         dealt = self.signed().repartition("sig").sortWithinPartitions("sig", "set_key")
-        return dealt.mapInArrow(run, "sig long, set_key long, size int")
+        return dealt.mapInArrow(run, "grp long, set_key long, size int").distinct()
 
     def _pairs(self, rows: DataFrame, all_pairs: bool) -> DataFrame:
-        """(a, b): pairs of set keys from groups of equal sig. rows: sig, set_key, size and, with all_pairs, label."""
+        """(a, b): pairs of set keys in a group that may be similar enough.
+
+        rows: grp, set_key, size, sketch and, with all_pairs, label.
+        """
         num, den = self.bands.num, self.bands.den
 
         def run(batches):
-            for t in _whole_groups(batches, "sig"):
-                sig, key, size = (t.column(c).to_numpy() for c in ("sig", "set_key", "size"))
+            for t in _whole_groups(batches, "grp"):
+                grp, key, size = (t.column(c).to_numpy() for c in ("grp", "set_key", "size"))
                 size = size.astype(np.int64)
-                start, end = _groups(sig)
-                n = end - start
+                sketch = Sketches(t.column("sketch"))
+                start, end = _groups(grp)
                 if all_pairs:
                     label = t.column("label").to_numpy()
-                    runs = ((s, e) for s, e in zip(start, end) if (label[s:e] != label[s]).any())
+                    runs = ((s, e) for s, e in zip(start.tolist(), end.tolist()) if (label[s:e] != label[s]).any())
                     found = ((np.full(e - i - 1, i), np.arange(i + 1, e)) for s, e in runs for i in range(s, e - 1))
                 else:  # the smallest key of the group with each other one
-                    found = [(np.repeat(start, n - 1), tb.ranges(start + 1, n - 1))]
+                    n = end - start - 1
+                    found = [(np.repeat(start, n), tb.ranges(start + 1, n))]
                 for a, b in _chunks(found):
                     keep = den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])
                     if all_pairs:
                         keep &= label[a] != label[b]
+                    a, b = a[keep], b[keep]
+                    keep = sketch.differ(a, b) * (den + num) <= (den - num) * (size[a] + size[b])
                     x, y = np.minimum(key[a[keep]], key[b[keep]]), np.maximum(key[a[keep]], key[b[keep]])
                     if len(x):
                         order = np.lexsort((y, x))
@@ -260,8 +316,8 @@ class JaccardJoin:
                         new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
                         yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
 
-        columns = ["sig", "set_key", "size", *["label"] * all_pairs]
-        dealt = rows.select(*columns).repartition("sig").sortWithinPartitions("sig", "set_key")
+        columns = ["grp", "set_key", "size", "sketch", *["label"] * all_pairs]
+        dealt = rows.select(*columns).repartition("grp").sortWithinPartitions("grp", "set_key")
         return dealt.mapInArrow(run, "a long, b long").distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
@@ -303,8 +359,9 @@ class JaccardJoin:
         """(rows of sets(), classes (set_key, class_id), components (set_key, component)): each computed once."""
         if self._linked is None:
             self._sets = cut(self.sets())
-            self._classes = cut(self._sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id")).where("class_id is not null"))
+            self._classes = cut(self._sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch")).where("class_id is not null"))
             shared = cut(self.shared())
+            shared = cut(shared.join(self._classes.select("set_key", "sketch"), "set_key"))
             tried = cut(self._pairs(shared, False))
             links = cut(self._verified(tried))
             label = components(links)
