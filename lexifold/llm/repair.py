@@ -38,7 +38,7 @@ def _frequent(keys: np.ndarray, least: int, most: int) -> np.ndarray:
     return keys[at[keep]]
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, base: int, rounds: int = 8, least: int = 16, per_round: int = 4096):
+def compress(ids: np.ndarray, sizes: np.ndarray, base: int, rounds: int = 5, least: int = 16, per_round: int = 3225):
     """(rules, symbols, symbols per document). ids: below base; every document ends in an id of its own.
 
     sizes: ids per document, its end included, so none is 0. The end's symbol is `base`.

@@ -30,7 +30,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2
     held = spark.sparkContext.broadcast(read_tokenizer(tokenizer or default_path()))
 
     def run(batches):
-        encoder = WordEncoder(held.value)
+        encoder = WordEncoder.shared(held.value)
         part, shard = TaskContext.get().partitionId(), 0
         ids: list = []
         sizes: list = []

@@ -1,17 +1,27 @@
-"""Encoding with a public tokenizer, one call for each distinct word of a task.
+"""Encoding with a public tokenizer, one call for each distinct word of a worker.
 
-Holds for tokenizers that drop white space and never join what stands on both
-sides of it: there the ids of a text are those of its white-space-separated
-parts, one after the other.
+Holds for tokenizers that ignore the case of ASCII letters, drop white space,
+never join what stands on both sides of it, and always cut between an ASCII
+letter or digit and a mark of MARKS: there the ids of a text are those of its
+parts, one after the other. Marks that could belong to a special token, to a
+contraction or to a composed character are not in MARKS.
 """
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 
 from . import textblocks as tb
 
-MOST_WORDS = 1 << 20
+MOST_WORDS = 900_000
+MARKS = b'.,;:!?()"#$%&*'
+SEPARATOR = "\x01"  # stands between words in one call; words that hold it are encoded alone
+
+_ALNUM = tb.table_of(lambda b: b < 128 and chr(b).isalnum())
+_MARK = tb.table_of(lambda b: b in MARKS)
+_workers: dict[int, "WordEncoder"] = {}
 
 
 class WordEncoder:
@@ -24,39 +34,77 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        sep = self._ids([SEPARATOR])[0]
+        self.sep = sep[0] if len(sep) == 1 else None
         self._clear()
 
+    @classmethod
+    def shared(cls, tokenizer_json: str) -> "WordEncoder":
+        """This process's encoder: a Python worker keeps its words from task to task."""
+        key = hash(tokenizer_json)
+        if key not in _workers:
+            _workers.clear()
+            _workers[key] = cls(tokenizer_json)
+        return _workers[key]
+
+    def _ids(self, texts):
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _clear(self):
         self.known: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _add(self, hashes, ids, sizes):
+        at = len(self.known)
+        while at + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[at : at + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[at : at + len(sizes)] = sizes
+        self.used += len(ids)
+        self.known.update(zip(hashes, range(at, at + len(sizes))))
+
     def _learn(self, hashes, words):
-        encoded = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        for h, ids in zip(hashes, encoded):
-            at = len(self.known)
-            if at == len(self.start):
-                self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[at], self.size[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[h] = at
+        alone = [i for i, w in enumerate(words) if self.sep is None or SEPARATOR in w]
+        if alone:
+            for i, ids in zip(alone, self._ids([words[i] for i in alone])):
+                self._add([hashes[i]], np.array(ids, np.int32), np.array([len(ids)]))
+            left = set(range(len(words))).difference(alone)
+            hashes, words = [hashes[i] for i in sorted(left)], [words[i] for i in sorted(left)]
+        if words:
+            step = 500
+            texts = [f" {SEPARATOR} ".join([*words[i : i + step], ""]) for i in range(0, len(words), step)]
+            ids = np.concatenate([np.array(x, np.int32) for x in self._ids(texts)])
+            ends = np.flatnonzero(ids == self.sep)
+            self._add(hashes, ids[ids != self.sep], np.diff(np.concatenate(([-1], ends))) - 1)
 
     def _words(self, block: tb.Block):
         """(index into start and size for each word, first)."""
-        starts, ends, h, first = tb.words(block, tb.NOT_SPACE, tb.PLAIN)
+        buf = block.buf
+        starts, ends = tb.spans(tb.NOT_SPACE[buf])
+        alnum, mark = _ALNUM[buf], _MARK[buf]
+        inner = np.flatnonzero((alnum[1:] & mark[:-1]) | (mark[1:] & alnum[:-1])) + 1
+        if len(inner):
+            starts, ends = np.sort(np.concatenate((starts, inner))), np.sort(np.concatenate((ends, inner)))
+        h = tb.span_hash(tb.prefix_sums(buf, tb.LOWER), starts, ends)
+        angle = np.flatnonzero(buf == 60)
+        if len(angle):  # a special token is told by its case
+            of = np.searchsorted(starts, angle, side="right") - 1
+            h[of] = tb.span_hash(tb.prefix_sums(buf, tb.PLAIN), starts[of], ends[of]) ^ tb.U64(0x3C3C)
         distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > MOST_WORDS and len(self.known):
             self._clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            raw = block.buf.tobytes()
-            self._learn([keys[i] for i in new], [raw[starts[at[i]] : ends[at[i]]].decode() for i in new])
-        index = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
-        return index[back], first
+        index = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            raw = buf.tobytes()
+            keys = distinct[new].tolist()
+            self._learn(keys, [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            index[new] = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
+        return index[back], np.searchsorted(starts, block.off)
 
     def counts(self, block: tb.Block) -> np.ndarray:
         """The number of ids of each document."""
