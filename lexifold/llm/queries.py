@@ -21,6 +21,18 @@ def op3_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark, sf_dir):
+    from . import chat
+
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
+def op5_exact_top_k(spark, sf_dir):
+    from . import mtree
+
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     from . import decontaminate
 
@@ -50,6 +62,6 @@ def queries():
 
 
 def oracle_sql():
-    from . import decontaminate, ngram_join
+    from . import decontaminate, mtree, ngram_join
 
-    return {"op6_benchmark_decontamination": decontaminate.ORACLE, "op10_ngram_jaccard_join": ngram_join.ORACLE}
+    return {"op5_exact_top_k": mtree.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op10_ngram_jaccard_join": ngram_join.ORACLE}
