@@ -15,6 +15,12 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_pii_sanitisation(spark, sf_dir):
+    from . import pii
+
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark, sf_dir):
     from . import suffix_dedup
 
@@ -39,6 +45,12 @@ def op6_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_token_output(spark, sf_dir):
     from . import token_output
 
