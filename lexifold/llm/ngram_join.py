@@ -16,9 +16,10 @@ holds without them; else the set signs again under another hash, and under the
 last one with the empty ones too. Either set of a pair having enough suffices.
 
 Groups of classes with one signature are written once however many signatures
-they share. Of a group, first each class is compared with the smallest; then,
-with the components that these links give, all classes in different components
-(pairs within one would change no component). A pair is compared text against
+they share. Of a group, one class is compared with all that are not yet in its
+component; with the components that these links give, another is, round after
+round, until no new link comes up. Then all classes of a group in different
+components are compared (pairs within one would change no component). A pair is compared text against
 text, but only if its odd sketches allow it: a sketch has a bit for each cell of
 a hash of the domain, set if the set has an odd number of elements there, so two
 sets differ in at least as many elements as their sketches differ in bits. With
@@ -45,6 +46,7 @@ U = np.uint64
 HASH_BITS = 54
 SEEDS = 4
 SALTS = 16
+TURNS = 4
 
 
 def shingle_sets(block: tb.Block, n: int):
@@ -283,30 +285,34 @@ class JaccardJoin:
         dealt = self.signed().repartition("sig").sortWithinPartitions("sig", "set_key")
         return dealt.mapInArrow(run, "grp long, set_key long, size int").distinct()
 
-    def _pairs(self, rows: DataFrame, all_pairs: bool) -> DataFrame:
-        """(a, b): pairs of set keys in a group that may be similar enough.
+    def _pairs(self, rows: DataFrame, turn: int | None) -> DataFrame:
+        """(a, b): pairs of set keys in a group with different labels that may be similar enough.
 
-        rows: grp, set_key, size, sketch and, with all_pairs, label.
+        rows: grp, set_key, size, sketch, label. turn: pairs with one class of
+        each group, another at every turn; None: all pairs.
         """
         num, den = self.bands.num, self.bands.den
 
         def run(batches):
             for t in _whole_groups(batches, "grp"):
-                grp, key, size = (t.column(c).to_numpy() for c in ("grp", "set_key", "size"))
+                grp, key, size, label = (t.column(c).to_numpy() for c in ("grp", "set_key", "size", "label"))
                 size = size.astype(np.int64)
                 sketch = Sketches(t.column("sketch"))
                 start, end = _groups(grp)
-                if all_pairs:
-                    label = t.column("label").to_numpy()
+                if turn is None:
                     runs = ((s, e) for s, e in zip(start.tolist(), end.tolist()) if (label[s:e] != label[s]).any())
                     found = ((np.full(e - i - 1, i), np.arange(i + 1, e)) for s, e in runs for i in range(s, e - 1))
-                else:  # the smallest key of the group with each other one
-                    n = end - start - 1
-                    found = [(np.repeat(start, n), tb.ranges(start + 1, n))]
+                elif len(start):
+                    n = end - start
+                    at = tb.ranges(start, n)
+                    order = tb.mix(key[at].view(U) + U(turn)) if turn else key[at].view(U)
+                    of = np.repeat(np.arange(len(n)), n)
+                    least = np.lexsort((order, of))[np.cumsum(n) - n]
+                    found = [(np.repeat(at[least], n), at)]
+                else:
+                    found = []
                 for a, b in _chunks(found):
-                    keep = den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])
-                    if all_pairs:
-                        keep &= label[a] != label[b]
+                    keep = (label[a] != label[b]) & (den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b]))
                     a, b = a[keep], b[keep]
                     keep = sketch.differ(a, b) * (den + num) <= (den - num) * (size[a] + size[b])
                     x, y = np.minimum(key[a[keep]], key[b[keep]]), np.maximum(key[a[keep]], key[b[keep]])
@@ -316,7 +322,7 @@ class JaccardJoin:
                         new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
                         yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
 
-        columns = ["grp", "set_key", "size", "sketch", *["label"] * all_pairs]
+        columns = ["grp", "set_key", "size", "sketch", "label"]
         dealt = rows.select(*columns).repartition("grp").sortWithinPartitions("grp", "set_key")
         return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -362,15 +368,24 @@ class JaccardJoin:
             self._classes = cut(self._sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch")).where("class_id is not null"))
             shared = cut(self.shared())
             shared = cut(shared.join(self._classes.select("set_key", "sketch"), "set_key"))
-            tried = cut(self._pairs(shared, False))
-            links = cut(self._verified(tried))
-            label = components(links)
-            labelled = shared.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("component", "set_key"))
-            rest = cut(self._pairs(labelled, True).join(tried, ["a", "b"], "left_anti"))
-            if not rest.isEmpty():
-                more = cut(self._verified(rest))
-                if not more.isEmpty():
-                    label = components(links.union(more))
+            rows = shared.withColumn("label", F.col("set_key"))
+            tried = links = None
+            for turn in range(TURNS + 1):
+                pairs = self._pairs(rows, turn if turn < TURNS else None)
+                pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
+                if pairs.isEmpty():
+                    if turn == TURNS or tried is None:
+                        break
+                    continue
+                new = cut(self._verified(pairs))
+                tried = pairs if tried is None else tried.union(pairs)
+                if new.isEmpty():
+                    continue
+                links = new if links is None else links.union(new)
+                label = cut(components(links))
+                rows = shared.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("component", "set_key"))
+            if links is None:
+                label = shared.select(F.col("set_key").alias("node"), F.col("set_key").alias("component")).limit(0)
             self._linked = label.select(F.col("node").alias("set_key"), "component")
         return self._sets, self._classes, self._linked
 
