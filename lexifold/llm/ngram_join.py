@@ -32,7 +32,7 @@ come twice under one doc_id; such rows share a class only if their sets agree.
 
 from __future__ import annotations
 
-from math import isqrt
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,7 @@ HASH_BITS = 54
 SEEDS = 4
 SALTS = 16
 TURNS = 4
+BAND = 1.4  # about how much larger the largest set of a band is than its smallest
 
 
 def shingle_sets(block: tb.Block, n: int):
@@ -81,7 +82,7 @@ class Bands:
         self.low, self.high = [1], []
         while self.low[-1] < 1 << 40:
             high = self.low[-1]
-            for _ in range(2):
+            for _ in range(max(1, int(log(BAND) / log(den / num)))):
                 high = max(high, high * den // num)
             self.high.append(high)
             self.low.append(high + 1)
@@ -90,8 +91,14 @@ class Bands:
         # Jaccard >= t means a symmetric difference of at most (1-t)/(1+t) of the sizes' sum.
         self.k = (2 * self.high * (den - num)) // (den + num)
         self.need = self.k // 2 + 1
-        extra = np.array([1 + isqrt(int(x)) // 2 for x in self.need])
-        self.parts = np.where(self.k == 0, 1, self.need + extra)
+        # so many more that the smallest sets signed here have enough filled ones, but for about one in forty
+        least = np.maximum(1, self.low * num // den)
+        parts = (self.need + 1).astype(float)
+        for _ in range(8):
+            mean = least / parts
+            unfilled = np.clip(3 * np.exp(-2 * mean / 3) - 2 * np.exp(-mean), 0, 0.5)
+            parts = np.ceil((self.need + 1 + 2 * np.sqrt(self.need * unfilled)) / (1 - unfilled))
+        self.parts = np.where(self.k == 0, 1, parts.astype(np.int64))
 
     def of(self, size):
         return np.searchsorted(self.high, size)
