@@ -27,6 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+EDGES_A_TASK = 100_000
+
+
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """df in as many partitions as n rows need: small tables then take no shuffle, and leave no small files."""
+    return df.coalesce(max(1, -(-n // EDGES_A_TASK)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable by edges, for every node of an edge.
 
@@ -35,16 +43,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     number of edges never grows; a logarithmic number of rounds in practice.
     """
     now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    n = now.count()
     while True:
-        both = now.union(now.select("v", "u"))
+        now = _few(now, n)
+        both = _few(now.union(now.select("v", "u")), 2 * n)
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         small = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(small, "u")
-        next_ = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = cut(next_)
-        same = new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty()
+        linked = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        new = cut(linked.select("e.u", "e.v").where("u <> v").distinct())
+        n = new.count()
+        old, new = now, _few(new, n)
+        same = old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty()
         now = new
         if same:
             break
