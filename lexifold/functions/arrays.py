@@ -42,7 +42,7 @@ def chars(c) -> Column:
 
 def page_range(c) -> Column:
     """"1-3,5" as zero-based page numbers; parts that are no ranges are left out."""
-    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), lambda x: F.trim(x))
 
     def pages(p):
         a, b = F.regexp_extract(p, r"^(\d+)", 1).cast("int"), F.regexp_extract(p, r"(\d+)$", 1).cast("int")

@@ -135,7 +135,11 @@ def script_language(c) -> Column:
 def detect_language(c, default: str = "en") -> Column:
     """script_language, else the language whose common words come most often (default on a tie at zero)."""
     w = words(F.lower(col(c)))
-    scores = [F.struct(F.size(F.filter(w, lambda x, f=found.split(): x.isin(f))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("lang")) for i, (k, found) in enumerate(COMMON.items())]
+
+    def among(found):
+        return lambda x: x.isin(found)
+
+    scores = [F.struct(F.size(F.filter(w, among(found.split()))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("lang")) for i, (k, found) in enumerate(COMMON.items())]
     best = F.greatest(*scores)
     return F.coalesce(script_language(c), F.when(best["n"] > 0, best["lang"]), F.lit(default))
 

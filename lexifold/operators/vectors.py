@@ -87,7 +87,7 @@ def pairwise_cosine(vectors: DataFrame, threshold: float, block: int = 2048) ->
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = mine.select("id", "v", "g", each.alias("o")).select("id", "v", "g", F.least("g", "o").alias("x"), F.greatest("g", "o").alias("y"))
 
-    def run(key, t: pa.Table):
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         ids, g = t.column("id").to_numpy(), t.column("g").to_numpy()
         v = np.array(t.column("v").to_pylist(), float).reshape(len(ids), -1)
         length = np.sqrt((v**2).sum(1, keepdims=True))

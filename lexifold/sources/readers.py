@@ -80,9 +80,9 @@ def endnote(df: DataFrame, content: str = "content") -> DataFrame:
     A line without a code goes on with the field before; a value with ; has
     several parts (but not content's); repeated fields gather their values.
     """
-    records = F.filter(F.split(F.concat(F.regexp_replace(content, r"\r", ""), F.lit("\n")), r"\n[ \t]*\n"), lambda r: F.trim(r) != "")
+    records = F.filter(F.split(F.concat(F.regexp_replace(content, r"\r", ""), F.lit("\n")), r"\n[ \t]*\n"), lambda r: r.rlike(r"\S"))
     r = df.select(F.posexplode(records).alias("record", "text"))
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     code = F.create_map(*[F.lit(x) for kv in ENDNOTE.items() for x in kv])
 
     def entry(line, field):
