@@ -46,7 +46,7 @@ U = np.uint64
 HASH_BITS = 54
 SEEDS = 4
 SALTS = 16
-TURNS = 4
+TURNS = 2
 BAND = 1.4  # about how much larger the largest set of a band is than its smallest
 
 
@@ -256,7 +256,7 @@ class JaccardJoin:
         return self.docs.mapInArrow(run, "doc_id long, n_shingles long, set_key long, sketch binary")
 
     def signed(self) -> DataFrame:
-        """(sig, set_key, size) of every set; a task signs equal sets once."""
+        """(sig, set_key) of every set; a task signs equal sets once."""
         n, bands = self.n, self.bands
 
         def run(batches):
@@ -268,29 +268,28 @@ class JaccardJoin:
                     new = [i for i, k in enumerate(keys.tolist()) if not (k in seen or seen.add(k))]
                     h, first = _pick(h, first, np.array(new, np.int64))
                     sig, owner = signatures(h, first, bands)
-                    keys, size = keys[new], np.diff(first)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(keys[owner]), pa.array(size[owner].astype(np.int32))], ["sig", "set_key", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(keys[new][owner])], ["sig", "set_key"])
 
-        return self.docs.mapInArrow(run, "sig long, set_key long, size int")
+        return self.docs.mapInArrow(run, "sig long, set_key long")
 
     def shared(self) -> DataFrame:
-        """(grp, set_key, size): the different groups of at least two sets with one signature."""
+        """(grp, set_key): the different groups of at least two sets with one signature."""
 
         def run(batches):
             for t in _whole_groups(batches, "sig"):
-                sig, key, size = (t.column(c).to_numpy() for c in ("sig", "set_key", "size"))
+                sig, key = (t.column(c).to_numpy() for c in ("sig", "set_key"))
                 first = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
-                sig, key, size = sig[first], key[first], size[first]
+                sig, key = sig[first], key[first]
                 a, b = _groups(sig)
                 at = tb.ranges(a, b - a)
                 name = tb.segment_sums(tb.mix(key[at].view(U)), np.concatenate(([0], np.cumsum(b - a))))
                 new = np.isin(np.arange(len(name)), np.unique(name, return_index=True)[1])
                 name, a, n = name[new], a[new], (b - a)[new]
                 at = tb.ranges(a, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n).view(np.int64)), pa.array(key[at]), pa.array(size[at])], ["grp", "set_key", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n).view(np.int64)), pa.array(key[at])], ["grp", "set_key"])
 
         dealt = self.signed().repartition("sig").sortWithinPartitions("sig", "set_key")
-        return dealt.mapInArrow(run, "grp long, set_key long, size int").distinct()
+        return dealt.mapInArrow(run, "grp long, set_key long").distinct()
 
     def _pairs(self, rows: DataFrame, turn: int | None) -> DataFrame:
         """(a, b): pairs of set keys in a group with different labels that may be similar enough.
@@ -372,9 +371,9 @@ class JaccardJoin:
         """(rows of sets(), classes (set_key, class_id), components (set_key, component)): each computed once."""
         if self._linked is None:
             self._sets = cut(self.sets())
-            self._classes = cut(self._sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch")).where("class_id is not null"))
+            self._classes = cut(self._sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch"), F.max("n_shingles").alias("size")).where("class_id is not null"))
             shared = cut(self.shared())
-            shared = cut(shared.join(self._classes.select("set_key", "sketch"), "set_key"))
+            shared = cut(shared.join(self._classes.select("set_key", "sketch", "size"), "set_key"))
             rows = shared.withColumn("label", F.col("set_key"))
             tried = links = None
             for turn in range(TURNS + 1):
