@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexifold.llm import decontaminate, ngram_join, packing, pii, quality
+from lexifold.llm import decontaminate, ngram_join, packing, pii, quality, textblocks
 from lexifold.llm.token_output import scratch
 
 
@@ -13,7 +13,8 @@ def _table(spark, sf_dir, name):
 def quality_filter(spark, docs, sf_dir):
     """Drops the documents that the quality classifier rejects (score below 0.7)."""
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    scored = quality.score(textblocks.set_aside(docs, ("score", "predicted")), model)
+    return textblocks.put_back(scored.where("predicted = 1"), docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):

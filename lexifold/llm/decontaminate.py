@@ -172,7 +172,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataF
     A document left without any word is dropped; one without a hit is kept as it is.
     """
     columns = docs.columns
-    found = scan(docs, benchmark, width)
+    found = scan(tb.set_aside(docs, FIELDS), benchmark, width)
     cuts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
     starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.char_length("text").cast("long")))
     kept = F.array_join(F.zip_with(cuts, starts, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))), " ")
@@ -180,7 +180,7 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataF
     out = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))).withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*columns)
+    return tb.put_back(out, columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

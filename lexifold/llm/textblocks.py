@@ -159,6 +159,21 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(begin - starts, lengths)
 
 
+def set_aside(df, names):
+    """df with columns of these names called otherwise, so that an operator can use the names; see put_back."""
+    for c in df.columns:
+        if c in names:
+            df = df.withColumnRenamed(c, f"__own_{c}")
+    return df
+
+
+def put_back(df, columns):
+    """The given columns of df, those set aside under their own names again."""
+    from pyspark.sql import functions as F
+
+    return df.select(*[F.col(f"`__own_{c}`").alias(c) if f"__own_{c}" in df.columns else F.col(f"`{c}`") for c in columns])
+
+
 def append_columns(df, fields: dict, make):
     """df with columns added by make(record batch) -> arrays, one for each of fields.
 
