@@ -218,3 +218,43 @@ def test_events_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got, want = {tuple(r)[:3] for r in spark.table("daily").collect()}, {tuple(r)[:3] for r in daily_counts(e).collect()}
     assert got <= want and len(got) >= len(want) - 5  # the last day's window is still open
+
+
+#: the stage names that pipelines may use
+STAGES = """Passthrough FilterOut FieldAssignment FieldIncresement ConditionalAssignment ArrayField ArrayAggregation KeywordsReplacement RegexReplace RegexFilter
+RegexMatches SplitParagraph Reparagraph FilterPunctuations TradToSimpChinese LanguageDetect WordStemmer LatinTransliterate WordCut FilterStopWords OutlineFilter
+DatasetFromField Limit SetNamedResult LoadNamedResult TimeExtractor TextCleaner PDFLanguageDetect CrossPageReparagraphizer ExtractHTMLParagraphs HanziChaizi
+AutoSentimentAnalysis AutoNER NERAsTokens GCJtoWGS AMapGeoCode BingMapGeoCode RemoteTranslation YoudaoTranslation BaiduTranslation GPTTranslation GoogleTranslation
+OpenAILikeCompletion ClaudeCompletion OllamaCompletion TencentCloudSearch AzureCognitiveSearch AWSCloudSearch TextEmbedding Condition ForEach RepeatWhile CallTask
+RunTask AggregateDataSource Counter NgramCounter TermFreq TFIDFWordFetch PMILREntropyWordFetcher WordsBagVectorize GenerateCooccurance GraphicClustering
+CosSimClustering CosSimFSClassifier KmeansClustering LDA DrawClusters SaveParagraph DeleteParagraph AccumulateParagraphs Export BibItemSave BibItemDeduplicate
+TextDataSource LinesDataSource FilePatternDataSource BiblioDataSource JSONDataSource ExcelDataSource WordDataSource WebPageListingDataSource PDFDataSource
+MinerUDataSource ZoteroDataSource AMapCityCodeQuery AMapPOISearch OSMPOISearch""".split()
+
+
+def test_all_stages_are_registered():
+    from lexifold.plans import stages  # noqa: F401
+    from lexifold.plans.pipeline import REGISTRY
+
+    assert not set(STAGES) - set(REGISTRY)
+    assert all(spec(n)["name"] == n for n in STAGES)
+
+
+def test_reducers_and_services_as_stages(spark, tmp_path):
+    from lexifold.plans import stages  # noqa: F401
+
+    df = spark.createDataFrame([(1, "s", 0, "Ann met Bob", "en", ["ann", "met", "bob"], [1.0, 0.0], "x"), (2, "s", 1, "Bob left", "en", ["bob", "left"], [0.9, 0.1], ""), (3, "s", 2, "Nobody", "de", ["nobody"], [0.0, 1.0], None)], "id long, source string, source_page int, content string, lang string, tokens array<string>, vec array<double>, label string")
+    assert run(df, ["TermFreq", {}]).first().term == "bob"
+    assert run(df, ["TFIDFWordFetch", {"min_df": "0.5"}]).count() == 1
+    assert {(r.id, r.cluster) for r in run(df, ["CosSimClustering", {"threshold": 0.8, "min_community_size": 2}]).collect()} == {(1, 1), (2, 1), (3, -1)}
+    assert dict(rows(run(df, ["CosSimFSClassifier", {}]), "id", "label")) == {1: "x", 2: "x", 3: ""}
+    assert dict(rows(run(df, ["CosSimFSClassifier", {"auto_update": True}]), "id", "label")) == {1: "x", 2: "x", 3: "x"}
+    assert run(df, ["GenerateCooccurance", {}], ["GraphicClustering", {"topk": 9}]).select("component").distinct().count() == 1
+    assert {r.id: sum(r.vec.values()) for r in run(df.drop("vec"), ["WordsBagVectorize", {"dims": 10}]).collect()} == {1: 3, 2: 2, 3: 1}
+    assert run(df, ["KmeansClustering", {"k": 2}]).count() == 3
+    ctx = Context(constants={"transport:OpenAILikeCompletion": lambda a: ['{"choices":[{"message":{"content":"ok"}}]}'] * len(a), "transport:AutoNER:en": lambda a: [[("Bob", "PER")] for _ in a]})
+    got = run(df, ["OpenAILikeCompletion", {"model": "m"}], ["AutoNER", {}], ["NERAsTokens", {}], ctx=ctx)
+    assert {(r.id, r.llm_response, str(r.tokens)) for r in got.collect()} == {(1, "ok", "['Bob/PER']"), (2, "ok", "['Bob/PER']"), (3, "ok", "None")}
+    run(df.select("id", "content"), ["Export", {"path": str(tmp_path / "csv"), "output_format": "csv"}])
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 3
+    assert run(df, ["GPTTranslation", {"prompt": "Say {lang}", "test": True}]).first().content == "Say en"
