@@ -16,10 +16,11 @@ holds without them; else the set signs again under another hash, and under the
 last one with the empty ones too. Either set of a pair having enough suffices.
 
 Groups of classes with one signature are written once however many signatures
-they share. Of a group, one class is compared with all that are not yet in its
-component; with the components that these links give, another is, round after
-round, until no new link comes up. Then all classes of a group in different
-components are compared (pairs within one would change no component). A pair is compared text against
+they share. First, in some turns over a quarter of the groups each, one class of
+a group is compared with all others: this finds most components at little cost.
+Then, over all groups, all classes of a group that are still in different
+components are compared (pairs within one would change no component), which
+misses nothing. A pair is compared text against
 text, but only if its odd sketches allow it: a sketch has a bit for each cell of
 a hash of the domain, set if the set has an odd number of elements there, so two
 sets differ in at least as many elements as their sketches differ in bits. With
@@ -377,11 +378,12 @@ class JaccardJoin:
             rows = shared.withColumn("label", F.col("set_key"))
             tried = links = None
             for turn in range(TURNS + 1):
-                pairs = self._pairs(rows, turn if turn < TURNS else None)
+                if turn < TURNS:
+                    pairs = self._pairs(rows.where(F.pmod(F.xxhash64("grp"), F.lit(4)) == turn), turn)
+                else:
+                    pairs = self._pairs(rows, None)
                 pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
                 if pairs.isEmpty():
-                    if turn == TURNS or tried is None:
-                        break
                     continue
                 new = cut(self._verified(pairs))
                 tried = pairs if tried is None else tried.union(pairs)
