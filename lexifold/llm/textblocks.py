@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     had = _powers.get(base)
     if had is None or len(had) < n:
-        size = max(n, 1 << 21)
+        size = max(n, (1 << 20) + (1 << 18))
         steps = np.full(size, base, dtype=U64)
         steps[0] = 1
         had = _powers[base] = np.cumprod(steps, dtype=U64)

@@ -9,8 +9,6 @@ contraction or to a composed character are not in MARKS.
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 
 from . import textblocks as tb
@@ -51,12 +49,13 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _clear(self):
-        self.known: dict[int, int] = {}
+        """No words: sorted hashes with the words' numbers, and for each number its ids' place in `flat`."""
+        self.hashes, self.numbers, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _add(self, hashes, ids, sizes):
-        at = len(self.known)
+        at = self.count
         while at + len(sizes) > len(self.start):
             self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
         while self.used + len(ids) > len(self.flat):
@@ -65,7 +64,12 @@ class WordEncoder:
         self.start[at : at + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.size[at : at + len(sizes)] = sizes
         self.used += len(ids)
-        self.known.update(zip(hashes, range(at, at + len(sizes))))
+        self.count += len(sizes)
+        hashes = np.asarray(hashes, np.uint64)
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, place, hashes[order])
+        self.numbers = np.insert(self.numbers, place, (at + order).astype(np.int32))
 
     def _learn(self, hashes, words):
         alone = [i for i, w in enumerate(words) if self.sep is None or SEPARATOR in w]
@@ -95,27 +99,26 @@ class WordEncoder:
             of = np.searchsorted(starts, angle, side="right") - 1
             h[of] = tb.span_hash(tb.prefix_sums(buf, tb.PLAIN), starts[of], ends[of]) ^ tb.U64(0x3C3C)
         distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > MOST_WORDS and len(self.known):
+        if self.count + len(distinct) > MOST_WORDS and self.count:
             self._clear()
-        index = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(index < 0)
+        place = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(np.append(self.hashes, distinct[-1:] + tb.U64(1))[place] != distinct)
         if len(new):
             raw = buf.tobytes()
-            keys = distinct[new].tolist()
-            self._learn(keys, [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
-            index[new] = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
-        return index[back], np.searchsorted(starts, block.off)
+            self._learn(distinct[new].tolist(), [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            place = np.searchsorted(self.hashes, distinct)
+        return self.numbers[place][back], np.searchsorted(starts, block.off)
 
     def counts(self, block: tb.Block) -> np.ndarray:
         """The number of ids of each document."""
         word, first = self._words(block)
-        return tb.segment_sums(self.size[word], first)
+        return tb.segment_sums(self.size[word].astype(np.int64), first)
 
     def encode(self, block: tb.Block):
         """(ids of all documents, number of each)."""
         word, first = self._words(block)
-        size = self.size[word]
-        return self.flat[tb.ranges(self.start[word], size)], tb.segment_sums(size, first)
+        size = self.size[word].astype(np.int64)
+        return self.flat[tb.ranges(self.start[word].astype(np.int64), size)], tb.segment_sums(size, first)
 
 
 def read_tokenizer(path: str) -> str:
