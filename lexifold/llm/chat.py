@@ -59,7 +59,7 @@ class Codec:
         self.back = re.compile(re.escape(ESC) + r"(?:(\d+);|" + re.escape(ESC) + ")")
 
     def escape(self, text: str) -> str:
-        return self.find.sub(lambda m: ESC + ESC if m[0] == ESC else f"{ESC}{self.number[m[0]]};", text)
+        return self.find.sub(lambda m: ESC + ESC if m[0] == ESC else f"{ESC}{self.number[m[0]]:02d};", text)
 
     def unescape(self, text: str) -> str:
         return self.back.sub(lambda m: self.controls[int(m[1])] if m[1] is not None else ESC, text)
@@ -224,3 +224,24 @@ def with_sample(conversations: DataFrame) -> DataFrame:
 
 def report(conversations: DataFrame) -> DataFrame:
     return digests(segments(with_sample(conversations)))
+
+
+def oracle(template: Template | None = None) -> str:
+    """DuckDB SQL for report()."""
+    t = template or Template()
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    # a control string becomes four characters, an escape character two
+    pattern = "|".join(re.escape(c) for c in t.controls()).replace("\\ ", " ")
+    size = lambda c: f"length(regexp_replace(replace({c}, '\\', '##'), {quote(pattern)}, '####', 'g'))"
+    around = " ".join(f"WHEN {quote(r)} THEN {len(a) + len(b)}" for r, (a, b) in t.roles.items())
+    allowed = " OR ".join(f"(before = {quote(a)} AND role IN ({', '.join(map(quote, b))}))" for a, b in t.follows.items())
+    loss, final = (", ".join(map(quote, sorted(x))) for x in (t.loss, t.final))
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, k, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, role)),
+o AS (SELECT *, row_number() OVER w AS k, coalesce(lag(role) OVER w, '') AS before, lead(role) OVER w AS after FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role IN ({loss})), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role IN ({loss})), '')) AS loss_sha256,
+  CAST({len(t.start) + len(t.stop)} + sum({size("text")} + CASE role {around} ELSE {sum(map(len, t.other))} + {size("role")} END) AS BIGINT) AS formatted_chars,
+  bool_and(({allowed}) AND (after IS NOT NULL OR role IN ({final}))) AS valid
+FROM o GROUP BY conv_id
+"""

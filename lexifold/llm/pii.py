@@ -213,3 +213,45 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return rows.select(*columns)
+
+
+def oracle(reach: int = 60, support: int = 3, generalise: float = 0.7) -> str:
+    """DuckDB SQL for report(), with the plain patterns."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def places(source, text, pattern, keep):
+        """Rows of source with v, s and e: each match and its place in text."""
+        lists = f"SELECT *, regexp_extract_all({text}, '{pattern}') AS h, string_split_regex({text}, '{pattern}') AS g FROM {source}"
+        return f"""SELECT {keep}, v, CAST(list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(h, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS s
+            FROM (SELECT *, generate_subscripts(h, 1) AS i, unnest(h) AS v FROM ({lists}))"""
+
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN CAST(x AS INT) > 4 THEN CAST(x AS INT) * 2 - 9 ELSE CAST(x AS INT) * 2 END)) % 10 = 0"
+    check = {
+        "email": "true", "ip": "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 8 AND 15",
+    }
+    base = " UNION ALL ".join(f"SELECT r, {i} AS kind, s, s + length(v) AS e, v FROM ({places('d', 't', plain[k], 'r')}) WHERE {check[k]}" for i, k in enumerate(KINDS))
+    names = "['email', 'ip', 'card', 'phone'][kind + 1]"
+    word = r"\p{L}{4,}"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+b AS MATERIALIZED ({base}),
+m AS MATERIALIZED (SELECT b.r, greatest(s - {reach}, 0) AS left_at, e, substr(t, greatest(s - {reach}, 0) + 1, least(s, {reach})) AS l, substr(t, e + 1, {reach + 1}) AS rt,
+  kind || ':' || CASE WHEN kind >= 2 THEN {digits} ELSE lower(v) END AS entity FROM b JOIN d USING (r)),
+w AS (SELECT r, entity, l, rt, lower(v) AS term, s + left_at AS s, s + left_at + length(v) AS e FROM ({places("m", "l", word, "r, entity, l, rt, left_at")}) WHERE s > 0 OR left_at = 0
+  UNION ALL SELECT r, entity, l, rt, lower(v), s + e, s + e + length(v) FROM ({places("m", "rt", word, "r, entity, l, rt, e")}) WHERE s + length(v) <= {reach}),
+f AS MATERIALIZED (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = w.r AND b.s < w.e AND w.s < b.e)),
+x AS (SELECT entity, term, count(DISTINCT (l, rt)) AS nb FROM f GROUP BY ALL HAVING count(DISTINCT (l, rt)) >= {support}),
+y AS (SELECT entity, count(DISTINCT (l, rt)) AS ne FROM m GROUP BY entity),
+z AS (SELECT term, count(*) AS nt FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(t), '{word}')) AS term FROM d) GROUP BY term),
+n AS (SELECT CAST(greatest(count(*), 2) AS DOUBLE) AS n FROM d),
+q AS (SELECT entity, term FROM x JOIN y USING (entity) JOIN z USING (term), n WHERE log2(nb * n / (nt * ne)) / greatest(-log2(ne / n), 1e-9) >= {generalise}),
+ts AS (SELECT r, count(*) AS n_term, string_agg('term:' || s || ':' || e, ',' ORDER BY s, e) AS j FROM (SELECT DISTINCT r, s, e FROM f JOIN q USING (entity, term)) GROUP BY r),
+bs AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(KINDS))}, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY kind, s) AS j FROM b GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(bs.j, '')) AS base_sha256, concat_ws(',', bs.j, ts.j) AS spans, coalesce(n_term, 0) AS n_term
+FROM d LEFT JOIN bs USING (r) LEFT JOIN ts USING (r)
+"""

@@ -74,6 +74,6 @@ def queries():
 
 
 def oracle_sql():
-    from . import decontaminate, mtree, ngram_join
+    from . import chat, decontaminate, mtree, ngram_join, pii
 
-    return {"op5_exact_top_k": mtree.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op10_ngram_jaccard_join": ngram_join.ORACLE}
+    return {"op2_pii_sanitisation": pii.oracle(), "op4_chat_formatting": chat.oracle(), "op5_exact_top_k": mtree.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op10_ngram_jaccard_join": ngram_join.ORACLE}
