@@ -16,11 +16,13 @@ holds without them; else the set signs again under another hash, and under the
 last one with the empty ones too. Either set of a pair having enough suffices.
 
 Groups of classes with one signature are written once however many signatures
-they share. First, in some turns over a quarter of the groups each, one class of
-a group is compared with all others: this finds most components at little cost.
-Then, over all groups, all classes of a group that are still in different
-components are compared (pairs within one would change no component), which
-misses nothing. A pair is compared text against
+they share. First come some turns over a quarter of the groups each. In the
+first, one class of a group is compared with all others; in the next, each
+component that a group still has is compared with another one by its nearest
+pair, so they merge as in Boruvka's algorithm. This finds most components at
+little cost. Then, over all groups, all classes of a group that are still in
+different components are compared (pairs within one would change no component),
+which misses nothing. A pair is compared text against
 text, but only if its odd sketches allow it: a sketch has a bit for each cell of
 a hash of the domain, set if the set has an odd number of elements there, so two
 sets differ in at least as many elements as their sketches differ in bits. With
@@ -47,7 +49,7 @@ U = np.uint64
 HASH_BITS = 54
 SEEDS = 4
 SALTS = 16
-TURNS = 2
+TURNS = 4
 BAND = 1.4  # about how much larger the largest set of a band is than its smallest
 
 
@@ -295,8 +297,9 @@ class JaccardJoin:
     def _pairs(self, rows: DataFrame, turn: int | None) -> DataFrame:
         """(a, b): pairs of set keys in a group with different labels that may be similar enough.
 
-        rows: grp, set_key, size, sketch, label. turn: pairs with one class of
-        each group, another at every turn; None: all pairs.
+        rows: grp, set_key, size, sketch, label. turn 0: pairs with one class of
+        each group; later ones: the nearest pair of each label in each group, by
+        sketches; None: all pairs.
         """
         num, den = self.bands.num, self.bands.den
 
@@ -306,28 +309,27 @@ class JaccardJoin:
                 size = size.astype(np.int64)
                 sketch = Sketches(t.column("sketch"))
                 start, end = _groups(grp)
-                if turn is None:
+                if turn == 0:  # the smallest key with each other one
+                    n = end - start - 1
+                    found = [(np.repeat(start, n), tb.ranges(start + 1, n))]
+                else:
                     runs = ((s, e) for s, e in zip(start.tolist(), end.tolist()) if (label[s:e] != label[s]).any())
                     found = ((np.full(e - i - 1, i), np.arange(i + 1, e)) for s, e in runs for i in range(s, e - 1))
-                elif len(start):
-                    n = end - start
-                    at = tb.ranges(start, n)
-                    order = tb.mix(key[at].view(U) + U(turn)) if turn else key[at].view(U)
-                    of = np.repeat(np.arange(len(n)), n)
-                    least = np.lexsort((order, of))[np.cumsum(n) - n]
-                    found = [(np.repeat(at[least], n), at)]
-                else:
-                    found = []
+                nearest: list = []
                 for a, b in _chunks(found):
                     keep = (label[a] != label[b]) & (den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b]))
                     a, b = a[keep], b[keep]
-                    keep = sketch.differ(a, b) * (den + num) <= (den - num) * (size[a] + size[b])
-                    x, y = np.minimum(key[a[keep]], key[b[keep]]), np.maximum(key[a[keep]], key[b[keep]])
-                    if len(x):
-                        order = np.lexsort((y, x))
-                        x, y = x[order], y[order]
-                        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-                        yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
+                    far = sketch.differ(a, b)
+                    keep = far * (den + num) <= (den - num) * (size[a] + size[b])
+                    a, b, far = a[keep], b[keep], far[keep]
+                    if turn:
+                        nearest.append(_nearest(a, b, far, np.searchsorted(start, a, side="right"), label))
+                    else:
+                        yield from _pair_rows(key, a, b)
+                if nearest:
+                    a, b, far = (np.concatenate(x) for x in zip(*nearest))
+                    a, b, _ = _nearest(a, b, far, np.searchsorted(start, a, side="right"), label)
+                    yield from _pair_rows(key, a, b)
 
         columns = ["grp", "set_key", "size", "sketch", "label"]
         dealt = rows.select(*columns).repartition("grp").sortWithinPartitions("grp", "set_key")
@@ -408,6 +410,28 @@ class JaccardJoin:
         return found.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _pair_rows(key, a, b):
+    """The distinct pairs of keys, the smaller first."""
+    x, y = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
+    if len(x):
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
+
+
+def _nearest(a, b, far, group, label):
+    """For each label of each group the pair with the least distance that it is part of."""
+    if not len(a):
+        return a, b, far
+    both = np.tile(np.arange(len(a)), 2)
+    own, g = np.concatenate((label[a], label[b])), np.tile(group, 2)
+    order = np.lexsort((both, far[both], own, g))
+    first = np.concatenate(([True], (g[order][1:] != g[order][:-1]) | (own[order][1:] != own[order][:-1])))
+    keep = np.unique(both[order][first])
+    return a[keep], b[keep], far[keep]
+
+
 def _chunks(found, most: int = 1 << 18):
     """Joins small index arrays so that each piece has about `most` pairs."""
     a, b, total = [], [], 0
