@@ -33,7 +33,7 @@ from .suffix_array import common_prefix_at_least, suffix_array
 
 U = np.uint64
 GRAM = 20
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 FIRST = -(2**63)
 
 
