@@ -139,3 +139,26 @@ def hierarchy(datasets: DataFrame) -> DataFrame:
     parts = F.split("name", "--")
     nodes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "--").alias("path")))
     return datasets.select("order_weight", F.explode(nodes).alias("x")).groupBy("x.path", "x.depth").agg(F.count("*").alias("n"), F.min("order_weight").alias("order_weight"))
+
+
+def terms_with_prefix(terms: DataFrame, prefix: str) -> DataFrame:
+    """The vocabulary's terms that begin with a prefix, in order."""
+    return terms.where(F.startswith("term", F.lit(prefix.lower()))).orderBy("term")
+
+
+def visible(rows: DataFrame, user: str, admin: bool = False) -> DataFrame:
+    """Rows that a user may see: all for an administrator, else own and shared ones (columns creator, shared)."""
+    return rows if admin else rows.where((F.col("creator") == user) | F.coalesce(F.col("shared"), F.lit(False)))
+
+
+def history(spark, user: str, f: Filters) -> DataFrame:
+    """One row to append to the query log: user, the filters as JSON, the time."""
+    import json
+    from dataclasses import asdict
+
+    return spark.range(1).select(F.lit(user).alias("user"), F.lit(json.dumps(asdict(f), sort_keys=True)).alias("queries"), F.current_timestamp().alias("created_at"))
+
+
+def page(t: Tables, f: Filters) -> tuple[DataFrame, DataFrame]:
+    """(total, rows): the number of all results and the page asked for."""
+    return count(t, f), search(t, f)

@@ -87,3 +87,13 @@ def test_search_edges(spark):
     assert count(t, Filters(q="^a", limit=1)).first().n == 2
     assert [r.id for r in search(t, Filters(sort="-content", limit=2)).collect()] == ["2", "1"]
     assert F is not None
+
+
+def test_terms_rights_and_history(spark):
+    from lexifold.plans.search import Filters, history, terms_with_prefix, visible
+
+    t = spark.createDataFrame([("abc",), ("abd",), ("b",)], "term string")
+    assert [r.term for r in terms_with_prefix(t, "AB").collect()] == ["abc", "abd"]
+    r = spark.createDataFrame([("u", None), ("v", True), ("w", False)], "creator string, shared boolean")
+    assert visible(r, "u").count() == 2 and visible(r, "u", admin=True).count() == 3
+    assert '"q": "a & b"' in history(spark, "u", Filters(q="a & b")).first().queries
