@@ -299,7 +299,8 @@ class JaccardJoin:
 
         rows: grp, set_key, size, sketch, label. turn 0: pairs with one class of
         each group; later ones: the nearest pair of each label in each group, by
-        sketches; None: all pairs.
+        sketches; None: all pairs, each in the least of the groups that both sets
+        are in (rows then have `groups` too, a set's groups in order).
         """
         num, den = self.bands.num, self.bands.den
 
@@ -308,6 +309,9 @@ class JaccardJoin:
                 grp, key, size, label = (t.column(c).to_numpy() for c in ("grp", "set_key", "size", "label"))
                 size = size.astype(np.int64)
                 sketch = Sketches(t.column("sketch"))
+                if turn is None:
+                    groups = t.column("groups").combine_chunks()
+                    lists, offs = groups.values.to_numpy(), groups.offsets.to_numpy()
                 start, end = _groups(grp)
                 if turn == 0:  # the smallest key with each other one
                     n = end - start - 1
@@ -324,6 +328,9 @@ class JaccardJoin:
                     a, b, far = a[keep], b[keep], far[keep]
                     if turn:
                         nearest.append(_nearest(a, b, far, np.searchsorted(start, a, side="right"), label))
+                    elif turn is None:
+                        keep = [_least_common(lists[offs[i] : offs[i + 1]], lists[offs[j] : offs[j + 1]]) == grp[i] for i, j in zip(a.tolist(), b.tolist())]
+                        yield from _pair_rows(key, a[keep], b[keep])
                     else:
                         yield from _pair_rows(key, a, b)
                 if nearest:
@@ -331,7 +338,7 @@ class JaccardJoin:
                     a, b, _ = _nearest(a, b, far, np.searchsorted(start, a, side="right"), label)
                     yield from _pair_rows(key, a, b)
 
-        columns = ["grp", "set_key", "size", "sketch", "label"]
+        columns = ["grp", "set_key", "size", "sketch", "label", *["groups"] * (turn is None)]
         dealt = rows.select(*columns).repartition("grp").sortWithinPartitions("grp", "set_key")
         return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -383,7 +390,8 @@ class JaccardJoin:
                 if turn < TURNS:
                     pairs = self._pairs(rows.where(F.pmod(F.xxhash64("grp"), F.lit(4)) == turn), turn)
                 else:
-                    pairs = self._pairs(rows, None)
+                    groups = rows.groupBy("set_key").agg(F.sort_array(F.collect_list("grp")).alias("groups"))  # at most one a signature
+                    pairs = self._pairs(rows.join(groups, "set_key"), None)
                 pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
                 if pairs.isEmpty():
                     continue
@@ -410,6 +418,12 @@ class JaccardJoin:
         return found.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _least_common(x, y):
+    """The least element of both sorted arrays, which have one."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return x[np.argmax(y[at] == x)]
+
+
 def _pair_rows(key, a, b):
     """The distinct pairs of keys, the smaller first."""
     x, y = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
