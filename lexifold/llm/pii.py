@@ -6,16 +6,16 @@ patterns here accept the same matches as the plain ones but never back-track
 over long runs: possessive quantifiers, and starts only where a run begins or
 the match before ended.
 
-Every value of a base span is a protected entity. Its contexts are the words
-(four letters or more) at most `reach` characters before or after a mention; of
-equal contexts one counts, so copies are no evidence. With N documents, the
-pointwise mutual information of a term and an entity is
-log2(p(term, entity) / (p(term) p(entity))), p(term) from the documents that
-hold the term, and the entity's information is -log2 p(entity). The share of
-it that a term reveals is their quotient. Terms that reveal at least `remove`
-of an entity, in at least `support` contexts, are removed where they stand near
-it; from `generalise` on they are replaced by a general mark. Positions are
-code points, ends exclusive.
+Every value of a base span is a protected entity. Terms are runs of letters,
+digits and underscores of any length that touch no base span, in lower case; a
+term and an entity meet where one text holds both, however far apart they stand.
+With N texts, the pointwise mutual information of a term and an entity is
+log2(p(term, entity) / (p(term) p(entity))), and the entity's information is
+-log2 p(entity). The share of it that a term reveals is their quotient. Terms
+that reveal at least `remove` of an entity, in at least `support` texts, are
+removed wherever they stand in the table, beside a mention or not; from
+`generalise` on they are replaced by a general mark. Of equal texts one counts.
+Positions are code points, ends exclusive.
 
 Null texts are empty and have no spans. Equal rows get equal spans; rows that
 share a doc_id but not the text, or have no doc_id, are told apart by the text.
@@ -32,10 +32,12 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD = r"\p{L}{4,}+"
+WORD = r"[\p{L}\p{M}\p{N}_]++"
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 SALTS = 16
+#: so many disclosing terms are sent to every task; more go through a shuffle
+FEW = 500_000
 
 
 def _digits(m: Column) -> Column:
@@ -86,80 +88,112 @@ def matches(text: Column, pattern: str) -> Column:
     return F.aggregate(parts, zero, step)["out"]
 
 
-def base_spans(docs: DataFrame, reach: int = 60) -> DataFrame:
-    """(doc_id, rid, spans): one row a document; spans with kind, place, value and the text around them.
-
-    rid tells rows of one doc_id apart by their texts.
-    """
+def _found(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, spans): spans with kind, start, end and value."""
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    text = F.col("text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", _rid().alias("rid"), "text", *[F.when(test(text), matches(text, p)).otherwise(none).alias(k) for k, (p, test, _) in BASE.items()])
+    rows = rows.select("doc_id", "text", *[F.when(test(F.col("text")), matches(F.col("text"), p)).otherwise(none).alias(k) for k, (p, test, _) in BASE.items()])
+
+    def valid(kind, i, check):
+        return F.transform(F.filter(kind, lambda s: check(s["value"])), lambda s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
-    def around(kind, i, check):
-        good = F.filter(kind, lambda s: check(s["value"]))
-        return F.transform(
-            good,
-            lambda s: F.struct(
-                F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-                F.greatest(s["start"] - reach, F.lit(0)).alias("left_at"),
-                F.substring(text, F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach))).alias("left"),
-                # one more character than is used shows whether the last word goes on
-                F.substring(text, s["end"] + 1, F.lit(reach + 1)).alias("right"),
-            ),
-        )
+    spans = F.concat(*[valid(k, i, check) for i, (k, (_, _, check)) in enumerate(BASE.items())])
+    return rows.select("doc_id", "text", spans.alias("spans"))
 
-    spans = F.concat(*[around(k, i, check) for i, (k, (_, _, check)) in enumerate(BASE.items())])
-    return rows.select("doc_id", "rid", spans.alias("spans"))
+
+def base_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, tid, spans): one row a document.
+
+    rid tells rows of one doc_id apart by their texts; tid is the text's.
+    """
+    return _found(docs).select("doc_id", _rid().alias("rid"), _tid().alias("tid"), "spans")
 
 
 def _rid() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
 
 
-def _context_terms(base: DataFrame, reach: int) -> DataFrame:
-    """(rid, entity, context, term, start, end): words near a mention that touch no base span."""
-    mention = base.where(F.size("spans") > 0).select("rid", "spans", F.explode("spans").alias("m"))
-    entity = F.concat(F.col("m.kind").cast("string"), F.lit(":"), F.when(F.col("m.kind") >= 2, _digits(F.col("m.value"))).otherwise(F.lower("m.value")))
-    mention = mention.select(
-        "rid", "spans", "m", F.xxhash64(entity).alias("entity"), F.xxhash64("m.left", "m.right").alias("context"),
-        matches(F.col("m.left"), WORD).alias("l"), matches(F.col("m.right"), WORD).alias("r"),
-    )
-    # a word cut off by the window's outer edge is no word
-    left = F.filter("l", lambda s: (s["start"] > 0) | (F.col("m.left_at") == 0))
-    right = F.filter("r", lambda s: s["end"] <= reach)
-    put = lambda s, base: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + base).alias("start"), (s["end"] + base).alias("end"))
-    both = F.concat(F.transform(left, lambda s: put(s, F.col("m.left_at"))), F.transform(right, lambda s: put(s, F.col("m.end"))))
-    free = F.filter(both, lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return mention.select("rid", "entity", "context", F.explode(free).alias("t")).select("rid", "entity", "context", "t.term", "t.start", "t.end")
-
-
-def disclosing(docs: DataFrame, base: DataFrame, reach: int = 60, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
-    """(rid, start, end, removed): the places of terms that reveal an entity near them."""
-    near = _context_terms(base, reach)
-    evidence = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_both")).where(F.col("n_both") >= support)
-    mentions = base.select(F.explode("spans").alias("m"))
-    key = F.concat(F.col("m.kind").cast("string"), F.lit(":"), F.when(F.col("m.kind") >= 2, _digits(F.col("m.value"))).otherwise(F.lower("m.value")))
-    entities = mentions.select(F.xxhash64(key).alias("entity"), F.xxhash64("m.left", "m.right").alias("context")).groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
-    spread = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.count()
+def _tid() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _entities() -> Column:
+    def key(m):
+        return F.concat(m["kind"].cast("string"), F.lit(":"), F.when(m["kind"] >= 2, _digits(m["value"])).otherwise(F.lower(m["value"])))
+
+    return F.array_distinct(F.transform("spans", lambda m: F.xxhash64(key(m))))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """(tid, plain): every distinct text once, with blanks in place of its base spans."""
+    text, zero = F.col("text"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, s):
+        begin = F.greatest(s["start"], acc["at"])
+        gap = F.concat(F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0))))
+        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    def join(acc):
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
+
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    plain = F.when(F.size("spans") == 0, text).otherwise(F.aggregate(order, zero, step, join))
+    return _found(docs).select(_tid().alias("tid"), plain.alias("plain")).dropDuplicates(["tid"])
+
+
+def _terms() -> Column:
+    """The distinct terms of plain, as hashes."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower("plain"), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+
+
+def _places(bad: str) -> Column:
+    """array<struct<start,end,removed>> of the terms of plain that the map `bad` has.
+
+    Only these are gathered: the fold is linear in the text.
+    """
+    found = F.regexp_extract_all("plain", F.lit(WORD), F.lit(0))
+    parts = F.arrays_zip(F.split("plain", WORD, -1).alias("gap"), found.alias("hit"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,removed:boolean>>").alias("out"))
+
+    def step(acc, x):
+        start = acc["at"] + F.char_length(x["gap"])
+        end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
+        removed = F.try_element_at(F.col(bad), F.xxhash64(F.lower(x["hit"])))
+        put = F.array(F.struct(start.alias("start"), end.alias("end"), removed.alias("removed")))
+        return F.struct(end.alias("at"), F.when(removed.isNull(), acc["out"]).otherwise(F.concat(acc["out"], put)).alias("out"))
+
+    return F.aggregate(parts, zero, step)["out"]
+
+
+def disclosing(docs: DataFrame, base: DataFrame, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
+    """(tid, terms): the places of terms that reveal an entity of the table."""
+    texts = _plain(docs)
+    held = base.where(F.size("spans") > 0).select("tid", F.explode(_entities()).alias("entity")).distinct()
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    held = held.join(entities.select("entity"), "entity").groupBy("tid").agg(F.collect_list("entity").alias("entities"))
+    both = texts.join(held, "tid").select("entities", F.explode(_terms()).alias("term")).select("term", F.explode("entities").alias("entity"))
+    evidence = both.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    spread = texts.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support)
+    total = base.select("tid").distinct().count()
     n = F.lit(float(max(total, 2)))
     scored = evidence.join(entities, "entity").join(spread, "term")
     share = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))) / F.greatest(-F.log2(F.col("n_entity") / n), F.lit(1e-9))
-    bad = scored.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
-    # a common pair of term and entity is dealt over several tasks
-    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = near.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(bad, ["entity", "term", "salt"])
-    return placed.groupBy("rid", "start", "end").agg((F.max("share") >= remove).alias("removed"))
+    bad = scored.select("term", share.alias("share")).where(F.col("share") >= generalise)
+    bad = cut(bad.groupBy("term").agg((F.max("share") >= remove).alias("removed")))
+    few = bad.count() <= FEW
+    of_text = texts.select("tid", F.explode(_terms()).alias("term")).join(F.broadcast(bad) if few else bad, "term")
+    of_text = of_text.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("bad"))
+    return texts.join(of_text, "tid").select("tid", _places("bad").alias("terms"))
 
 
 def spans_of(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, rid, spans, terms) of every row: its base spans and the added ones."""
     base = cut(base_spans(docs))
-    terms = disclosing(docs, base, **how).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
+    # copies of one text are dealt over several tasks
+    terms = disclosing(docs, base, **how).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    return base.join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", none))
+    rows = base.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(terms, ["tid", "salt"], "left")
+    return rows.select("doc_id", "rid", "spans", F.coalesce("terms", none).alias("terms"))
 
 
 def _written(spans: Column, name) -> Column:

@@ -170,6 +170,19 @@ def test_pii_terms_that_disclose(spark):
     assert pii.sanitise(df.limit(0)).count() == 0
 
 
+def test_pii_terms_far_from_a_mention(spark):
+    rng = random.Random(8)
+    docs = [(i, sentence(rng, 60)) for i in range(200)]
+    for i in range(8):  # a short name, a user name and a staff number, some 300 characters from the mention and twice in the text
+        docs[i] = (i, f"Li {sentence(rng, 60)} Li zz_9 4711 {sentence(rng, 60)} li@corp.example.com")
+    docs[50] = (50, f"{sentence(rng, 60)} zz_9 again")  # without a mention
+    got = {r.doc_id: r for r in pii.report(frame(spark, docs)).collect()}
+    for i, text in docs:
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\b(Li|zz_9|4711)\b", text)]
+        assert [x for x in got[i].spans.split(",") if x.startswith("term")] == want
+    assert got[0].n_term == 4 and got[50].n_term == 1
+
+
 def test_pii_overlapping_spans_become_one(spark):
     t = "call +4111 1111 1111 1111 or 10.0.0.1@x.yz now"
     r = pii.sanitise(frame(spark, [(1, t)])).first()
