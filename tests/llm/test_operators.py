@@ -183,6 +183,17 @@ def test_pii_terms_far_from_a_mention(spark):
     assert got[0].n_term == 4 and got[50].n_term == 1
 
 
+def test_pii_copies_do_not_hide_a_term(spark):
+    rng = random.Random(12)
+    docs = [(i, sentence(rng, 30)) for i in range(600)]
+    docs += [(1000 + i, f"{sentence(rng, 5)} Zebulon zeb@corp.example.com {sentence(rng, 5)}") for i in range(3)]
+    docs += [(2000 + i, "Zebulon of old zeb@corp.example.com hums") for i in range(300)]
+    got = {r.doc_id: r.spans for r in pii.report(frame(spark, docs)).collect()}
+    for i, text in docs:
+        at = text.find("Zebulon")
+        assert (f"term:{at}:{at + 7}" in got[i]) == (at >= 0)
+
+
 def test_pii_overlapping_spans_become_one(spark):
     t = "call +4111 1111 1111 1111 or 10.0.0.1@x.yz now"
     r = pii.sanitise(frame(spark, [(1, t)])).first()
