@@ -70,7 +70,7 @@ def bow_vectors(spark, d):
 @query(f"""WITH {LOW}, t AS (SELECT id, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM (SELECT id, list_slice(tokens, 1, 40) AS s FROM p))
 SELECT l.x AS a, r.x AS b, count(*) AS n FROM t l JOIN t r ON l.id = r.id AND l.i < r.i GROUP BY 1, 2""")
 def cooccurrence_tokens(spark, d):
-    return counts.cooccurrence(_low(spark, d), max_tokens=40)
+    return counts.cooccurrence(_low(spark, d))
 
 
 @query("SELECT conv_id AS source, max(turn) AS last FROM conversations GROUP BY conv_id")
