@@ -71,8 +71,7 @@ def filter_out(spark, d):
 
 @query(f"WITH {LOW} SELECT id, array_to_string(list_concat(list_slice(tokens, 1, 3), ['x', lang]), ' ') AS tokens FROM p")
 def array_push(spark, d):
-    df = _low(spark, d).withColumn("tokens", F.slice("tokens", 1, 3))
-    return _run(spark, d, ["ArrayField", {"field": "tokens", "push": True, "elements": "'x'\nlang"}], df=df).select("id", F.array_join("tokens", " ").alias("tokens"))
+    return _run(spark, d, ["ArrayField", {"field": "tokens", "push": True, "elements": "'x'\nlang"}], df=_low(spark, d)).select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(f"""WITH {LOW}, q AS (SELECT id, tokens, list_position(tokens, 'the') AS k FROM p)
@@ -203,8 +202,7 @@ def condition_branch(spark, d):
 
 @query(f"WITH {LOW}, q AS (SELECT id, list_slice(tokens, 1, 4) AS t FROM p) SELECT id, w, count(*) AS n FROM (SELECT id, unnest(t) || '!' AS w FROM q UNION ALL SELECT id, NULL AS w FROM q) GROUP BY 1, 2")
 def foreach_explode(spark, d):
-    df = _low(spark, d).withColumn("tokens", F.slice("tokens", 1, 4))
-    out = _run(spark, d, ["ForEach", {"field": "tokens", "as_name": "w", "pipeline": [["FieldAssignment", {"field": "w", "value": "w + '!'"}]]}], df=df)
+    out = _run(spark, d, ["ForEach", {"field": "tokens", "as_name": "w", "pipeline": [["FieldAssignment", {"field": "w", "value": "w + '!'"}]]}], df=_low(spark, d))
     return out.groupBy("id", "w").agg(F.count("*").alias("n"))
 
 

@@ -33,3 +33,12 @@ def test_cooccurrence_of_odd_records(spark):
     df = spark.createDataFrame([(["x"] * 1000,), (["a", None, "a"],), ([],), (None,), (["b"],)], "tokens array<string>")
     want = {("x", "x"): 499500, ("a", None): 1, ("a", "a"): 1, (None, "a"): 1}
     assert {(r.a, r.b): r.n for r in counts.cooccurrence(df).collect()} == want
+
+
+def test_array_stages_take_all_tokens(spark, tables):
+    at, tokens = tables
+    got = {r.id: r.tokens for r in catalogue.queries()["array_push"](spark, at).collect()}
+    assert {int(i): t for i, t in got.items()} == {i: " ".join([*t, "x", "en"]) for i, t in tokens.items()}
+    want = {(i, f"{w}!"): n for i, t in tokens.items() for w, n in Counter(t).items()} | {(i, None): 1 for i in tokens}
+    got = catalogue.queries()["foreach_explode"](spark, at)
+    assert {(int(r.id), r.w): r.n for r in got.collect()} == want
