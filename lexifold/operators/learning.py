@@ -19,19 +19,21 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return flat.select("id", "cluster", xy[0].alias("x"), xy[1].alias("y"))
 
 
-def topics(df: DataFrame, k: int, tokens: str = "tokens", vocabulary: int = 5000, iterations: int = 5, words: int = 10, seed: int = 1):
-    """(rows (id, topic), topics (topic, terms)): LDA over token counts."""
+def topics(df: DataFrame, k: int, tokens: str = "tokens", vocabulary: int = 0, iterations: int = 5, words: int = 10, seed: int = 1):
+    """(rows (id, topic), topics (topic, terms)): LDA over token counts. vocabulary: only the most frequent words (0: all)."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
-    cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocabulary, minDF=2).fit(df)
+    size = vocabulary or max(1, df.select(F.explode(tokens).alias("term")).distinct().count())
+    cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=size, minDF=1).fit(df)
     rows = cv.transform(df).select("id", "features")
     model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="features").fit(rows)
     d = vector_to_array("topicDistribution")
     best = F.array_position(d, F.array_max(d)) - 1
-    names = F.array(*[F.lit(w) for w in cv.vocabulary])
-    return model.transform(rows).select("id", best.alias("topic")), model.describeTopics(words).select("topic", F.transform("termIndices", lambda i: F.element_at(names, i + 1)).alias("terms"))
+    names = cv.vocabulary
+    terms = [(r.topic, [names[i] for i in r.termIndices]) for r in model.describeTopics(words).collect()]
+    return model.transform(rows).select("id", best.alias("topic")), df.sparkSession.createDataFrame(terms, "topic int, terms array<string>")
 
 
 def scatter(found: DataFrame, notation: str) -> DataFrame:

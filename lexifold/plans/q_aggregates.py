@@ -63,7 +63,7 @@ def pmi_words(spark, d):
 @query(f"""WITH {LOW}, t AS (SELECT id, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS term FROM p), v AS (SELECT term, row_number() OVER (ORDER BY f) - 1 AS dim FROM (SELECT term, min((id, pos)) AS f FROM t GROUP BY term)),
 c AS (SELECT id, dim, count(*) AS c FROM t JOIN v USING (term) WHERE dim < 200 GROUP BY ALL) SELECT id, string_agg(dim || ':' || c, ' ' ORDER BY dim) AS vec FROM c GROUP BY id""")
 def bow_vectors(spark, d):
-    b = counts.bag_of_words(_low(spark, d), 200)
+    b = counts.bag_of_words(_low(spark, d), 100000)
     return b.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("vec")), lambda e: F.concat_ws(":", e["key"], e["value"])), " ").alias("vec"))
 
 

@@ -52,7 +52,7 @@ def _pmi(df: DataFrame, max_len: int = 4, min_freq: float = 0.0001, min_pmi: flo
 
 
 @stage("WordsBagVectorize")
-def _bag(df: DataFrame, dims: int = 10000, field: str = "tokens") -> DataFrame:
+def _bag(df: DataFrame, dims: int = 100000, field: str = "tokens") -> DataFrame:
     """vec: a sparse count vector."""
     return df.join(counts.bag_of_words(df, dims, field), "id", "left")
 

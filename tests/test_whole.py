@@ -42,3 +42,25 @@ def test_array_stages_take_all_tokens(spark, tables):
     want = {(i, f"{w}!"): n for i, t in tokens.items() for w, n in Counter(t).items()} | {(i, None): 1 for i in tokens}
     got = catalogue.queries()["foreach_explode"](spark, at)
     assert {(int(r.id), r.w): r.n for r in got.collect()} == want
+
+
+def test_bow_numbers_all_words(spark, tables):
+    at, tokens = tables
+    dim, want = {}, {}
+    for i, t in tokens.items():
+        c = Counter(dim.setdefault(w, len(dim)) for w in t)
+        want[i] = " ".join(f"{k}:{c[k]}" for k in sorted(c))
+    got = {int(r.id): r.vec for r in catalogue.queries()["bow_vectors"](spark, at).collect()}
+    assert len(dim) > 200 and got == want  # the empty text has an empty vector
+    few = counts.bag_of_words(spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, None)], "id long, tokens array<string>"), 1)
+    assert {r.id: r.vec for r in few.collect()} == {1: {0: 1}, 2: {}, 3: {}}
+
+
+def test_lda_uses_all_words(spark, tables, monkeypatch):
+    from pyspark.ml.feature import CountVectorizerModel
+
+    at, tokens = tables
+    seen, plain = [], CountVectorizerModel.transform
+    monkeypatch.setattr(CountVectorizerModel, "transform", lambda self, *a, **k: seen.append(len(self.vocabulary)) or plain(self, *a, **k))
+    assert catalogue.queries()["lda_topics"](spark, at).count() == len(tokens)
+    assert seen == [len({w for t in tokens.values() for w in t})]
