@@ -61,14 +61,15 @@ def pmi_words(spark, d):
 
 
 @query(f"""WITH {LOW}, t AS (SELECT id, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS term FROM p), v AS (SELECT term, row_number() OVER (ORDER BY f) - 1 AS dim FROM (SELECT term, min((id, pos)) AS f FROM t GROUP BY term)),
-c AS (SELECT id, dim, count(*) AS c FROM t JOIN v USING (term) WHERE dim < 200 GROUP BY ALL) SELECT id, string_agg(dim || ':' || c, ' ' ORDER BY dim) AS vec FROM c GROUP BY id""")
+c AS (SELECT id, dim, count(*) AS c FROM t JOIN v USING (term) WHERE dim < 100000 GROUP BY ALL), g AS (SELECT id, string_agg(dim || ':' || c, ' ' ORDER BY dim) AS vec FROM c GROUP BY id)
+SELECT id, coalesce(vec, '') AS vec FROM p LEFT JOIN g USING (id)""")
 def bow_vectors(spark, d):
     b = counts.bag_of_words(_low(spark, d), 100000)
     return b.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("vec")), lambda e: F.concat_ws(":", e["key"], e["value"])), " ").alias("vec"))
 
 
-@query(f"""WITH {LOW}, t AS (SELECT id, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM (SELECT id, list_slice(tokens, 1, 40) AS s FROM p))
-SELECT l.x AS a, r.x AS b, count(*) AS n FROM t l JOIN t r ON l.id = r.id AND l.i < r.i GROUP BY 1, 2""")
+# pairs of whole texts take DuckDB too long: tests/test_whole.py holds it against a count by hand
+@query()
 def cooccurrence_tokens(spark, d):
     return counts.cooccurrence(_low(spark, d))
 

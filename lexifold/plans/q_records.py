@@ -69,7 +69,7 @@ def filter_out(spark, d):
     return _run(spark, d, ["FilterOut", {"cond": "lang == 'en' and n < 2000"}]).select("id", "lang", "n")
 
 
-@query(f"WITH {LOW} SELECT id, array_to_string(list_concat(list_slice(tokens, 1, 3), ['x', lang]), ' ') AS tokens FROM p")
+@query(f"WITH {LOW} SELECT id, array_to_string(list_concat(tokens, ['x', lang]), ' ') AS tokens FROM p")
 def array_push(spark, d):
     return _run(spark, d, ["ArrayField", {"field": "tokens", "push": True, "elements": "'x'\nlang"}], df=_low(spark, d)).select("id", F.array_join("tokens", " ").alias("tokens"))
 
@@ -200,7 +200,7 @@ def condition_branch(spark, d):
     return _run(spark, d, ["Condition", {"cond": "n >= 4000", "iftrue": [["FieldAssignment", {"field": "label", "value": "big"}]], "iffalse": [["FieldAssignment", {"field": "label", "value": "lang"}]]}]).select("id", "label")
 
 
-@query(f"WITH {LOW}, q AS (SELECT id, list_slice(tokens, 1, 4) AS t FROM p) SELECT id, w, count(*) AS n FROM (SELECT id, unnest(t) || '!' AS w FROM q UNION ALL SELECT id, NULL AS w FROM q) GROUP BY 1, 2")
+@query(f"WITH {LOW}, q AS (SELECT id, unnest(tokens) || '!' AS w FROM p UNION ALL SELECT id, NULL AS w FROM p) SELECT id, w, count(*) AS n FROM q GROUP BY 1, 2")
 def foreach_explode(spark, d):
     out = _run(spark, d, ["ForEach", {"field": "tokens", "as_name": "w", "pipeline": [["FieldAssignment", {"field": "w", "value": "w + '!'"}]]}], df=_low(spark, d))
     return out.groupBy("id", "w").agg(F.count("*").alias("n"))
