@@ -20,13 +20,19 @@ they share. First come some turns over a quarter of the groups each. In the
 first, one class of a group is compared with all others; in the next, each
 component that a group still has is compared with another one by its nearest
 pair, so they merge as in Boruvka's algorithm. This finds most components at
-little cost. Then, over all groups, all classes of a group that are still in
-different components are compared (pairs within one would change no component),
-which misses nothing. A pair is compared text against
-text, but only if its odd sketches allow it: a sketch has a bit for each cell of
-a hash of the domain, set if the set has an odd number of elements there, so two
-sets differ in at least as many elements as their sketches differ in bits. With
-two to four bits an element few pairs that are not similar enough remain.
+little cost. Then, over all groups that still hold several components, classes
+of different components are compared (pairs within one would change no
+component), which misses nothing. A pair is compared text against text, but only
+if its odd sketches allow it: a sketch has a bit for each cell of a hash of the
+domain, set if the set has an odd number of elements there, so two sets differ in
+at least as many elements as their sketches differ in bits. The turns use two to
+four bits an element. What they leave is mostly sets that are nearly similar
+enough and meet in many groups; for the last comparison these get sketches of
+FINE times as many bits, so that few pairs but the linked ones are left.
+
+Memberships travel as two numbers; sketches join them only for the groups that a
+turn compares. A group of more than SPLIT classes is dealt in blocks: each block
+meets the group's first class in the first turn, and each other block later.
 
 Null and wordless texts have the empty set and are linked with nothing. Texts
 with fewer than n words have all their words as one element. A document may
@@ -50,6 +56,8 @@ HASH_BITS = 54
 SEEDS = 4
 SALTS = 16
 TURNS = 4
+SPLIT = 1024  # classes of a group in one task
+FINE = 8
 BAND = 1.4  # about how much larger the largest set of a band is than its smallest
 
 
@@ -191,10 +199,10 @@ def _whole_groups(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
-def odd_sketches(hashes, first) -> pa.Array:
-    """A bit vector for each set: 2**j cells, j by size alone, a cell is 1 if it has an odd number of elements."""
+def odd_sketches(hashes, first, fine: int = 1) -> pa.Array:
+    """A bit vector for each set: 2**j cells, j by size and `fine` alone, a cell is 1 if it has an odd number of elements."""
     n = np.diff(first)
-    log = np.maximum(6, np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64))
+    log = np.maximum(6, np.ceil(np.log2(np.maximum(1, 2 * fine * n))).astype(np.int64))
     base = np.concatenate(([0], np.cumsum(1 << log)))
     cell = (tb.mix(hashes + U(0xABCDEF)) & ((U(1) << log.astype(U)) - U(1))[np.repeat(np.arange(len(n)), n)]).astype(np.int64)
     count = np.bincount(np.repeat(base[:-1], n) + cell, minlength=int(base[-1]))
@@ -212,6 +220,17 @@ class Sketches:
         self.words = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view(U) if len(column) else np.zeros(0, U)
         self.start, self.size = (off[:-1] - off[0]) // 8, np.diff(off) // 8
 
+    def coarse(self, times: int) -> "Sketches":
+        """The same folded to 1 / times of the bits, one word at least."""
+        out = object.__new__(Sketches)
+        out.size = np.maximum(1, self.size // times)
+        out.start = np.cumsum(out.size) - out.size
+        out.words = np.zeros(int(out.size.sum()), U)
+        for w in np.unique(out.size):
+            rows = np.flatnonzero(out.size == w)
+            out.words[out.start[rows][:, None] + np.arange(w)] = self._at(rows, int(w))
+        return out
+
     def _at(self, rows, width):
         out = np.zeros((len(rows), width), U)
         size = self.size[rows]
@@ -241,10 +260,11 @@ class JaccardJoin:
         self.spark, self.n, self.bands = docs.sparkSession, n, Bands(num, den)
         tb.ship(self.spark)
         self.docs = docs.select("doc_id", "text")
+        self.named = docs.select("doc_id", "text", _name().alias("name"))
         self._linked = None
 
     def sets(self) -> DataFrame:
-        """(doc_id, n_shingles, set_key, sketch) of every row."""
+        """(doc_id, name, n_shingles, set_key, sketch) of every row; name tells rows of one doc_id apart by their texts."""
         n = self.n
 
         def run(batches):
@@ -252,11 +272,11 @@ class JaccardJoin:
                 for block in tb.blocks(batch.column("text")):
                     h, first = shingle_sets(block, n)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(block.rows.start, len(block)), pa.array(np.diff(first)), pa.array(_set_keys(h, first)), odd_sketches(h, first)],
-                        ["doc_id", "n_shingles", "set_key", "sketch"],
+                        [*(batch.column(c).slice(block.rows.start, len(block)) for c in ("doc_id", "name")), pa.array(np.diff(first)), pa.array(_set_keys(h, first)), odd_sketches(h, first)],
+                        ["doc_id", "name", "n_shingles", "set_key", "sketch"],
                     )
 
-        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, set_key long, sketch binary")
+        return self.named.mapInArrow(run, "doc_id long, name long, n_shingles long, set_key long, sketch binary")
 
     def signed(self) -> DataFrame:
         """(sig, set_key) of every set; a task signs equal sets once."""
@@ -276,7 +296,7 @@ class JaccardJoin:
         return self.docs.mapInArrow(run, "sig long, set_key long")
 
     def shared(self) -> DataFrame:
-        """(grp, set_key): the different groups of at least two sets with one signature."""
+        """(grp, set_key, n): the different groups of at least two sets with one signature; n: the sets of the group."""
 
         def run(batches):
             for t in _whole_groups(batches, "sig"):
@@ -289,58 +309,106 @@ class JaccardJoin:
                 new = np.isin(np.arange(len(name)), np.unique(name, return_index=True)[1])
                 name, a, n = name[new], a[new], (b - a)[new]
                 at = tb.ranges(a, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n).view(np.int64)), pa.array(key[at])], ["grp", "set_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n).view(np.int64)), pa.array(key[at]), pa.array(np.repeat(n, n).astype(np.int32))], ["grp", "set_key", "n"])
 
         dealt = self.signed().repartition("sig").sortWithinPartitions("sig", "set_key")
-        return dealt.mapInArrow(run, "grp long, set_key long").distinct()
+        return dealt.mapInArrow(run, "grp long, set_key long, n int").distinct()
+
+    def _dealt(self, rows: DataFrame, first: bool) -> DataFrame:
+        """rows with `part` and `side`: what one task compares. Sets of part are compared if their sides differ or are 2."""
+        few = rows.where(F.col("n") <= SPLIT).select(F.col("grp").alias("part"), F.lit(2).alias("side"), "set_key", "label")
+        many = rows.where(F.col("n") > SPLIT).withColumn("blocks", F.ceil(F.col("n") / SPLIT).cast("int"))
+        many = many.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+        others = F.sequence(F.lit(0), F.col("blocks") - 1)
+        if first:  # the smallest set meets every block
+            hub = many.groupBy("grp").agg(F.min("set_key").alias("set_key")).withColumn("hub", F.lit(True))
+            many = many.join(hub, ["grp", "set_key"], "left").withColumn("to", F.explode(F.when(F.col("hub"), others).otherwise(F.array("block"))))
+            part, side = F.xxhash64("grp", "to"), F.lit(2)
+        else:
+            many = many.withColumn("to", F.explode(others))
+            part = F.xxhash64("grp", F.least("block", "to"), F.greatest("block", "to"))
+            side = F.when(F.col("block") == F.col("to"), 2).otherwise((F.col("block") > F.col("to")).cast("int"))
+        return few.union(many.select(part.alias("part"), side.alias("side"), "set_key", "label"))
 
     def _pairs(self, rows: DataFrame, turn: int | None) -> DataFrame:
         """(a, b): pairs of set keys in a group with different labels that may be similar enough.
 
-        rows: grp, set_key, size, sketch, label. turn 0: pairs with one class of
-        each group; later ones: the nearest pair of each label in each group, by
+        rows: grp, set_key, n, label. turn 0: pairs with one class of each
+        group; later ones: the nearest pair of each label in each group, by
         sketches; None: all pairs.
         """
         num, den = self.bands.num, self.bands.den
 
         def run(batches):
-            for t in _whole_groups(batches, "grp"):
-                grp, key, size, label = (t.column(c).to_numpy() for c in ("grp", "set_key", "size", "label"))
+            found = _Pairs()
+            for t in _whole_groups(batches, "part"):
+                part, side, key, size, label = (t.column(c).to_numpy() for c in ("part", "side", "set_key", "size", "label"))
                 size = size.astype(np.int64)
                 sketch = Sketches(t.column("sketch"))
-                start, end = _groups(grp)
+                passes = [sketch] if turn is not None else [sketch.coarse(FINE), sketch]
+                start, end = _groups(part)
                 if turn == 0:  # the smallest key with each other one
                     n = end - start - 1
-                    found = [(np.repeat(start, n), tb.ranges(start + 1, n))]
-                else:
-                    runs = ((s, e) for s, e in zip(start.tolist(), end.tolist()) if (label[s:e] != label[s]).any())
-                    found = ((np.full(e - i - 1, i), np.arange(i + 1, e)) for s, e in runs for i in range(s, e - 1))
+                    tried = [(np.repeat(start, n), tb.ranges(start + 1, n))]
+                else:  # each with those that come after all of its label
+                    last = np.flatnonzero(np.concatenate(((label[1:] != label[:-1]) | (part[1:] != part[:-1]), [True])))
+                    after = last[np.searchsorted(last, np.arange(len(part)))] + 1
+                    tried = ((np.full(e - after[i], i), np.arange(after[i], e)) for s, e in zip(start.tolist(), end.tolist()) for i in range(s, e) if after[i] < e)
                 nearest: list = []
-                for a, b in _chunks(found):
-                    keep = (label[a] != label[b]) & (den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b]))
+                for a, b in _chunks(tried):
+                    keep = (label[a] != label[b]) & ((side[a] == 2) | (side[a] != side[b])) & (den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b]))
                     a, b = a[keep], b[keep]
-                    far = sketch.differ(a, b)
-                    keep = far * (den + num) <= (den - num) * (size[a] + size[b])
-                    a, b, far = a[keep], b[keep], far[keep]
+                    for by in passes:
+                        far = by.differ(a, b)
+                        keep = far * (den + num) <= (den - num) * (size[a] + size[b])
+                        a, b, far = a[keep], b[keep], far[keep]
                     if turn:
                         nearest.append(_nearest(a, b, far, np.searchsorted(start, a, side="right"), label))
                     else:
-                        yield from _pair_rows(key, a, b)
+                        yield from found.add(key, a, b)
                 if nearest:
                     a, b, far = (np.concatenate(x) for x in zip(*nearest))
                     a, b, _ = _nearest(a, b, far, np.searchsorted(start, a, side="right"), label)
-                    yield from _pair_rows(key, a, b)
+                    yield from found.add(key, a, b)
+            yield from found.rest()
+
+        if turn != 0:  # groups that are not yet one component
+            mixed = rows.groupBy("grp").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+            rows = rows.join(mixed.select("grp"), "grp", "left_semi")
+        if turn is None:
+            rows = cut(rows)
+            sketches = self._fine(rows.select("set_key").distinct())
+        else:
+            sketches = self._classes.select("set_key", "size", "sketch")
+        order = ["part", "set_key"] if turn == 0 else ["part", "label", "set_key"]
+        dealt = self._dealt(rows, turn == 0).join(sketches, "set_key").repartition("part").sortWithinPartitions(*order)
+        return dealt.select("part", "side", "set_key", "size", "sketch", "label").mapInArrow(run, "a long, b long").distinct()
+
+    def _texts(self, needed: DataFrame) -> DataFrame:
+        """(set_key, text): the text of the smallest doc_id of each set of needed; other rows of that id come too."""
+        ids = self._classes.join(needed, "set_key", "left_semi").select("set_key", F.col("class_id").alias("doc_id"))
+        return self.docs.join(ids, "doc_id").select("set_key", "text")
+
+    def _fine(self, needed: DataFrame) -> DataFrame:
+        """(set_key, size, sketch): finer sketches of the sets in needed."""
+        n = self.n
+
+        def run(batches):
+            for batch in batches:
+                want = batch.column("set_key").to_numpy()
+                for block in tb.blocks(batch.column("text")):
+                    h, first = shingle_sets(block, n)
+                    mine = want[block.rows.start : block.rows.start + len(block)] == _set_keys(h, first)
+                    h, first = _pick(h, first, np.flatnonzero(mine))
+                    yield pa.RecordBatch.from_arrays([batch.column("set_key").slice(block.rows.start, len(block)).filter(pa.array(mine)), pa.array(np.diff(first)), odd_sketches(h, first, FINE)], ["set_key", "size", "sketch"])
 
-        columns = ["grp", "set_key", "size", "sketch", "label"]
-        dealt = rows.select(*columns).repartition("grp").sortWithinPartitions("grp", "set_key")
-        return dealt.mapInArrow(run, "a long, b long").distinct()
+        return cut(self._texts(needed).mapInArrow(run, "set_key long, size long, sketch binary").dropDuplicates(["set_key"]))
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sets are similar enough. A set's text is that of its smallest doc_id."""
         n, num, den = self.n, self.bands.num, self.bands.den
         needed = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
-        ids = self._classes.join(needed, "set_key", "left_semi").select("set_key", F.col("class_id").alias("doc_id"))
-        texts = self.docs.join(ids, "doc_id").select("set_key", "text")
+        texts = self._texts(needed)
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
         left = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("set_key", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
         right = salted.join(texts.withColumnRenamed("set_key", "b"), "b").select("a", "salt", "b", "text")
@@ -375,8 +443,8 @@ class JaccardJoin:
         if self._linked is None:
             self._sets = cut(self.sets())
             self._classes = cut(self._sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch"), F.max("n_shingles").alias("size")).where("class_id is not null"))
+            # (sets of rows without a doc_id are in no class)
             shared = cut(self.shared())
-            shared = cut(shared.join(self._classes.select("set_key", "sketch", "size"), "set_key"))
             rows = shared.withColumn("label", F.col("set_key"))
             tried = links = None
             for turn in range(TURNS + 1):
@@ -399,25 +467,49 @@ class JaccardJoin:
             self._linked = label.select(F.col("node").alias("set_key"), "component")
         return self._sets, self._classes, self._linked
 
-    def membership(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every row; a row without a doc_id has no component."""
+    def members(self) -> DataFrame:
+        """(doc_id, name, n_shingles, component_id) of every row; a row without a doc_id has no component."""
         sets, classes, label = self.solve()
         named = classes.join(label, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
         least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
         by_key = named.join(least, "component").select("set_key", "component_id")
         id_or = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-        found = sets.where("n_shingles > 0").join(by_key, "set_key", "left").select("doc_id", "n_shingles", id_or)
-        return found.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        found = sets.where("n_shingles > 0").join(by_key, "set_key", "left").select("doc_id", "name", "n_shingles", id_or)
+        return found.union(sets.where("n_shingles = 0").select("doc_id", "name", "n_shingles", F.col("doc_id").alias("component_id")))
+
+    def membership(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) of every row."""
+        return self.members().select("doc_id", "n_shingles", "component_id")
+
 
+def _name():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
-def _pair_rows(key, a, b):
-    """The distinct pairs of keys, the smaller first."""
-    x, y = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
-    if len(x):
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
+
+class _Pairs:
+    """The pairs that a task finds, the smaller key first; those held at one time are distinct."""
+
+    def __init__(self, most: int = 1 << 19):
+        self.x, self.y, self.most = np.zeros(0, np.int64), np.zeros(0, np.int64), most
+
+    def add(self, key, a, b):
+        self.x, self.y = np.concatenate((self.x, np.minimum(key[a], key[b]))), np.concatenate((self.y, np.maximum(key[a], key[b])))
+        if len(self.x) >= self.most:
+            self._distinct()
+            if 2 * len(self.x) >= self.most:
+                yield from self.rest()
+
+    def _distinct(self):
+        order = np.lexsort((self.y, self.x))
+        x, y = self.x[order], self.y[order]
         new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
+        self.x, self.y = x[new], y[new]
+
+    def rest(self):
+        if len(self.x):
+            self._distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(self.x), pa.array(self.y)], ["a", "b"])
+            self.x = self.y = np.zeros(0, np.int64)
 
 
 def _nearest(a, b, far, group, label):
@@ -449,11 +541,11 @@ def _chunks(found, most: int = 1 << 18):
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without all but the smallest doc_id of each group of near duplicates.
 
-    Of rows that share that doc_id and group, and of rows without an id, all stay.
+    Rows of that doc_id and group all stay, and so do rows without an id. Of
+    rows that share a doc_id each goes or stays by its own text.
     """
-    member = JaccardJoin(docs, n, num, den).membership()
-    gone = member.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = JaccardJoin(docs, n, num, den).members().where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("name").alias("__name")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (_name() == F.col("__name")), "left_anti")
 
 
 ORACLE = r"""

@@ -489,12 +489,43 @@ def test_ngram_join_equals_brute_force(spark, n, num):
     assert sorted(rows(j.membership(), "doc_id", "n_shingles", "component_id"), key=str) == _near(table, n, num)
 
 
+def test_ngram_join_of_a_large_group_just_below(spark, monkeypatch):
+    """500 sets that share most of their elements and are mostly a little too far apart."""
+    rng = np.random.default_rng(5)
+    n, slots = 500, 50
+    kept, docs = np.ones((n, slots * 6 + 26), bool), []
+    for i in range(n):
+        w = [f"b{k}" for k in range(slots * 6 + 30)]
+        for at in rng.choice(slots, 5, replace=False) * 6 + 10:
+            w[at] = f"own{i}x{at}"
+            kept[i, at - 4 : at + 1] = False
+        docs.append((i + 7, " ".join(w)))
+    same = kept.astype(np.float32) @ kept.T.astype(np.float32)
+    size = kept.shape[1]
+    link = 100 * same >= 80 * (2 * size - same)
+    label = np.arange(n)
+    while True:
+        new = np.array([label[row].min() for row in link])
+        if (new == label).all():
+            break
+        label = new
+    monkeypatch.setattr(ngram_join, "SPLIT", 150)
+    seen, plain = [], ngram_join.JaccardJoin._verified
+    monkeypatch.setattr(ngram_join.JaccardJoin, "_verified", lambda self, pairs: seen.append(pairs.count()) or plain(self, pairs))
+    got = rows(ngram_join.JaccardJoin(frame(spark, docs), 5, 80, 100).membership(), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == [(i + 7, size, int(label[i]) + 7) for i in range(n)]
+    assert 10 < len(set(label)) < n - 10 and sum(seen) < 8 * n
+
+
 def test_ngram_join_edges(spark):
     one = ngram_join.JaccardJoin(frame(spark, [(201, "one id " * 40), (201, "two texts " * 40), (7, "two texts " * 40)]), 4, 85, 100)
     assert sorted(rows(one.membership(), "doc_id", "component_id")) == [(7, 7), (201, 7), (201, 201)]
     assert ngram_join.JaccardJoin(frame(spark, [])).membership().count() == 0
     kept = ngram_join.keep_one(frame(spark, [(3, "a b c d e f"), (1, "A b c d e f"), (2, None), (4, ""), (9, "q")], clash=("set_key",)))
     assert sorted(rows(kept, "doc_id", "set_key")) == [(1, "mine"), (2, "mine"), (4, "mine"), (9, "mine")]
+    # rows of one id go or stay by their own texts
+    kept = ngram_join.keep_one(frame(spark, [(1, "a b c d e f g"), (3, "a b c d e f g"), (3, "q r s t u v w"), (5, "q r s t u v w")]))
+    assert sorted(rows(kept, "doc_id", "text")) == [(1, "a b c d e f g"), (3, "q r s t u v w")]
 
 
 @settings(max_examples=20, deadline=None)
