@@ -1,15 +1,17 @@
 """Re-Pair grammar compression of token ids.
 
-Each round counts all adjacent pairs exactly and replaces the most frequent ones
-(non-overlapping, more frequent pairs first) by nonterminals; it ends when no
-pair is frequent, the rounds are used up or symbols would need more than 16
-bits. Documents end in a terminal of their own and no rule begins with it, so
-no symbol crosses documents and each can be decoded alone.
-
-A shard as bytes, little-endian: b"RPG1", then as uint32 the numbers of base
-symbols, rules, documents and symbols; the rules (two uint16 each); the
-expansion lengths of the rules (uint32); each document's number of ids (uint32)
-and of symbols (uint32); the symbols (uint16).
+Each round counts all adjacent pairs exactly and replaces the frequent ones
+(non-overlapping, more frequent pairs first) by nonterminals: those that come at
+least 1 / STEP as often as the most frequent one. It goes on until no pair comes
+`least` times; a rule for fewer would take more bytes than it saves. Documents
+end in a terminal of their own and nothing that ends in it begins a rule, so no
+symbol crosses documents and each can be decoded alone.
+
+A shard as bytes: b"RPG2", the number of base symbols (uint32, little-endian),
+then five arrays: the rules (two symbols each), the rules' expansion lengths,
+each document's number of ids and of symbols, the symbols. An array is its
+length and the bits of an element (uint32, little-endian), then the elements in
+so many bits each, the last byte filled up.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ import numpy as np
 
 from .textblocks import ranges
 
-MAGIC = b"RPG1"
-SYMBOLS = 1 << 16
-SLOT_BITS = 18
+MAGIC = b"RPG2"
+SYMBOL_BITS = 24
+SLOT_BITS = 20
+STEP = 8
+SHORT = 32  # expansions of up to so many ids are kept when reading
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,96 +32,112 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * _ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _frequent(keys: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Up to `most` pairs that come at least `least` times, the most frequent first."""
+def _frequent(keys: np.ndarray, least: int, most: int):
+    """Up to `most` pairs that come at least `least` times and often enough for this round, the most frequent first."""
     keys = np.sort(keys)
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     count = np.diff(np.concatenate((at, [len(keys)])))
-    keep = np.flatnonzero(count >= least)
+    keep = np.flatnonzero(count >= max(least, int(count.max(initial=0)) // STEP))
     keep = keep[np.lexsort((keys[at[keep]], -count[keep]))[:most]]
     return keys[at[keep]]
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, base: int, rounds: int = 5, least: int = 16, per_round: int = 3225):
+def _replace(keys, inner, chosen, least):
+    """(rank of the pair, place) of the occurrences of chosen pairs to replace; pairs left with too few are given up."""
+    table = np.zeros(1 << SLOT_BITS, np.int32)
+    slots = _slot(chosen)
+    table[slots[::-1]] = np.arange(len(chosen), 0, -1)  # of two pairs in a slot the more frequent stays
+    which = table[_slot(keys)]
+    at = np.flatnonzero(which)
+    at = at[inner[at] & (chosen[which[at] - 1] == keys[at])]
+    rank = which[at].astype(np.int64)
+    # neighbouring candidates overlap: the better rank stays; in runs of equal ones every second
+    joined = np.concatenate(([False], at[1:] == at[:-1] + 1))
+    equal = joined & np.concatenate(([False], rank[1:] == rank[:-1]))
+    starts = np.maximum.accumulate(np.where(equal, 0, np.arange(len(at))))
+    order = rank * 2 + ((np.arange(len(at)) - starts) & 1)
+    big = np.int64(1 << 40)
+    left = np.where(joined, np.concatenate(([big], order[:-1])), big)
+    right = np.where(np.concatenate((joined[1:], [False])), np.concatenate((order[1:], [big])), big)
+    win = (order < left) & (order < right)
+    at, rank = at[win], rank[win] - 1
+    times = np.bincount(rank, minlength=len(chosen))
+    good = times >= least
+    return rank[good[rank]], at[good[rank]]
+
+
+def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 3):
     """(rules, symbols, symbols per document). ids: below base; every document ends in an id of its own.
 
     sizes: ids per document, its end included, so none is 0. The end's symbol is `base`.
     """
+    if len(ids) and int(ids.max()) >= base:
+        raise ValueError(f"ids must be below {base}")
     seq = ids.astype(np.uint32)
     end = np.cumsum(sizes) - 1
     seq[end] = base
+    closing = np.zeros(base + 1, bool)  # symbols whose expansion has the end of a document
+    closing[base] = True
     rules: list[np.ndarray] = []
-    symbols = base + 1
-    for _ in range(rounds):
-        room = min(per_round, SYMBOLS - symbols)
-        if room <= 0 or len(seq) < 2:
-            break
-        keys = (seq[:-1].astype(np.int64) << 16) | seq[1:]
-        inner = seq[:-1] != base
-        chosen = _frequent(keys[inner], least, room)
+    while len(seq) > 1:
+        keys = (seq[:-1].astype(np.int64) << SYMBOL_BITS) | seq[1:]
+        inner = ~closing[seq[:-1]]
+        chosen = _frequent(keys[inner], least, (1 << SYMBOL_BITS) - len(closing))
         if not len(chosen):
             break
-        table = np.zeros(1 << SLOT_BITS, np.int32)
-        slots = _slot(chosen)
-        table[slots[::-1]] = np.arange(len(chosen), 0, -1)  # of two pairs in a slot the more frequent stays
-        chosen = chosen[(table[slots] - 1) == np.arange(len(chosen))]
-        table[:] = 0
-        table[_slot(chosen)] = np.arange(1, len(chosen) + 1)
-        which = table[_slot(keys)]
-        at = np.flatnonzero((which > 0) & inner & (chosen[np.maximum(which, 1) - 1] == keys))
-        rank = which[at].astype(np.int64)
-        # neighbouring candidates overlap: the better rank stays; in runs of equal ones every second
-        joined = np.concatenate(([False], at[1:] == at[:-1] + 1))
-        equal = joined & np.concatenate(([False], rank[1:] == rank[:-1]))
-        starts = np.maximum.accumulate(np.where(equal, 0, np.arange(len(at))))
-        rank = rank * 2 + ((np.arange(len(at)) - starts) & 1)
-        big = np.int64(1 << 40)
-        left = np.where(joined, np.concatenate(([big], rank[:-1])), big)
-        right = np.where(np.concatenate((joined[1:], [False])), np.concatenate((rank[1:], [big])), big)
-        win = (rank < left) & (rank < right)
-        at, rank = at[win], (rank[win] >> 1) - 1
+        rank, at = _replace(keys, inner, chosen, least)
+        if not len(rank):
+            break
         used = np.unique(rank)
         number = np.zeros(len(chosen), np.uint32)
-        number[used] = symbols + np.arange(len(used))
-        rules.append(np.stack((chosen[used] >> 16, chosen[used] & 0xFFFF), 1).astype(np.uint16))
-        symbols += len(used)
+        number[used] = len(closing) + np.arange(len(used))
+        pair = np.stack((chosen[used] >> SYMBOL_BITS, chosen[used] & ((1 << SYMBOL_BITS) - 1)), 1)
+        rules.append(pair)
+        closing = np.concatenate((closing, closing[pair[:, 1]]))
         seq[at] = number[rank]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         moved = np.cumsum(keep) - 1
         end = moved[end]  # an end that was taken in now lies in the symbol before it
         seq = seq[keep]
-    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
-    return pairs, seq.astype(np.uint16), np.diff(np.concatenate(([-1], end)))
-
-
-def expansions(rules: np.ndarray, base: int):
-    """(flat ids, start, length) of what every symbol stands for; the end's symbol is `base`."""
-    n = base + 1 + len(rules)
-    length = np.ones(n, np.int64)
-    depth = np.zeros(n, np.int64)
-    a, b = rules[:, 0].astype(np.int64), rules[:, 1].astype(np.int64)
-    for i in range(len(rules)):
-        x, y = a[i], b[i]
-        length[base + 1 + i] = length[x] + length[y]
-        depth[base + 1 + i] = max(depth[x], depth[y]) + 1
-    start = np.cumsum(length) - length
-    flat = np.zeros(int(length.sum()), np.int64)
-    flat[start[: base + 1]] = np.arange(base + 1)
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        rule = np.flatnonzero(depth[base + 1 :] == d)
-        for child, offset in ((a[rule], 0), (b[rule], length[a[rule]])):
-            size = length[child]
-            flat[ranges(start[base + 1 + rule] + offset, size)] = flat[ranges(start[child], size)]
-    return flat, start, length
+    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return pairs, seq, np.diff(np.concatenate(([-1], end)))
+
+
+def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    length = [1] * (base + 1)
+    for a, b in rules.tolist():
+        length.append(length[a] + length[b])
+    return np.array(length, np.int64)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    values = values.astype(np.uint32)
+    bits = max(1, int(values.max(initial=0)).bit_length())
+    out = [np.array([len(values), bits], "<u4").tobytes()]
+    for at in range(0, len(values), 1 << 16):  # a multiple of 8 elements fills whole bytes
+        part = values[at : at + (1 << 16), None]
+        out.append(np.packbits((part >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)).tobytes())
+    return b"".join(out)
+
+
+def _unpacked(blob: bytes, at: int):
+    """(values, where they end)."""
+    n, bits = (int(x) for x in np.frombuffer(blob, "<u4", 2, at))
+    size, out = -(-n * bits // 8), np.zeros(n, np.int64)
+    raw = np.frombuffer(blob, np.uint8, size, at + 8)
+    for i in range(0, n, 1 << 16):
+        few = min(n - i, 1 << 16)
+        flags = np.unpackbits(raw[i * bits // 8 :][: -(-few * bits // 8)])[: few * bits].reshape(few, bits)
+        for j in range(bits):
+            out[i : i + few] |= flags[:, j].astype(np.int64) << j
+    return out, at + 8 + size
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray, base: int, **how) -> bytes:
     rules, symbols, used = compress(ids, sizes, base, **how)
-    _, _, length = expansions(rules, base)
-    head = np.array([base, len(rules), len(sizes), len(symbols)], "<u4")
-    parts = [head, rules.astype("<u2"), length[base + 1 :].astype("<u4"), sizes.astype("<u4"), used.astype("<u4"), symbols.astype("<u2")]
-    return MAGIC + b"".join(x.tobytes() for x in parts)
+    arrays = rules.ravel(), _lengths(rules, base)[base + 1 :], sizes, used, symbols
+    return MAGIC + np.array([base], "<u4").tobytes() + b"".join(map(_packed, arrays))
 
 
 class Shard:
@@ -127,28 +147,43 @@ class Shard:
         if blob[:4] != MAGIC:
             raise ValueError("not a packed shard")
         self.end = end
-        base, n_rules, n_docs, n_symbols = np.frombuffer(blob, "<u4", 4, 4)
-        self.base, at = int(base), 20
-        self.rules = np.frombuffer(blob, "<u2", 2 * n_rules, at).reshape(-1, 2)
-        at += 4 * int(n_rules)
-        self.lengths = np.frombuffer(blob, "<u4", n_rules, at)
-        at += 4 * int(n_rules)
-        self.sizes = np.frombuffer(blob, "<u4", n_docs, at).astype(np.int64)
-        at += 4 * int(n_docs)
-        self.used = np.frombuffer(blob, "<u4", n_docs, at).astype(np.int64)
-        at += 4 * int(n_docs)
-        self.symbols = np.frombuffer(blob, "<u2", n_symbols, at)
+        self.base = int(np.frombuffer(blob, "<u4", 1, 4)[0])
+        at, arrays = 8, []
+        for _ in range(5):
+            values, at = _unpacked(blob, at)
+            arrays.append(values)
+        rules, lengths, self.sizes, self.used, self.symbols = arrays
+        self.rules = rules.reshape(-1, 2)
+        self.length = np.concatenate((np.ones(self.base + 1, np.int64), lengths))
         self.first = np.concatenate(([0], np.cumsum(self.used)))
-        self._table = None
-
-    def _expand(self, symbols) -> np.ndarray:
-        if self._table is None:
-            flat, start, length = expansions(self.rules, self.base)
-            flat[flat == self.base] = self.end
-            self._table = flat.astype("<u4"), start, length
-        flat, start, length = self._table
-        symbols = symbols.astype(np.int64)
-        return flat[ranges(start[symbols], length[symbols])]
+        self._short = None
+
+    def _table(self):
+        """(flat ids, start of each symbol): what every short symbol stands for; long ones have nothing."""
+        if self._short is None:
+            size = np.where(self.length <= SHORT, self.length, 0)
+            start = np.cumsum(size) - size
+            flat = np.zeros(int(size.sum()), "<u4")
+            flat[: self.base + 1] = np.arange(self.base + 1)
+            flat[self.base] = self.end
+            for n in range(2, SHORT + 1):  # children are shorter
+                rule = np.flatnonzero(self.length[self.base + 1 :] == n)
+                own = start[self.base + 1 + rule]
+                for child, offset in ((self.rules[rule, 0], 0), (self.rules[rule, 1], self.length[self.rules[rule, 0]])):
+                    flat[ranges(own + offset, self.length[child])] = flat[ranges(start[child], self.length[child])]
+            self._short = flat, start
+        return self._short
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        flat, start = self._table()
+        while (long := self.length[symbols] > SHORT).any():  # each by its two parts
+            size = 1 + long
+            out = np.repeat(symbols, size)
+            at = (np.cumsum(size) - size)[long]
+            pair = self.rules[symbols[long] - self.base - 1]
+            out[at], out[at + 1] = pair[:, 0], pair[:, 1]
+            symbols = out
+        return flat[ranges(start[symbols], self.length[symbols])]
 
     def ids(self) -> np.ndarray:
         """All ids of the shard."""
@@ -160,9 +195,12 @@ class Shard:
 
     def slice(self, i: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of document i: only symbols that reach into that range are expanded."""
-        mine = self.symbols[self.first[i] : self.first[i + 1]].astype(np.int64)
-        length = np.concatenate((np.ones(self.base + 1, np.int64), self.lengths))[mine]
+        mine = self.symbols[self.first[i] : self.first[i + 1]]
+        length = self.length[mine]
         ends = np.cumsum(length)
+        start, stop = max(0, start), min(stop, int(ends[-1]))
+        if start >= stop:
+            return np.zeros(0, "<u4")
         a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends - length, stop, side="left")
-        skip = start - (int(ends[a] - length[a]) if a < len(ends) else start)
-        return self._expand(mine[a:b])[skip : skip + max(0, stop - start)]
+        skip = start - int(ends[a] - length[a])
+        return self._expand(mine[a:b])[skip : skip + stop - start]

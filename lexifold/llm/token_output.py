@@ -2,8 +2,8 @@
 
 The files are Parquet with one row per shard (`part`, `shard`, `doc_ids`, `blob`;
 the blob as in repair.py), so any file system that Spark reaches takes them. A
-shard ends at `shard_ids` ids or after a longer document. Null texts are empty
-documents; rows without a doc_id come first, equal doc_ids in the order of their
+shard ends at `shard_ids` ids or after a longer document. Reading decodes each
+document from its own symbols alone. Null texts are empty documents; rows without a doc_id come first, equal doc_ids in the order of their
 texts.
 """
 
@@ -23,11 +23,13 @@ from .repair import Shard, pack
 from .tokens import WordEncoder, default_path, read_tokenizer
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2, base: int = 49408, shard_ids: int = 2 << 20) -> None:
-    """Encodes docs (doc_id, text) and writes the shards to path. base: ids of the tokenizer are below it."""
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2, shard_ids: int = 2 << 20) -> None:
+    """Encodes docs (doc_id, text) and writes the shards to path. end: an id of the tokenizer, or one beyond."""
     spark = docs.sparkSession
     tb.ship(spark)
-    held = spark.sparkContext.broadcast(read_tokenizer(tokenizer or default_path()))
+    vocabulary = read_tokenizer(tokenizer or default_path())
+    base = max(WordEncoder.shared(vocabulary).size_of_vocabulary(), end + 1)
+    held = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         encoder = WordEncoder.shared(held.value)
@@ -81,13 +83,15 @@ def read(spark, path: str, end: int = 2) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = Shard(batch.column("blob")[row].as_py(), end)
-                raw = shard.ids().tobytes()
-                ends = np.cumsum(shard.sizes)
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - shard.sizes).tolist(), ends.tolist())]
-                n = len(ends)
+                n = len(shard.sizes)
+                crc, found = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                for i in range(n):
+                    ids = shard.document(i)
+                    crc[i], found[i] = zlib.crc32(ids.tobytes()), len(ids)
+                starts = np.cumsum(found) - found
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column(c)[row].as_py()] * n, pa.int32()) for c in ("part", "shard")]
-                    + [batch.column("doc_ids")[row].values, pa.array(ends - shard.sizes), pa.array(shard.sizes), pa.array(crc, pa.int64())],
+                    + [batch.column("doc_ids")[row].values, pa.array(starts), pa.array(found), pa.array(crc)],
                     ["part", "shard", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 

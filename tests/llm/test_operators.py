@@ -433,17 +433,51 @@ def test_word_encoder_equals_library():
     assert got == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 4), max_size=60), min_size=1, max_size=8))
-def test_repair(docs):
+def _shard_holds(docs, base, **how):
     ids = np.array([x for d in docs for x in [*d, 2]], np.int64)
     sizes = np.array([len(d) + 1 for d in docs])
-    s = repair.Shard(repair.pack(ids, sizes, 5, least=2), 2)
-    assert s.ids().tolist() == ids.tolist()
+    s = repair.Shard(repair.pack(ids, sizes, base, **how), 2)
+    assert s.ids().tolist() == ids.tolist() and s.sizes.tolist() == sizes.tolist()
     for i, d in enumerate(docs):
         whole = [*d, 2]
         assert s.document(i).tolist() == whole
-        assert s.slice(i, 1, len(whole) - 1).tolist() == whole[1 : len(whole) - 1] if len(whole) > 2 else True
+        assert s.slice(i, 1, len(whole) - 1).tolist() == whole[1:-1] and s.slice(i, len(d) // 2, 9999).tolist() == whole[len(d) // 2 :]
+    return s
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), max_size=60), min_size=1, max_size=8))
+def test_repair(docs):
+    _shard_holds(docs, 5, least=2)
+
+
+def test_repair_of_many_documents():
+    rng = np.random.default_rng(8)
+    phrases = [rng.integers(0, 3000, 40).tolist() for _ in range(30)]
+    docs = [sum((phrases[k] if k < 30 else rng.integers(0, 3000, 9).tolist() for k in rng.integers(0, 60, rng.integers(0, 9))), []) for _ in range(3000)]
+    docs += [docs[5] * 20] * 40 + [[7] * 5000, []]  # copies of a long text, one id over and over
+    s = _shard_holds(docs, 3000)
+    # no pair of what is left comes three times and could be replaced
+    keys = defaultdict(list)
+    ends = set((s.first[1:] - 1).tolist())
+    for i, pair in enumerate(zip(s.symbols.tolist(), s.symbols[1:].tolist())):
+        if i not in ends:
+            keys[pair].append(i)
+    assert all(len(set(at)) < 3 for (a, b), at in keys.items() if a != b)
+    with pytest.raises(ValueError):
+        repair.pack(np.array([9, 2]), np.array([2]), 9)
+
+
+def test_word_encoder_of_another_tokenizer():
+    """One that keeps white space: whole texts are encoded."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a": 0, " ": 1, "b": 2, "?": 3, "  ": 4}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
+    e = tokens.WordEncoder(t.to_str())
+    ids, sizes = e.encode(next(tb.blocks(pa.array(["a b", None, "b  a\n"]))))
+    assert not e.by_word and sizes.tolist() == [3, 0, 4] and ids[:3].tolist() == [0, 1, 2] and e.size_of_vocabulary() == 5
+    assert tokens.WordEncoder(tokens.read_tokenizer(tokens.default_path())).by_word
 
 
 # 10: n-gram join
