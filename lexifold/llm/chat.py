@@ -143,35 +143,79 @@ def segments(conversations: DataFrame, template: Template | None = None) -> Data
 
 
 class Reader:
-    """Reads formatted text back, piece by piece: roles, texts and what the loss mask covers."""
+    """Reads formatted text and its loss mask back: roles, texts and what the mask covers.
+
+    Pieces may be cut anywhere; turns are found by the template's strings alone.
+    Only the turn that is being read is held.
+    """
 
     def __init__(self, template: Template, codec: Codec):
-        self.codec = codec
+        self.t, self.codec = template, codec
+        self.before = sorted([template.start, template.stop, template.other[0], *(a for a, _ in template.roles.values())], key=len, reverse=True)
         self.opens = {a: role for role, (a, _) in template.roles.items()}
-        self.other = template.other
+        self.longest = len(self.before[0])
+        self.buffer, self.at, self.wait = "", 0, None  # wait: the string that ends what is being read
         self.turns, self.sha, self.loss_sha = 0, hashlib.sha256(), hashlib.sha256()
         self.chars = self.loss_chars = 0
-        self.role, self.inside, self.valid = None, False, True
+        self.role, self.last, self.valid, self.stopped = None, "", True, False
+        self.masked: list[str] = []
 
-    def feed(self, text: str, loss: bool, valid: bool):
+    def feed(self, text: str, loss: bool):
         self.chars += len(text)
-        self.valid = valid
-        if self.inside:
-            plain = self.codec.unescape(text)
+        if loss:
+            self.masked.append(text)
+        elif text:
+            self._unmask()
+        self.buffer += text
+        self._parse(False)
+
+    def close(self):
+        self._parse(True)
+        self._unmask()
+        if self.buffer or not self.stopped:
+            raise ValueError(f"not in the template's form: {self.buffer[:80]!r}")
+        self.valid &= self.last in self.t.final
+
+    def _unmask(self):
+        if self.masked:
+            plain = self.codec.unescape("".join(self.masked))
+            self.masked.clear()
+            self.loss_chars += len(plain)
+            self.loss_sha.update(plain.encode())
+
+    def _parse(self, whole: bool):
+        while self.buffer:
+            if self.wait is None:
+                if len(self.buffer) < self.longest and not whole:
+                    return
+                found = next((c for c in self.before if self.buffer.startswith(c)), None)
+                if found is None or self.stopped:
+                    raise ValueError(f"not in the template's form: {self.buffer[:80]!r}")
+                self.buffer, self.at = self.buffer[len(found) :], 0
+                if found in self.opens:
+                    self.role, self.wait = self.opens[found], self.t.roles[self.opens[found]][1]
+                elif found == self.t.other[0]:
+                    self.role, self.wait = None, self.t.other[1]
+                self.stopped = found == self.t.stop
+                continue
+            end = self.buffer.find(self.wait, self.at)
+            if end < 0:  # what was searched is not searched again
+                self.at = max(0, len(self.buffer) - len(self.wait) + 1)
+                return
+            plain = self.codec.unescape(self.buffer[:end])
+            self.buffer, self.at = self.buffer[end + len(self.wait) :], 0
+            if self.role is None:
+                self.role, self.wait = plain, self.t.other[2]
+                continue
+            self.wait = None
             self.turns += 1
             self.sha.update(f"{self.role}\n{plain}\n".encode())
-            if loss:
-                self.loss_chars += len(plain)
-                self.loss_sha.update(plain.encode())
-            self.inside = False
-        elif text in self.opens:
-            self.role, self.inside = self.opens[text], True
-        elif text.startswith(self.other[0]) and text.endswith(self.other[1]):
-            self.role, self.inside = self.codec.unescape(text[len(self.other[0]) : -len(self.other[1])]), True
+            self.valid &= self.role in self.t.follows.get(self.last, ())
+            self.last = self.role
 
 
 def digests(parts: DataFrame, template: Template | None = None) -> DataFrame:
-    """Reads segments (as segments() gives them, in its partitions) back to one row per conversation."""
+    """Reads the text and mask of segments (as segments() gives them, in its partitions) back to one row per conversation."""
     template = template or Template()
 
     def run(batches):
@@ -182,15 +226,16 @@ def digests(parts: DataFrame, template: Template | None = None) -> DataFrame:
         reader, whose = None, None
 
         def done():
+            reader.close()
             out.append((whose, reader.turns, reader.sha.hexdigest(), reader.loss_chars, reader.loss_sha.hexdigest(), reader.chars, reader.valid))
 
         for batch in batches:
-            for conv, seg, text, loss, valid in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "seg", "text", "loss", "valid"))):
+            for conv, seg, text, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "seg", "text", "loss"))):
                 if seg == 0:
                     if reader:
                         done()
                     reader, whose = Reader(template, codec), conv
-                reader.feed(text, loss, valid)
+                reader.feed(text, loss)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
             out = []
         if reader:

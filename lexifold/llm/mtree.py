@@ -12,6 +12,10 @@ parent's routing object. A best-first search keeps pages by their least possible
 distance; the stored parent distances rule entries out before any distance is
 computed. Queries stream through each shard; scores are exact integers and ties
 go to the smaller id.
+
+Integers of components are held within +-2**60. Where products might leave 64
+bits they are taken in Python's integers, ranks follow up to 38 digits, and a
+score that does not fit a long is the nearest long.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 
+EDGE = 1 << 60  # of a component's integer
+LONG = (1 << 63) - 1
+DIGITS = 10**38 - 1
 SLACK = 1e-6  # relative; far above the rounding of float64 sums of some hundred squares
 
 
@@ -106,7 +113,7 @@ def integers(table: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v): the rows without null or non-finite components, components as integers."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return table.select("vec_id", "embedding", x.alias("x")).where(good).select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v"))
+    return table.select("vec_id", "embedding", x.alias("x")).where(good).select("vec_id", F.transform("x", lambda c: F.floor(F.greatest(F.lit(-float(EDGE)), F.least(F.lit(float(EDGE)), c * F.lit(float(scale))))).cast("long")).alias("v"))
 
 
 def top_k(table: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 16384, page: int = 64, scale: int = 1024) -> DataFrame:
@@ -120,10 +127,11 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 163
     tb.ship(spark)
     rows = integers(table, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     size = F.size("v")
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda acc, c: acc + c * c)
+    norm = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c.cast("double") * c.cast("double"))
     stats = rows.select(size.alias("dim"), norm.alias("norm")).agg(F.count("*"), F.max("norm")).first()
     shards = max(1, -(-(stats[0] or 0) // shard_rows))
-    largest = float(stats[1] or 0)
+    largest = float(stats[1] or 0) * (1 + 1e-9)
+    number = np.dtype(object if largest >= 2.0**62 else np.int64)  # no product is greater than the largest norm
     data = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     queries = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
@@ -141,7 +149,7 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 163
                     by_dim.setdefault(len(v), []).append((i, v))
             for dim, found in by_dim.items():
                 ids = np.array([i for i, _ in found])
-                v = np.array([x for _, x in found], np.int64)
+                v = np.array([x for _, x in found], number)
                 extra = np.sqrt(np.maximum(0, largest - (v.astype(float) ** 2).sum(1)))
                 trees[dim] = ids, v, MTree(np.concatenate((v.astype(float), extra[:, None]), 1), page)
             held.clear()
@@ -164,15 +172,17 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 163
                         build()
                     for i in range(at, to):
                         if len(values[i]) in trees:
-                            out += _best(trees[len(values[i])], int(ids[i]), np.array(values[i], np.int64), k, largest)
+                            out += _best(trees[len(values[i])], int(ids[i]), np.array(values[i], number), k, largest)
                 at = to
             cols = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+            types = (pa.int64(), pa.int64(), pa.decimal128(38))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["query_id", "vec_id", "score"])
 
     dealt = data.union(queries).repartition("shard").sortWithinPartitions("shard", "kind", "vec_id")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    fits = F.greatest(F.lit(-LONG - 1), F.least(F.lit(LONG), F.col("score"))).cast("long")
+    return found.select("query_id", rank.alias("rank"), "vec_id", fits.alias("score")).where(F.col("rank") <= k)
 
 
 def _best(tree, query_id, q, k, largest):
@@ -199,7 +209,7 @@ def _best(tree, query_id, q, k, largest):
         return np.sqrt(max(0.0, base - 2 * best[0][0])) * (1 + SLACK) + SLACK * np.sqrt(base) + SLACK
 
     m.search(point, offer, limit)
-    return [(query_id, -i, s) for s, i in best]
+    return [(query_id, -i, max(-DIGITS, min(DIGITS, s))) for s, i in best]
 
 
 ORACLE = """

@@ -274,6 +274,49 @@ def test_chat_escapes(text):
     assert codec.unescape(e) == text and not any(c in e for c in codec.controls)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "tool", "", "<s>"]), st.text(alphabet=st.sampled_from(list("\\0;<s>/[INST] |endé")), max_size=30)), max_size=6), st.integers(1, 40))
+def test_chat_reads_any_cut_of_the_text(turns, size):
+    t = chat.Template()
+    codec = chat.Codec(t)
+    writer, reader = chat.Formatter(t, codec), chat.Reader(t, codec)
+    parts = [p for role, text in turns for p in writer.turn(role, text)] + writer.end()
+    text, mask = "".join(x for x, _ in parts), [loss for x, loss in parts for _ in x]
+    at = 0
+    while at < len(text):  # pieces of one mask value
+        to = at + 1
+        while to < len(text) and to - at < size and mask[to] == mask[at]:
+            to += 1
+        reader.feed(text[at:to], mask[at])
+        at = to
+    reader.close()
+    assert reader.turns == len(turns) and reader.sha.hexdigest() == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+    said = "".join(x for r, x in turns if r in t.loss)
+    assert reader.loss_chars == len(said) and reader.loss_sha.hexdigest() == hashlib.sha256(said.encode()).hexdigest()
+    assert reader.valid == writer.valid and reader.chars == len(text)
+
+
+def test_chat_needs_its_escapes():
+    t, said = chat.Template(), "</s>[INST] ok [/INST]"
+
+    class Bare(chat.Codec):
+        def escape(self, text):
+            return text
+
+        def unescape(self, text):
+            return text
+
+    def read(codec):
+        writer, reader = chat.Formatter(t, codec), chat.Reader(t, codec)
+        reader.feed("".join(x for x, _ in [*writer.turn("user", said), *writer.turn("assistant", said), *writer.end()]), False)
+        reader.close()
+        return reader.turns
+
+    assert read(chat.Codec(t)) == 2
+    with pytest.raises(ValueError):
+        read(Bare(t))
+
+
 # 5: top-k
 
 
@@ -293,6 +336,19 @@ def test_top_k_equals_brute_force(spark):
     assert mtree.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Products beyond 64 bits: exact ranks, scores at the ends of a long."""
+    rng = np.random.default_rng(9)
+    data = [(i, [float(x) for x in rng.integers(-(10**7), 10**7, 6)]) for i in range(250)] + [(300, [1e30] * 6), (301, [-1e30] * 6)]
+    got = sorted(rows(mtree.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), shard_rows=100), "query_id", "rank", "vec_id", "score"))
+    v = {i: [max(-(2**60), min(2**60, int(np.floor(1024 * x)))) for x in e] for i, e in data}
+    top, want = 2**63 - 1, []
+    for q in (0, 100, 200, 300):
+        s = sorted((-sum(x * y for x, y in zip(v[q], v[i])), i) for i in v if i != q)[:10]
+        want += [(q, k + 1, i, max(-top - 1, min(top, -x))) for k, (x, i) in enumerate(s)]
+    assert got == want
+
+
 def test_mtree_prunes():
     rng = np.random.default_rng(0)
     points = np.concatenate([rng.normal(c * 50, 1, (200, 3)) for c in range(10)])
