@@ -2,14 +2,20 @@
 
 A document counts as its ids and one for its end; one longer than the greatest
 length is cut into pieces of that length and a rest, so every id is packed once.
-Pieces are dealt by hash into shards of about `shard_pieces`. In a shard, the
-longest first, each piece goes to the open bin with the least room that holds
+Pieces travel with their ids and are dealt by hash into shards of about
+`shard_bytes` of text. In a shard, the longest first, each piece goes to the open bin with the least room that holds
 it. If none does, the bin size is opened whose cost, less the value of the room
 it leaves, is least: room is worth the cheapest cost per id, as far as the
 pieces still to come can fill all open room. At last every bin is made as small
 as its contents allow.
 
-Null and empty texts have the end alone. Rows may repeat; each is packed.
+A bin comes out as one row: its ids, filled up to its length with `pad`, and the
+parts, in the order of their places, that say which document's ids lie where.
+Attention masks follow from the parts; the loss mask is the first n_ids places.
+
+Null and empty texts have the end alone. Rows may repeat and ids may be null or
+repeat; each row is packed, its parts naming the id it has. Columns other than
+doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textblocks as tb
-from .shared import cut
+from .ngram_join import _whole_groups
 from .tokens import WordEncoder, default_path, read_tokenizer
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -63,37 +68,85 @@ def best_fit(sizes, lengths=LENGTHS, bin_cost=BIN_COST):
     return where, offset, final
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """docs with n_tokens added (or replaced): ids of the whole text and one for the end."""
+def _pieces(docs: DataFrame, longest: int, end: int, tokenizer: str | None) -> DataFrame:
+    """(doc_id, piece, start, n_tokens, ids) of every piece; ids: four bytes each."""
+    tb.ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer or default_path()))
 
-    def make(batch):
+    def run(batches):
         encoder = WordEncoder.shared(held.value)
-        got = [encoder.counts(b) for b in tb.blocks(batch.column("text"))]
-        return [pa.array((np.concatenate(got) if got else np.zeros(0, np.int64)) + 1, pa.int64())]
-
-    return tb.append_columns(docs, {"n_tokens": T.LongType()}, make)
-
-
-def pack(docs: DataFrame, lengths=LENGTHS, bin_cost: int = BIN_COST, shard_pieces: int = 4000, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, bin_id, bin_start, capacity): where each piece of each document lies.
-
-    start: the piece's first id in its document; bin_start: in its bin.
+        for batch in batches:
+            for block in tb.blocks(batch.column("text")):
+                got, size = encoder.encode(block)
+                size = size + 1
+                stop = np.cumsum(size)
+                ids = np.full(int(stop[-1]), end, "<i4")
+                body = np.ones(len(ids), bool)
+                body[stop - 1] = False
+                ids[body] = got
+                many = -(-size // longest)
+                doc = np.repeat(np.arange(len(block)), many)
+                piece = tb.ranges(np.zeros(len(many), np.int64), many)
+                length = np.minimum(longest, size[doc] - piece * longest)
+                # pieces lie one after the other in ids, as documents do
+                data = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(np.concatenate(([0], 4 * np.cumsum(length))).astype(np.int32)), pa.py_buffer(ids)])
+                cols = [batch.column("doc_id").slice(block.rows.start, len(block)).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * longest), pa.array(length.astype(np.int32)), data]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "n_tokens", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, n_tokens int, ids binary")
+
+
+PARTS = "array<struct<doc_id: long, piece: int, start: long, n_tokens: int, bin_start: int>>"
+
+
+def _sequences(t: pa.Table, lengths, bin_cost: int, pad: int, at_once: int = 1 << 21):
+    """Batches of the packed bins of one shard's pieces."""
+    size = t.column("n_tokens").to_numpy().astype(np.int64)
+    where, offset, final = best_fit(size, lengths, bin_cost)
+    order = np.lexsort((offset, where))
+    t, size, where, offset = t.take(pa.array(order)), size[order], where[order], offset[order]
+    data = t.column("ids").combine_chunks()
+    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    first = np.searchsorted(where, np.arange(len(final) + 1))
+    ends = np.cumsum(final)
+    shard = int(t.column("shard")[0].as_py())
+    low = 0
+    while low < len(final):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + at_once)))
+        a, b = int(first[low]), int(first[high])
+        base = np.cumsum(final[low:high]) - final[low:high]
+        ids = np.full(int(final[low:high].sum()), pad, np.int32)
+        mine = data.slice(a, b - a)
+        off = np.frombuffer(mine.buffers()[1], np.int32)[mine.offset : mine.offset + len(mine) + 1]
+        ids[tb.ranges(base[where[a:b] - low] + offset[a:b], size[a:b])] = np.frombuffer(mine.buffers()[2], np.uint8)[off[0] : off[-1]].view("<i4")
+        parts = [t.column(c).slice(a, b - a).combine_chunks() for c in ("doc_id", "piece", "start", "n_tokens")] + [pa.array(offset[a:b].astype(np.int32))]
+        parts = pa.StructArray.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in parts], ["doc_id", "piece", "start", "n_tokens", "bin_start"])
+        cols = [
+            pa.array(shard * (1 << 24) + np.arange(low, high)), pa.array(final[low:high].astype(np.int32)), pa.array(np.add.reduceat(size[a:b], first[low:high] - a).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(np.append(base, len(ids)).astype(np.int32)), pa.array(ids)), pa.ListArray.from_arrays(pa.array((first[low : high + 1] - a).astype(np.int32)), parts),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, ["bin_id", "capacity", "n_ids", "ids", "parts"])
+        low = high
+
+
+def pack(docs: DataFrame, lengths=LENGTHS, bin_cost: int = BIN_COST, shard_bytes: int = 16 << 20, shard_rows: int = 8000, tokenizer: str | None = None, end: int = 2, pad: int = 0) -> DataFrame:
+    """(bin_id, capacity, n_ids, ids, parts): the packed sequences.
+
+    parts: doc_id, piece, start (of the piece in its document's ids), n_tokens
+    and bin_start (its place among the bin's ids).
     """
-    longest = max(lengths)
-    rows = token_counts(docs.select("doc_id", "text"), tokenizer).select("doc_id", "n_tokens")
-    begin = F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(longest).cast("long"))
-    pieces = rows.select("doc_id", "n_tokens", F.posexplode(begin).alias("piece", "start"))
-    pieces = cut(pieces.select("doc_id", "piece", "start", F.least(F.col("n_tokens") - F.col("start"), F.lit(longest)).alias("n_tokens")))
-    shards = max(1, -(-pieces.count() // shard_pieces))
-    names = ["doc_id", "piece", "start", "n_tokens", "bin_id", "bin_start", "capacity"]
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in ("doc_id", "piece", "n_tokens")])
-        where, offset, final = best_fit(t.column("n_tokens").to_numpy(), lengths, bin_cost)
-        bins = t.column("shard").to_numpy().astype(np.int64) * (1 << 24) + where
-        cols = [t.column(c) for c in names[:4]] + [pa.array(bins), pa.array(offset), pa.array(final[where] if len(where) else final, pa.int64())]
-        return pa.Table.from_arrays(cols, names)
-
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, n_tokens long, bin_id long, bin_start long, capacity long")
+    lengths = sorted(lengths)
+    total = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    shards = max(1, -(-(total[0] or 0) // shard_bytes), -(-total[1] // shard_rows))
+    pieces = _pieces(docs, lengths[-1], end, tokenizer)
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(shards)))
+
+    def run(batches):
+        for t in _whole_groups(batches, "shard"):
+            shard = t.column("shard").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield from _sequences(t.slice(a, b - a), lengths, bin_cost, pad)
+
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "piece", "n_tokens")
+    return dealt.mapInArrow(run, f"bin_id long, capacity int, n_ids int, ids array<int>, parts {PARTS}")

@@ -435,25 +435,54 @@ def test_best_fit(sizes):
     assert len(used) == len(final)
 
 
+def _plain_best_fit(sizes, lengths, bin_cost):
+    """The same choices by looking at every open bin."""
+    cost = {c: c + bin_cost for c in lengths}
+    worth = min(cost[c] / c for c in lengths)
+    bins, where, offset = [], [0] * len(sizes), [0] * len(sizes)  # a bin: [room, used, when it last changed]
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    for step, i in enumerate(order):
+        fits = [k for k, (room, _, _) in enumerate(bins) if room >= sizes[i]]
+        if fits:  # least room; of equal ones the bin changed last
+            k = min(fits, key=lambda k: (bins[k][0], -bins[k][2]))
+        else:
+            to_come, open_room = sum(sizes[j] for j in order[step + 1 :]), sum(b[0] for b in bins)
+            price = {c: cost[c] - worth * (c - sizes[i]) * min(1.0, to_come / (open_room + c - sizes[i] + 1)) for c in lengths if c >= sizes[i]}
+            bins.append([min(price, key=lambda c: (price[c], c)), 0, 0])
+            k = len(bins) - 1
+        where[i], offset[i] = k, bins[k][1]
+        bins[k] = [bins[k][0] - sizes[i], bins[k][1] + sizes[i], step]
+    return where, offset, [min(c for c in lengths if c >= used) for _, used, _ in bins]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=80), st.integers(0, 9))
+def test_best_fit_equals_brute_force(sizes, bin_cost):
+    got = packing.best_fit(np.array(sizes, np.int64), (16, 32, 64), bin_cost)
+    assert tuple(x.tolist() for x in got) == _plain_best_fit(sizes, (16, 32, 64), bin_cost)
+
+
 def test_packing_holds_every_id_once(spark):
-    df = frame(spark, ROWS, clash=("n_tokens", "bin_id"))
-    got = packing.pack(df, lengths=(64, 256, 1024), shard_pieces=30).collect()
-    counts = {}
-    enc = tokens.WordEncoder(tokens.read_tokenizer(tokens.default_path()))
-    want = defaultdict(int)
-    for i, t in ROWS:
-        want[i] += int(enc.counts(next(tb.blocks(pa.array([t], pa.string()))))[0]) + 1
-    bins = defaultdict(list)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    df = frame(spark, ROWS, clash=("n_tokens", "bin_id", "ids", "shard"))
+    got = packing.pack(df, lengths=(64, 256, 1024), shard_rows=30).collect()
+    want, found = defaultdict(int), defaultdict(list)
+    for i, x in ROWS:
+        want[(i, tuple(t.encode(x or "", add_special_tokens=False).ids + [2]))] += 1
     for r in got:
-        counts[r.doc_id] = counts.get(r.doc_id, 0) + r.n_tokens
-        bins[r.bin_id].append((r.bin_start, r.n_tokens, r.capacity))
-        assert r.start == r.piece * 1024
-    assert counts == want
-    for b in bins.values():
-        b.sort()
-        assert all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:])) and b[0][0] == 0 and b[-1][0] + b[-1][1] <= b[0][2]
-    whole, room = sum(want.values()), sum(b[0][2] for b in bins.values())
-    assert room < 1.15 * whole
+        assert len(r.ids) == r.capacity == min(c for c in (64, 256, 1024) if c >= r.n_ids) and set(r.ids[r.n_ids :]) <= {0}
+        assert [p.bin_start for p in r.parts] == np.cumsum([0] + [p.n_tokens for p in r.parts])[:-1].tolist() and sum(p.n_tokens for p in r.parts) == r.n_ids
+        for p in r.parts:
+            assert p.start == 1024 * p.piece and p.n_tokens <= 1024
+            found[p.doc_id].append((p.piece, r.ids[p.bin_start : p.bin_start + p.n_tokens]))
+    assert len({r.bin_id for r in got}) == len(got)
+    for i, pieces in found.items():  # an id with several rows: its pieces in any order
+        whole = sorted(x for (d, ids), n in want.items() if d == i for k in range(0, len(ids), 1024) for x in [(k // 1024, list(ids[k : k + 1024]))] * n)
+        assert sorted(pieces) == whole
+    assert set(found) == {i for i, _ in want}
+    assert sum(r.capacity for r in got) < 1.15 * sum(r.n_ids for r in got)
     assert packing.pack(df.limit(0)).count() == 0
 
 

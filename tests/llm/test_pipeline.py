@@ -73,10 +73,18 @@ def test_pipeline_stages(spark, tmp_path):
 
     assert set(text[4]) == set(text[3])
     assert not any(re.search(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[a-z]", t or "") for t in text[4].values())
-    assert {r.doc_id for r in seen[-1].select("doc_id").distinct().collect()} == set(text[4])
+    from tokenizers import Tokenizer
+
+    from lexifold.llm import tokens
+
+    library, packed = Tokenizer.from_file(tokens.default_path()), {}
+    for r in seen[-1].collect():
+        for p in r.parts:
+            packed.setdefault(p.doc_id, []).append((p.start, r.ids[p.bin_start : p.bin_start + p.n_tokens]))
+    assert {i: sum((x for _, x in sorted(parts)), []) for i, parts in packed.items()} == {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in text[4].items()}
 
 
 def test_run_gives_the_last_stage(spark):
     import corpus_pipeline as p
 
-    assert set(p.run(spark, DATA).columns) == {"doc_id", "piece", "start", "n_tokens", "bin_id", "bin_start", "capacity"}
+    assert set(p.run(spark, DATA).columns) == {"bin_id", "capacity", "n_ids", "ids", "parts"}
