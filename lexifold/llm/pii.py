@@ -4,10 +4,12 @@ Base spans are email, ip, card and phone matches, leftmost and non-overlapping
 per kind; matches that fail their check are dropped without another try. The
 patterns here accept the same matches as the plain ones but never back-track
 over long runs: possessive quantifiers, and starts only where a run begins or
-the match before ended.
+the match before ended. Secrets are added spans: runs of 20 or more letters,
+digits, underscores and plus signs with at least three digits, a letter and ten
+different characters, as keys and tokens have.
 
-Every value of a base span is a protected entity. Terms are runs of letters,
-digits and underscores of any length that touch no base span, in lower case; a
+Every value of such a span is a protected entity. Terms are runs of letters,
+digits and underscores of any length outside all spans, in lower case; a
 term and an entity meet where one text holds both, however far apart they stand.
 With N texts, the pointwise mutual information of a term and an entity is
 log2(p(term, entity) / (p(term) p(entity))), and the entity's information is
@@ -17,6 +19,11 @@ removed wherever they stand in the table, beside a mention or not; from
 `generalise` on they are replaced by a general mark. Of equal texts one counts.
 Positions are code points, ends exclusive.
 
+Texts themselves are not shuffled as long as the rows to be looked up are few
+(FEW): terms are counted in all rows and the surplus of copied texts, one row for
+each of them, is taken off. All steps are linear in a text's length and, but for
+a square root in the sums that give positions, in its spans.
+
 Null texts are empty and have no spans. Equal rows get equal spans; rows that
 share a doc_id but not the text, or have no doc_id, are told apart by the text.
 """
@@ -28,16 +35,43 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
-PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"[\p{L}\p{M}\p{N}_]++"
 KINDS = ("email", "ip", "card", "phone")
-MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
-SALTS = 16
-#: so many disclosing terms are sent to every task; more go through a shuffle
-FEW = 500_000
+SPANS = (*KINDS, "secret")
+MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "term": "[TERM]", "removed": ""}
+#: rows that are sent to every task at most; more go through a shuffle
+FEW = 200_000
+#: characters of spans are moved here so that no later step takes them for parts of terms
+AWAY = 0x10F000
+CHUNK = 1024
+_ASCII = "".join(map(chr, range(32, 127)))
+_MOVED = "".join(chr(AWAY + ord(c)) for c in _ASCII)
+
+
+def _patterns(moved: bool) -> dict[str, str]:
+    """The pattern of each kind; moved: characters count the same where they have been moved."""
+
+    def among(ranges: str, negative: str = "") -> str:
+        """A class of single characters and a-b ranges, written one after the other."""
+        out, i = "", 0
+        while i < len(ranges):
+            wide = ranges[i + 1 : i + 2] == "-" and i + 2 < len(ranges)
+            ends = (ranges[i], ranges[i + 2]) if wide else (ranges[i],)
+            out += "-".join(f"\\x{{{ord(c):x}}}" for c in ends)
+            if moved:
+                out += "-".join(f"\\x{{{AWAY + ord(c):x}}}" for c in ends)
+            i += 3 if wide else 1
+        return f"[{negative}{out}]"
+
+    local, host, digit, dot = among("A-Za-z0-9._%+-"), among("A-Za-z0-9-"), among("0-9"), among(".")
+    key = among("A-Za-z0-9_+")
+    return {
+        "email": rf"(?:\G|(?<!{local})){local}++{among('@')}{host}++(?:{dot}{host}++)++",
+        "ip": rf"(?:\G|(?<!{digit})){digit}++(?:{dot}{digit}++){{3}}",
+        "card": rf"{digit}(?:{among(' -')}?{digit})++",
+        "phone": rf"{among('+')}{digit}{among(' ().0-9-')}+{digit}",
+        "secret": rf"(?<!{key}){key}{{20,}}+",
+    }
 
 
 def _digits(m: Column) -> Column:
@@ -64,41 +98,95 @@ def _ip_parts(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), small)
 
 
-#: kind: pattern, a cheap test that every text with a valid match passes, and the check of a match
-BASE = {
-    "email": (EMAIL, lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True)),
-    "ip": (IP, lambda t: t.rlike(r"[0-9]\.[0-9]"), _ip_parts),
-    "card": (CARD, lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), _luhn),
-    "phone": (PHONE, lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(8, 15)),
+def _random(m: Column) -> Column:
+    return (F.length(_digits(m)) >= 3) & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= 10)
+
+
+#: kind: a cheap test that every text with a valid match passes, and the check of a match
+CHECKS = {
+    "email": (lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True)),
+    "ip": (lambda t: t.rlike(r"[0-9]\.[0-9]"), _ip_parts),
+    "card": (lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), _luhn),
+    "phone": (lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(8, 15)),
+    "secret": (lambda t: t.rlike("[A-Za-z0-9_+]{20}"), _random),
 }
 
 
-def matches(text: Column, pattern: str) -> Column:
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, fold, zero: Column) -> Column:
+    """fold over values[0 .. i] for every i; fold is associative. About n ** 1.5 steps for n values, without growing arrays."""
+
+    def total(part):
+        return F.aggregate(part, zero, fold)
+
+    def outer(v):
+        n = F.size(v)
+        width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+
+        def with_width(w):
+            blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / w).cast("int")), lambda b: total(F.slice(v, b * w + 1, w)))
+
+            def with_blocks(sums):
+                before = F.transform(sums, lambda x, b: total(F.slice(sums, F.lit(1), b)))
+                return _let(before, lambda p: F.transform(v, lambda x, i: fold(p[F.floor(i / w).cast("int")], total(F.slice(v, F.floor(i / w).cast("int") * w + 1, i % w + 1)))))
+
+            return _let(blocks, with_blocks)
+
+        return F.when(n == 0, v).otherwise(_let(width, with_width))
+
+    return _let(values, outer)
+
+
+def matches(text: Column, pattern) -> Column:
     """array<struct<start,end,value>> of the pattern's matches, left to right."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    found = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
 
-    def step(acc, x):
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        put = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], put)).alias("out"))
+    def places(hits):
+        step = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.char_length(g) + F.char_length(h))
+        ends = _running(step, lambda a, b: a + b, F.lit(0))
+        return F.zip_with(ends, hits, lambda e, h: F.struct((e - F.char_length(h)).alias("start"), e.alias("end"), h.alias("value")))
 
-    return F.aggregate(parts, zero, step)["out"]
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return _let(found, lambda hits: F.when(F.size(hits) == 0, none).otherwise(places(hits)))
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans): spans with kind, start, end and value."""
+    """docs with `text` (null: empty) and `spans`: kind (a place in SPANS), start, end and value."""
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *[F.when(test(F.col("text")), matches(F.col("text"), p)).otherwise(none).alias(k) for k, (p, test, _) in BASE.items()])
+    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    patterns = _patterns(False)
+    rows = rows.select("*", *[F.when(CHECKS[k][0](F.col("text")), matches(F.col("text"), patterns[k])).otherwise(none).alias(f"__{k}") for k in SPANS])
+
+    def valid(k, i):
+        good = F.filter(f"__{k}", lambda s: CHECKS[k][1](s["value"]))
+        return F.transform(good, lambda s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+    return rows.select(*docs.columns, F.concat(*[valid(k, i) for i, k in enumerate(SPANS)]).alias("spans"))
+
+
+def _plain(text: Column) -> Column:
+    """text with the characters of its spans moved away, in place: no term has any of them."""
+    patterns = _patterns(True)
+
+    def mover(k):
+        def move(t):
+            hits = F.regexp_extract_all(t, F.lit(patterns[k]), F.lit(0))
+            good = lambda h: CHECKS[k][1](F.translate(h, _MOVED, _ASCII))
+            moved = F.transform(hits, lambda h: F.when(good(h), F.translate(h, _ASCII, _MOVED)).otherwise(h))
+            joined = F.array_join(F.flatten(F.zip_with(F.split(t, patterns[k], -1), moved, lambda g, h: F.array(g, F.coalesce(h, F.lit(""))))), "")
+            return F.when(CHECKS[k][0](text), joined).otherwise(t)
 
-    def valid(kind, i, check):
-        return F.transform(F.filter(kind, lambda s: check(s["value"])), lambda s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        return move
 
-    spans = F.concat(*[valid(k, i, check) for i, (k, (_, _, check)) in enumerate(BASE.items())])
-    return rows.select("doc_id", "text", spans.alias("spans"))
+    out = text
+    for k in SPANS:
+        out = _let(out, mover(k))
+    return out
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -106,7 +194,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
     rid tells rows of one doc_id apart by their texts; tid is the text's.
     """
-    return _found(docs).select("doc_id", _rid().alias("rid"), _tid().alias("tid"), "spans")
+    return _found(docs.select("doc_id", "text")).select("doc_id", _rid().alias("rid"), _tid().alias("tid"), "spans")
 
 
 def _rid() -> Column:
@@ -119,81 +207,71 @@ def _tid() -> Column:
 
 def _entities() -> Column:
     def key(m):
-        return F.concat(m["kind"].cast("string"), F.lit(":"), F.when(m["kind"] >= 2, _digits(m["value"])).otherwise(F.lower(m["value"])))
+        return F.concat(m["kind"].cast("string"), F.lit(":"), F.when(m["kind"].isin(2, 3), _digits(m["value"])).when(m["kind"] == 4, m["value"]).otherwise(F.lower(m["value"])))
 
     return F.array_distinct(F.transform("spans", lambda m: F.xxhash64(key(m))))
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    """(tid, plain): every distinct text once, with blanks in place of its base spans."""
-    text, zero = F.col("text"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        begin = F.greatest(s["start"], acc["at"])
-        gap = F.concat(F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0))))
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
-
-    def join(acc):
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
-
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    plain = F.when(F.size("spans") == 0, text).otherwise(F.aggregate(order, zero, step, join))
-    return _found(docs).select(_tid().alias("tid"), plain.alias("plain")).dropDuplicates(["tid"])
+def _texts(docs: DataFrame) -> DataFrame:
+    """(rid, tid, words): the distinct words of every row outside its spans."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.array_distinct(F.regexp_extract_all(_plain(text), F.lit(WORD), F.lit(0)))
+    return docs.select(_rid().alias("rid"), _tid().alias("tid"), words.alias("words"))
 
 
 def _terms() -> Column:
-    """The distinct terms of plain, as hashes."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower("plain"), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+    """The distinct terms, as hashes."""
+    return F.array_distinct(F.transform("words", lambda w: F.xxhash64(F.lower(w))))
 
 
-def _places(bad: str) -> Column:
-    """array<struct<start,end,removed>> of the terms of plain that the map `bad` has.
+def _looked_up(small: DataFrame, rows: int) -> DataFrame:
+    """small, sent to every task if it has few rows."""
+    return F.broadcast(small) if rows <= FEW else small
 
-    Only these are gathered: the fold is linear in the text.
-    """
-    found = F.regexp_extract_all("plain", F.lit(WORD), F.lit(0))
-    parts = F.arrays_zip(F.split("plain", WORD, -1).alias("gap"), found.alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,removed:boolean>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        removed = F.try_element_at(F.col(bad), F.xxhash64(F.lower(x["hit"])))
-        put = F.array(F.struct(start.alias("start"), end.alias("end"), removed.alias("removed")))
-        return F.struct(end.alias("at"), F.when(removed.isNull(), acc["out"]).otherwise(F.concat(acc["out"], put)).alias("out"))
-
-    return F.aggregate(parts, zero, step)["out"]
-
-
-def disclosing(docs: DataFrame, base: DataFrame, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
-    """(tid, terms): the places of terms that reveal an entity of the table."""
-    texts = _plain(docs)
-    held = base.where(F.size("spans") > 0).select("tid", F.explode(_entities()).alias("entity")).distinct()
-    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    held = held.join(entities.select("entity"), "entity").groupBy("tid").agg(F.collect_list("entity").alias("entities"))
-    both = texts.join(held, "tid").select("entities", F.explode(_terms()).alias("term")).select("term", F.explode("entities").alias("entity"))
+
+def disclosing(docs: DataFrame, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
+    """(term, removed): hashes of the terms that reveal an entity of the table."""
+    base = cut(base_spans(docs))
+    texts = _texts(docs)
+    # one row stands for all of a text; `more` is the number of rows that it has besides
+    stands = base.groupBy("tid").agg(F.min("rid").alias("rid"), (F.count("*") - 1).alias("more"))
+    copied = cut(stands.where("more > 0"))
+    total = F.lit(float(max(stands.count(), 2)))
+    held = base.where(F.size("spans") > 0).groupBy("tid").agg(F.min("rid").alias("rid"), F.first("spans").alias("spans"))
+    held = cut(held.select("rid", F.explode(_entities()).alias("entity")))
+    entities = cut(held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
+    held = cut(held.join(_looked_up(entities.select("entity"), entities.count()), "entity").groupBy("rid").agg(F.collect_list("entity").alias("entities"), F.count("*").alias("n")))
+    size = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # rows that are equal in every respect have one rid; their pairs count once
+    both = texts.join(_looked_up(held.select("rid", "entities"), size), "rid").dropDuplicates(["rid"])
+    both = both.select("entities", F.explode(_terms()).alias("term")).select("term", F.explode("entities").alias("entity"))
     evidence = both.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    spread = texts.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support)
-    total = base.select("tid").distinct().count()
-    n = F.lit(float(max(total, 2)))
+    every = texts.select(F.explode(_terms()).alias("term"), F.lit(1).cast("long").alias("n"))
+    surplus = texts.join(_looked_up(copied.select("rid", "more"), copied.count()), "rid").dropDuplicates(["rid"]).select(F.explode(_terms()).alias("term"), (-F.col("more")).alias("n"))
+    spread = every.groupBy("term").agg(F.sum("n").alias("n")).union(surplus.groupBy("term").agg(F.sum("n").alias("n")))
+    spread = spread.groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= support)
     scored = evidence.join(entities, "entity").join(spread, "term")
-    share = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))) / F.greatest(-F.log2(F.col("n_entity") / n), F.lit(1e-9))
+    share = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity"))) / F.greatest(-F.log2(F.col("n_entity") / total), F.lit(1e-9))
     bad = scored.select("term", share.alias("share")).where(F.col("share") >= generalise)
-    bad = cut(bad.groupBy("term").agg((F.max("share") >= remove).alias("removed")))
-    few = bad.count() <= FEW
-    of_text = texts.select("tid", F.explode(_terms()).alias("term")).join(F.broadcast(bad) if few else bad, "term")
-    of_text = of_text.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("bad"))
-    return texts.join(of_text, "tid").select("tid", _places("bad").alias("terms"))
-
-
-def spans_of(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, rid, spans, terms) of every row: its base spans and the added ones."""
-    base = cut(base_spans(docs))
-    # copies of one text are dealt over several tasks
-    terms = disclosing(docs, base, **how).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return cut(bad.groupBy("term").agg((F.max("share") >= remove).alias("removed")))
+
+
+def _marked(docs: DataFrame, **how) -> DataFrame:
+    """docs with `text` never null, `spans`, and `terms`: start, end and removed of the terms that disclose an entity."""
+    bad = disclosing(docs.select("doc_id", "text"), **how)
+    words = _texts(docs.select("doc_id", "text")).select("rid", F.explode("words").alias("word"))
+    words = words.select("rid", "word", F.xxhash64(F.lower("word")).alias("term")).join(_looked_up(bad, bad.count()), "term")
+    by_row = cut(words.groupBy("rid").agg(F.collect_set(F.struct("word", "removed")).alias("__words"), F.count("*").alias("n")))
+    size = by_row.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by_row = by_row.select(F.col("rid").alias("__rid"), "__words")
+    rows = _found(docs).join(_looked_up(by_row, size), _rid() == F.col("__rid"), "left")
+    edge = WORD[:-2]
+    listed = F.array_join(F.transform("__words", lambda w: w["word"]), "|")
+    pattern = F.concat(F.lit(f"(?<!{edge})(?:"), listed, F.lit(f")(?!{edge})"))
+    removed = F.map_from_entries("__words")
+    places = F.transform(matches(_plain(F.col("text")), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.element_at(removed, m["value"]).alias("removed")))
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    rows = base.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int")).join(terms, ["tid", "salt"], "left")
-    return rows.select("doc_id", "rid", "spans", F.coalesce("terms", none).alias("terms"))
+    return rows.select(*docs.columns, "spans", F.when(F.col("__rid").isNotNull(), places).otherwise(none).alias("terms"))
 
 
 def _written(spans: Column, name) -> Column:
@@ -201,59 +279,75 @@ def _written(spans: Column, name) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email .. n_phone, base_sha256, spans, n_term of every document."""
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    base = _written(F.col("spans"), lambda s: F.element_at(kinds, s["kind"] + 1))
+    """doc_id, n_email .. n_phone, base_sha256, spans, n_secret, n_term of every document."""
+    kinds = F.array(*[F.lit(k) for k in SPANS])
+    written = _written(F.col("spans"), lambda s: F.element_at(kinds, s["kind"] + 1))
+    base = _written(F.filter("spans", lambda s: s["kind"] < len(KINDS)), lambda s: F.element_at(kinds, s["kind"] + 1))
     term = _written(F.col("terms"), lambda s: F.lit("term"))
-    found = spans_of(docs.select("doc_id", "text")).select("doc_id", "spans", base.alias("b"), term.alias("t"))
+    found = _marked(docs.select("doc_id", "text")).select("doc_id", "spans", base.alias("b"), written.alias("w"), term.alias("t"))
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
     return found.select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(F.array_join("b", ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.concat("b", "t"), ",").alias("spans"), F.size("t").cast("long").alias("n_term"),
+        F.array_join(F.concat("w", "t"), ",").alias("spans"), count(len(KINDS)).alias("n_secret"), F.size("t").cast("long").alias("n_term"),
     )
 
 
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of the text whose pieces of CHUNK characters are given."""
+    a, b = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    piece = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    one = F.substring(piece(a), start % CHUNK + 1, end - start)
+    many = F.concat(F.substring(piece(a), start % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(piece(b), F.lit(1), end % CHUNK))
+    return F.when(start >= end, F.lit("")).when(a == b, one).otherwise(many)
+
+
 def sanitise(docs: DataFrame, **how) -> DataFrame:
-    """docs with every span of text replaced by its mark; rows without spans stay as they are."""
+    """docs with every span of text replaced by its mark; rows without spans stay as they are.
+
+    Overlapping spans become one with the first one's mark (of equal starts, the shorter's).
+    """
     columns = docs.columns
-    found = spans_of(docs.select("doc_id", "text"), **how)
-    marks = F.array(*[F.lit(MARKS[k]) for k in (*KINDS, "term", "removed")])
-    kind = lambda s: F.when(s["removed"], F.lit(5)).otherwise(F.lit(4))
+    own = docs.select(*[F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(columns)], "doc_id", "text")
+    marks = F.array(*[F.lit(MARKS[k]) for k in (*SPANS, "term", "removed")])
+    kind = lambda s: F.when(s["removed"], F.lit(len(SPANS) + 1)).otherwise(F.lit(len(SPANS)))
     every = F.array_sort(
         F.concat(
             F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))),
             F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"))),
         )
     )
-    every = found.where((F.size("spans") > 0) | (F.size("terms") > 0)).groupBy("rid").agg(F.first(every).alias("cuts"))
-    # overlapping spans become one with the first one's mark
-    zero = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-
-    def merge(acc, s):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        return F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.concat(acc, F.array(s)))
-
-    rid = "__rid"
-    merged = every.select(F.col("rid").alias(rid), F.aggregate("cuts", zero, merge).alias("__cuts"))
-    rows = docs.withColumn(rid, _rid()).join(merged, rid, "left")
     text = F.col("text")
-    starts = F.concat(F.transform("__cuts", lambda s: s["start"]), F.array(F.char_length(text)))
-    ends = F.concat(F.array(F.lit(0)), F.transform("__cuts", lambda s: s["end"]))
-    gaps = F.zip_with(ends, starts, lambda a, b: F.substring(text, a + 1, b - a))
-    put = F.concat(F.transform("__cuts", lambda s: F.element_at(marks, s["kind"] + 1)), F.array(F.lit("")))
-    clean = F.when(F.col("__cuts").isNull(), text).otherwise(F.array_join(F.zip_with(gaps, put, lambda a, b: F.concat(a, b)), ""))
-    rows = rows.withColumn("text", clean)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return rows.select(*columns)
-
-
-def oracle(reach: int = 60, support: int = 3, generalise: float = 0.7) -> str:
+
+    def clean(cuts):
+        reach = _running(F.transform(cuts, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+
+        def with_reach(ends):
+            # a cut that begins before an earlier one ends is part of that one
+            heads = F.filter(F.transform(cuts, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("reach"))), lambda s: s["start"] >= s["reach"])
+            chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+            return _let(chunks, lambda c: F.concat(F.array_join(F.transform(heads, lambda s: F.concat(_between(c, s["reach"], s["start"]), F.element_at(marks, s["kind"] + 1))), ""), _between(c, F.element_at(ends, -1), F.char_length(text))))
+
+        return _let(reach, with_reach)
+
+    rows = _marked(own, **how).withColumn("__cuts", every)
+    same = F.size("__cuts") == 0
+    rows = rows.withColumn("__clean", F.when(~same, _let(F.col("__cuts"), clean)))
+    out = []
+    for i, c in enumerate(columns):
+        value = F.col(f"__own_{i}")
+        if c == "text":
+            value = F.when(same, value).otherwise(F.col("__clean"))
+        elif c == "n_chars":
+            value = F.when(same, value).otherwise(F.char_length("__clean").cast("long"))
+        out.append(value.alias(c))
+    return rows.select(*out)
+
+
+def oracle(support: int = 3, generalise: float = 0.7) -> str:
     """DuckDB SQL for report(), with the plain patterns."""
     plain = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
-        "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "secret": r"[A-Za-z0-9_+]{20,}",
     }
 
     def places(source, text, pattern, keep):
@@ -267,25 +361,28 @@ def oracle(reach: int = 60, support: int = 3, generalise: float = 0.7) -> str:
     check = {
         "email": "true", "ip": "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INT), 0) > 255)) = 0",
         "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 8 AND 15",
+        "secret": f"length({digits}) >= 3 AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10",
     }
-    base = " UNION ALL ".join(f"SELECT r, {i} AS kind, s, s + length(v) AS e, v FROM ({places('d', 't', plain[k], 'r')}) WHERE {check[k]}" for i, k in enumerate(KINDS))
-    names = "['email', 'ip', 'card', 'phone'][kind + 1]"
-    word = r"\p{L}{4,}"
+    base = " UNION ALL ".join(f"SELECT r, {i} AS kind, s, s + length(v) AS e, v FROM ({places('d', 't', plain[k], 'r')}) WHERE {check[k]}" for i, k in enumerate(SPANS))
+    names = f"{list(SPANS)}[kind + 1]"
+    word = r"[\p{L}\p{M}\p{N}_]+"
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 b AS MATERIALIZED ({base}),
-m AS MATERIALIZED (SELECT b.r, greatest(s - {reach}, 0) AS left_at, e, substr(t, greatest(s - {reach}, 0) + 1, least(s, {reach})) AS l, substr(t, e + 1, {reach + 1}) AS rt,
-  kind || ':' || CASE WHEN kind >= 2 THEN {digits} ELSE lower(v) END AS entity FROM b JOIN d USING (r)),
-w AS (SELECT r, entity, l, rt, lower(v) AS term, s + left_at AS s, s + left_at + length(v) AS e FROM ({places("m", "l", word, "r, entity, l, rt, left_at")}) WHERE s > 0 OR left_at = 0
-  UNION ALL SELECT r, entity, l, rt, lower(v), s + e, s + e + length(v) FROM ({places("m", "rt", word, "r, entity, l, rt, e")}) WHERE s + length(v) <= {reach}),
-f AS MATERIALIZED (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = w.r AND b.s < w.e AND w.s < b.e)),
-x AS (SELECT entity, term, count(DISTINCT (l, rt)) AS nb FROM f GROUP BY ALL HAVING count(DISTINCT (l, rt)) >= {support}),
-y AS (SELECT entity, count(DISTINCT (l, rt)) AS ne FROM m GROUP BY entity),
-z AS (SELECT term, count(*) AS nt FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(t), '{word}')) AS term FROM d) GROUP BY term),
-n AS (SELECT CAST(greatest(count(*), 2) AS DOUBLE) AS n FROM d),
-q AS (SELECT entity, term FROM x JOIN y USING (entity) JOIN z USING (term), n WHERE log2(nb * n / (nt * ne)) / greatest(-log2(ne / n), 1e-9) >= {generalise}),
-ts AS (SELECT r, count(*) AS n_term, string_agg('term:' || s || ':' || e, ',' ORDER BY s, e) AS j FROM (SELECT DISTINCT r, s, e FROM f JOIN q USING (entity, term)) GROUP BY r),
-bs AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(KINDS))}, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY kind, s) AS j FROM b GROUP BY r)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(bs.j, '')) AS base_sha256, concat_ws(',', bs.j, ts.j) AS spans, coalesce(n_term, 0) AS n_term
+-- texts with blanks in place of spans, one row a row and, for the counts, one a text
+c AS (SELECT r, list_distinct(flatten(list(range(s + 1, e + 1)))) AS at FROM b GROUP BY r),
+p AS MATERIALIZED (SELECT d.r, d.t, CASE WHEN c.r IS NULL THEN t ELSE array_to_string(list_transform(string_split(t, ''), lambda x, i: CASE WHEN list_contains(c.at, i) THEN ' ' ELSE x END), '') END AS plain FROM d LEFT JOIN c USING (r)),
+u AS MATERIALIZED (SELECT min(r) AS r, any_value(plain) AS plain FROM p GROUP BY t),
+m AS MATERIALIZED (SELECT DISTINCT b.r, kind || ':' || CASE WHEN kind IN (2, 3) THEN {digits} WHEN kind = 4 THEN v ELSE lower(v) END AS entity FROM b SEMI JOIN u USING (r)),
+w AS MATERIALIZED (SELECT DISTINCT r, unnest(regexp_extract_all(lower(plain), '{word}')) AS term FROM u),
+y AS (SELECT entity, count(*) AS ne FROM m GROUP BY entity HAVING count(*) >= {support}),
+x AS (SELECT entity, term, count(*) AS nb FROM m JOIN w USING (r) WHERE entity IN (SELECT entity FROM y) GROUP BY ALL HAVING count(*) >= {support}),
+z AS (SELECT term, count(*) AS nt FROM w GROUP BY term),
+n AS (SELECT CAST(greatest(count(*), 2) AS DOUBLE) AS n FROM u),
+q AS MATERIALIZED (SELECT DISTINCT term FROM x JOIN y USING (entity) JOIN z USING (term), n WHERE log2(nb * n / (nt * ne)) / greatest(-log2(ne / n), 1e-9) >= {generalise}),
+k AS (SELECT p.r, p.plain FROM p SEMI JOIN (SELECT r FROM (SELECT r, unnest(regexp_extract_all(lower(plain), '{word}')) AS term FROM p) JOIN q USING (term)) USING (r)),
+ts AS (SELECT r, count(*) AS n_term, string_agg('term:' || s || ':' || (s + length(v)), ',' ORDER BY s) AS j FROM ({places('k', 'plain', word, 'r')}) WHERE lower(v) IN (SELECT term FROM q) GROUP BY r),
+bs AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(SPANS))}, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY kind, s) FILTER (kind < {len(KINDS)}) AS j, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY kind, s) AS w FROM b GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in SPANS)}, sha256(coalesce(bs.j, '')) AS base_sha256, concat_ws(',', bs.w, ts.j) AS spans, coalesce(n_term, 0) AS n_term
 FROM d LEFT JOIN bs USING (r) LEFT JOIN ts USING (r)
 """

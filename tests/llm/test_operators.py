@@ -200,6 +200,54 @@ def test_pii_overlapping_spans_become_one(spark):
     assert "1111" not in r.text and "10.0.0.1" not in r.text and r.text.endswith(" now") and r.text.startswith("call ")
 
 
+def test_pii_secrets(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'x = "{key}" é', f"😀 {key}{key}", "a_long_identifier_without_digits", "12345678901234567890", "aaaaaaaaaaaaaaaaa111111", f"{key[:19]}", f"{key}@corp.example.com"]
+    got = {r.doc_id: r for r in pii.report(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i].n_secret for i in range(7)] == [1, 1, 0, 0, 0, 0, 1]
+    assert got[0].spans == "secret:5:45" and got[1].spans == "secret:2:82" and got[6].spans == "email:0:57,secret:0:40"
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, list(enumerate(texts)))).collect()}
+    assert clean[0] == 'x = "[SECRET]" é' and clean[2] == texts[2] and clean[6] == "[SECRET]"
+
+
+def test_pii_many_spans_in_one_text(spark):
+    """20 000 addresses, and as many words of a disclosing term, in one text."""
+    import time
+
+    many = " ".join(f"user{i}@corp.example.com" for i in range(20000))
+    text = "é " + many + " Zebulon" * 5000 + " tail"
+    docs = [(i, f"Zebulon zeb@corp.example.com {i}") for i in range(5)] + [(10, text + " zeb@corp.example.com")] + [(20 + i, f"none {i}") for i in range(300)]
+    begin = time.time()
+    got = {r.doc_id: r for r in pii.report(frame(spark, docs)).collect()}
+    assert got[10].n_email == 20001 and got[10].n_term >= 5000
+    assert got[10].spans.startswith(",".join(_base(docs[5][1])) + ",")
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, docs)).collect()}
+    assert clean[10].startswith("é [EMAIL] [EMAIL] ") and clean[10].count("[EMAIL]") == 20001 and "Zebulon" not in clean[10]
+    assert time.time() - begin < 120
+
+
+def test_pii_moves_are_exact(spark):
+    """Terms are cut as if all spans were blanks, however spans overlap."""
+    rng = random.Random(4)
+    bits = ["a.b@c.de", "x@", "1.2.3.4", "4111 1111 1111 1111", "+41 11 1111 1111 1111", "+12345678", ".", "-", " ", "é", "99", "aZ_9", "24be64439e3e49cf46b2d7c90f3602a3"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = frame(spark, list(enumerate(texts)))
+    plain = {r.doc_id: r.p for r in df.select("doc_id", pii._plain(F.col("text")).alias("p")).collect()}
+    spans = {r.doc_id: r.spans for r in pii._found(df).select("doc_id", "spans").collect()}
+    for i, t in enumerate(texts):
+        covered = {k for s in spans[i] for k in range(s.start, s.end)}
+        assert [ord(c) >= pii.AWAY for c in plain[i]] == [k in covered for k in range(len(t))], t
+
+
+def test_pii_shuffled_lookups(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, f"{sentence(rng, 20)} Zebulon zeb@corp.example.com" if i % 9 == 0 else sentence(rng, 20)) for i in range(90)] * 2 + [(200 + i, "same Zebulon text zeb@corp.example.com") for i in range(20)]
+    df = frame(spark, docs)
+    few = sorted(rows(pii.report(df), "doc_id", "spans"))
+    monkeypatch.setattr(pii, "FEW", 0)
+    assert sorted(rows(pii.report(df), "doc_id", "spans")) == few and any("term" in x for _, x in few)
+
+
 def test_pii_plan_is_native(spark):
     plan = pii.report(frame(spark, ROWS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
