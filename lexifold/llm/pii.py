@@ -16,12 +16,14 @@ log2(p(term, entity) / (p(term) p(entity))), and the entity's information is
 -log2 p(entity). The share of it that a term reveals is their quotient. Terms
 that reveal at least `remove` of an entity, in at least `support` texts, are
 removed wherever they stand in the table, beside a mention or not; from
-`generalise` on they are replaced by a general mark. Of equal texts one counts.
-Positions are code points, ends exclusive.
+`generalise` on they are replaced by a general mark. In a large table that share
+is high for terms with which an entity is still unlikely, so p(entity | term)
+must also reach `likely`. Of equal texts one counts. Positions are code points,
+ends exclusive.
 
 Texts themselves are not shuffled as long as the rows to be looked up are few
-(FEW): terms are counted in all rows and the surplus of copied texts, one row for
-each of them, is taken off. All steps are linear in a text's length and, but for
+(FEW; beyond it they are joined by a shuffle): terms are counted in all rows and
+the surplus of copied texts, one row for each of them, is taken off. All steps are linear in a text's length and, but for
 a square root in the sums that give positions, in its spans.
 
 Null texts are empty and have no spans. Equal rows get equal spans; rows that
@@ -35,12 +37,13 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-WORD = r"[\p{L}\p{M}\p{N}_]++"
+WORD = r"[A-Za-z0-9_\p{L}\p{M}\p{N}]++"
+NOT_WORD = r"[^A-Za-z0-9_\p{L}\p{M}\p{N}]++"
 KINDS = ("email", "ip", "card", "phone")
 SPANS = (*KINDS, "secret")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "term": "[TERM]", "removed": ""}
 #: rows that are sent to every task at most; more go through a shuffle
-FEW = 200_000
+FEW = 1_000_000
 #: characters of spans are moved here so that no later step takes them for parts of terms
 AWAY = 0x10F000
 CHUNK = 1024
@@ -108,7 +111,7 @@ CHECKS = {
     "ip": (lambda t: t.rlike(r"[0-9]\.[0-9]"), _ip_parts),
     "card": (lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), _luhn),
     "phone": (lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(8, 15)),
-    "secret": (lambda t: t.rlike("[A-Za-z0-9_+]{20}"), _random),
+    "secret": (lambda t: t.rlike("[0-9]") & t.rlike("(?<![A-Za-z0-9_+])[A-Za-z0-9_+]{20}"), _random),
 }
 
 
@@ -186,7 +189,7 @@ def _plain(text: Column) -> Column:
     out = text
     for k in SPANS:
         out = _let(out, mover(k))
-    return out
+    return F.when(text.rlike("[0-9@]"), out).otherwise(text)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -212,16 +215,15 @@ def _entities() -> Column:
     return F.array_distinct(F.transform("spans", lambda m: F.xxhash64(key(m))))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(rid, tid, words): the distinct words of every row outside its spans."""
-    text = F.coalesce("text", F.lit(""))
-    words = F.array_distinct(F.regexp_extract_all(_plain(text), F.lit(WORD), F.lit(0)))
-    return docs.select(_rid().alias("rid"), _tid().alias("tid"), words.alias("words"))
+def _terms() -> Column:
+    """The distinct terms of a text, and an empty one."""
+    return F.array_distinct(F.split(F.lower(_plain(F.coalesce("text", F.lit("")))), NOT_WORD))
 
 
-def _terms() -> Column:
-    """The distinct terms, as hashes."""
-    return F.array_distinct(F.transform("words", lambda w: F.xxhash64(F.lower(w))))
+def _exploded(rows: DataFrame, *keep) -> DataFrame:
+    """The columns of keep and `term`, a hash, for every term of every row."""
+    words = rows.select(*keep, F.explode(_terms()).alias("word")).where("word <> ''")
+    return words.select(*keep, F.xxhash64("word").alias("term"))
 
 
 def _looked_up(small: DataFrame, rows: int) -> DataFrame:
@@ -229,49 +231,53 @@ def _looked_up(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= FEW else small
 
 
-def disclosing(docs: DataFrame, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
+def disclosing(docs: DataFrame, support: int = 3, generalise: float = 0.7, remove: float = 0.9, likely: float = 0.5) -> DataFrame:
     """(term, removed): hashes of the terms that reveal an entity of the table."""
     base = cut(base_spans(docs))
-    texts = _texts(docs)
     # one row stands for all of a text; `more` is the number of rows that it has besides
-    stands = base.groupBy("tid").agg(F.min("rid").alias("rid"), (F.count("*") - 1).alias("more"))
-    copied = cut(stands.where("more > 0"))
+    stands = base.groupBy("tid").agg(F.min("rid").alias("rid"), (F.count("*") - 1).alias("more"), F.first("spans").alias("spans"))
+    stands = cut(stands.select("rid", "more", F.when(F.size("spans") > 0, _entities()).alias("entities")))
     total = F.lit(float(max(stands.count(), 2)))
-    held = base.where(F.size("spans") > 0).groupBy("tid").agg(F.min("rid").alias("rid"), F.first("spans").alias("spans"))
-    held = cut(held.select("rid", F.explode(_entities()).alias("entity")))
+    held = stands.select(F.explode("entities").alias("entity"))
     entities = cut(held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
-    held = cut(held.join(_looked_up(entities.select("entity"), entities.count()), "entity").groupBy("rid").agg(F.collect_list("entity").alias("entities"), F.count("*").alias("n")))
-    size = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # rows that are equal in every respect have one rid; their pairs count once
-    both = texts.join(_looked_up(held.select("rid", "entities"), size), "rid").dropDuplicates(["rid"])
-    both = both.select("entities", F.explode(_terms()).alias("term")).select("term", F.explode("entities").alias("entity"))
-    evidence = both.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    every = texts.select(F.explode(_terms()).alias("term"), F.lit(1).cast("long").alias("n"))
-    surplus = texts.join(_looked_up(copied.select("rid", "more"), copied.count()), "rid").dropDuplicates(["rid"]).select(F.explode(_terms()).alias("term"), (-F.col("more")).alias("n"))
-    spread = every.groupBy("term").agg(F.sum("n").alias("n")).union(surplus.groupBy("term").agg(F.sum("n").alias("n")))
-    spread = spread.groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= support)
+    # what a term of such a row adds: to the count of each entity with it one, to its own the surplus (under no entity)
+    often = stands.select("rid", F.explode("entities").alias("entity")).join(_looked_up(entities.select("entity"), entities.count()), "entity")
+    adds = often.select("rid", "entity", F.lit(1).cast("long").alias("n")).union(stands.where("more > 0").select("rid", F.lit(None).cast("long"), -F.col("more")))
+    adds = cut(adds.groupBy("rid").agg(F.collect_list(F.struct("entity", "n")).alias("adds"), F.count("*").alias("size")))
+    size = adds.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # rows that are equal in every respect share a rid and count once
+    rows = docs.select(_rid().alias("rid"), "text").join(_looked_up(adds.select("rid", "adds"), size), "rid").dropDuplicates(["rid"])
+    added = _exploded(rows, "adds").select("term", F.explode("adds").alias("a")).groupBy("term", "a.entity").agg(F.sum("a.n").alias("n"))
+    added = cut(added)
+    evidence = added.where("entity is not null").select("term", "entity", F.col("n").alias("n_both")).where(F.col("n_both") >= support)
+    every = _exploded(docs).groupBy("term").agg(F.count("*").alias("n"))
+    spread = every.union(added.where("entity is null").select("term", "n")).groupBy("term").agg(F.sum("n").alias("n_term"))
     scored = evidence.join(entities, "entity").join(spread, "term")
     share = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity"))) / F.greatest(-F.log2(F.col("n_entity") / total), F.lit(1e-9))
-    bad = scored.select("term", share.alias("share")).where(F.col("share") >= generalise)
+    bad = scored.select("term", share.alias("share")).where((F.col("share") >= generalise) & (F.col("n_both") >= likely * F.col("n_term")))
     return cut(bad.groupBy("term").agg((F.max("share") >= remove).alias("removed")))
 
 
 def _marked(docs: DataFrame, **how) -> DataFrame:
     """docs with `text` never null, `spans`, and `terms`: start, end and removed of the terms that disclose an entity."""
-    bad = disclosing(docs.select("doc_id", "text"), **how)
-    words = _texts(docs.select("doc_id", "text")).select("rid", F.explode("words").alias("word"))
-    words = words.select("rid", "word", F.xxhash64(F.lower("word")).alias("term")).join(_looked_up(bad, bad.count()), "term")
-    by_row = cut(words.groupBy("rid").agg(F.collect_set(F.struct("word", "removed")).alias("__words"), F.count("*").alias("n")))
+    own = docs.select("doc_id", "text")
+    bad = disclosing(own, **how)
+    met = _exploded(own.select(_rid().alias("rid"), "text"), "rid").join(_looked_up(bad, bad.count()), "term")
+    by_row = cut(met.groupBy("rid").agg(F.collect_set(F.struct("term", "removed")).alias("__bad"), F.count("*").alias("n")))
     size = by_row.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    by_row = by_row.select(F.col("rid").alias("__rid"), "__words")
+    by_row = by_row.select(F.col("rid").alias("__rid"), F.map_from_entries("__bad").alias("__bad"))
     rows = _found(docs).join(_looked_up(by_row, size), _rid() == F.col("__rid"), "left")
+    # what stands in the text for these terms
+    words = F.array_distinct(F.regexp_extract_all(_plain(F.col("text")), F.lit(WORD), F.lit(0)))
+    named = F.transform(words, lambda w: F.struct(w.alias("word"), F.try_element_at("__bad", F.xxhash64(F.lower(w))).alias("removed")))
+    rows = rows.withColumn("__words", F.when(F.col("__rid").isNotNull(), F.filter(named, lambda w: w["removed"].isNotNull())))
     edge = WORD[:-2]
     listed = F.array_join(F.transform("__words", lambda w: w["word"]), "|")
     pattern = F.concat(F.lit(f"(?<!{edge})(?:"), listed, F.lit(f")(?!{edge})"))
     removed = F.map_from_entries("__words")
     places = F.transform(matches(_plain(F.col("text")), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.element_at(removed, m["value"]).alias("removed")))
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    return rows.select(*docs.columns, "spans", F.when(F.col("__rid").isNotNull(), places).otherwise(none).alias("terms"))
+    return rows.select(*docs.columns, "spans", F.when(F.size("__words") > 0, places).otherwise(none).alias("terms"))
 
 
 def _written(spans: Column, name) -> Column:
@@ -343,7 +349,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
     return rows.select(*out)
 
 
-def oracle(support: int = 3, generalise: float = 0.7) -> str:
+def oracle(support: int = 3, generalise: float = 0.7, likely: float = 0.5) -> str:
     """DuckDB SQL for report(), with the plain patterns."""
     plain = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
@@ -379,7 +385,7 @@ y AS (SELECT entity, count(*) AS ne FROM m GROUP BY entity HAVING count(*) >= {s
 x AS (SELECT entity, term, count(*) AS nb FROM m JOIN w USING (r) WHERE entity IN (SELECT entity FROM y) GROUP BY ALL HAVING count(*) >= {support}),
 z AS (SELECT term, count(*) AS nt FROM w GROUP BY term),
 n AS (SELECT CAST(greatest(count(*), 2) AS DOUBLE) AS n FROM u),
-q AS MATERIALIZED (SELECT DISTINCT term FROM x JOIN y USING (entity) JOIN z USING (term), n WHERE log2(nb * n / (nt * ne)) / greatest(-log2(ne / n), 1e-9) >= {generalise}),
+q AS MATERIALIZED (SELECT DISTINCT term FROM x JOIN y USING (entity) JOIN z USING (term), n WHERE log2(nb * n / (nt * ne)) / greatest(-log2(ne / n), 1e-9) >= {generalise} AND nb >= {likely} * nt),
 k AS (SELECT p.r, p.plain FROM p SEMI JOIN (SELECT r FROM (SELECT r, unnest(regexp_extract_all(lower(plain), '{word}')) AS term FROM p) JOIN q USING (term)) USING (r)),
 ts AS (SELECT r, count(*) AS n_term, string_agg('term:' || s || ':' || (s + length(v)), ',' ORDER BY s) AS j FROM ({places('k', 'plain', word, 'r')}) WHERE lower(v) IN (SELECT term FROM q) GROUP BY r),
 bs AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(SPANS))}, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY kind, s) FILTER (kind < {len(KINDS)}) AS j, string_agg({names} || ':' || s || ':' || e, ',' ORDER BY kind, s) AS w FROM b GROUP BY r)
