@@ -31,8 +31,8 @@ enough and meet in many groups; for the last comparison these get sketches of
 FINE times as many bits, so that few pairs but the linked ones are left.
 
 Memberships travel as two numbers; sketches join them only for the groups that a
-turn compares. A group of more than SPLIT classes is dealt in blocks: each block
-meets the group's first class in the first turn, and each other block later.
+turn compares. A large group is dealt in blocks: each block meets the group's first class in the
+first turn, and each other block later.
 
 Null and wordless texts have the empty set and are linked with nothing. Texts
 with fewer than n words have all their words as one element. A document may
@@ -56,8 +56,10 @@ HASH_BITS = 54
 SEEDS = 4
 SALTS = 16
 TURNS = 4
-SPLIT = 1024  # classes of a group in one task
-FINE = 8
+FIRST_SPLIT = 512  # classes of a group in one task in the first turn, where a further block takes one row more
+SPLIT = 2048  # and later, where it takes all rows of the group once more
+FINE = 2
+FEW = 500_000  # labels that are sent to every task; more go through a shuffle
 BAND = 1.4  # about how much larger the largest set of a band is than its smallest
 
 
@@ -316,8 +318,9 @@ class JaccardJoin:
 
     def _dealt(self, rows: DataFrame, first: bool) -> DataFrame:
         """rows with `part` and `side`: what one task compares. Sets of part are compared if their sides differ or are 2."""
-        few = rows.where(F.col("n") <= SPLIT).select(F.col("grp").alias("part"), F.lit(2).alias("side"), "set_key", "label")
-        many = rows.where(F.col("n") > SPLIT).withColumn("blocks", F.ceil(F.col("n") / SPLIT).cast("int"))
+        most = FIRST_SPLIT if first else SPLIT
+        few = rows.where(F.col("n") <= most).select(F.col("grp").alias("part"), F.lit(2).alias("side"), "set_key", "label")
+        many = rows.where(F.col("n") > most).withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
         many = many.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
         others = F.sequence(F.lit(0), F.col("blocks") - 1)
         if first:  # the smallest set meets every block
@@ -461,7 +464,8 @@ class JaccardJoin:
                     continue
                 links = new if links is None else links.union(new)
                 label = cut(components(links))
-                rows = shared.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("component", "set_key"))
+                named = label.withColumnRenamed("node", "set_key")
+                rows = shared.join(F.broadcast(named) if label.count() <= FEW else named, "set_key", "left").withColumn("label", F.coalesce("component", "set_key"))
             if links is None:
                 label = shared.select(F.col("set_key").alias("node"), F.col("set_key").alias("component")).limit(0)
             self._linked = label.select(F.col("node").alias("set_key"), "component")

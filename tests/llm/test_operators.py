@@ -677,6 +677,7 @@ def test_ngram_join_of_a_large_group_just_below(spark, monkeypatch):
             break
         label = new
     monkeypatch.setattr(ngram_join, "SPLIT", 150)
+    monkeypatch.setattr(ngram_join, "FIRST_SPLIT", 100)
     seen, plain = [], ngram_join.JaccardJoin._verified
     monkeypatch.setattr(ngram_join.JaccardJoin, "_verified", lambda self, pairs: seen.append(pairs.count()) or plain(self, pairs))
     got = rows(ngram_join.JaccardJoin(frame(spark, docs), 5, 80, 100).membership(), "doc_id", "n_shingles", "component_id")
