@@ -1,9 +1,11 @@
 """Re-Pair grammar compression of token ids.
 
 Each round counts all adjacent pairs exactly and replaces the frequent ones
-(non-overlapping, more frequent pairs first) by nonterminals: those that come at
-least 1 / STEP as often as the most frequent one. It goes on until no pair comes
-`least` times; a rule for fewer would take more bytes than it saves. Documents
+(non-overlapping, more frequent pairs first) by nonterminals: those above a level
+that begins at 1 / STEP of the most frequent pair's count and is divided by STEP
+once a round replaces less than one in fifty symbols. The last level is `least`; a
+rule for fewer would take more bits than it saves. There it goes on until a round
+replaces less than one in a thousand of the symbols left. Documents
 end in a terminal of their own and nothing that ends in it begins a rule, so no
 symbol crosses documents and each can be decoded alone.
 
@@ -23,7 +25,7 @@ from .textblocks import ranges
 MAGIC = b"RPG2"
 SYMBOL_BITS = 24
 SLOT_BITS = 20
-STEP = 8
+STEP = 64
 SHORT = 32  # expansions of up to so many ids are kept when reading
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -32,14 +34,19 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * _ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _frequent(keys: np.ndarray, least: int, most: int):
-    """Up to `most` pairs that come at least `least` times and often enough for this round, the most frequent first."""
+def _frequent(keys: np.ndarray, level: int, least: int, most: int):
+    """(up to `most` pairs that come at least `level` times, the most frequent first; the greatest count; level).
+
+    level 0: taken from the greatest count.
+    """
     keys = np.sort(keys)
-    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    count = np.diff(np.concatenate((at, [len(keys)])))
-    keep = np.flatnonzero(count >= max(least, int(count.max(initial=0)) // STEP))
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    count = np.diff(np.append(at, len(keys)))
+    top = int(count.max(initial=0))
+    level = level or max(least, top // STEP)
+    keep = np.flatnonzero(count >= level)
     keep = keep[np.lexsort((keys[at[keep]], -count[keep]))[:most]]
-    return keys[at[keep]]
+    return keys[at[keep]], top, level
 
 
 def _replace(keys, inner, chosen, least):
@@ -79,15 +86,19 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 3):
     closing = np.zeros(base + 1, bool)  # symbols whose expansion has the end of a document
     closing[base] = True
     rules: list[np.ndarray] = []
+    level = 0  # not known yet
     while len(seq) > 1:
         keys = (seq[:-1].astype(np.int64) << SYMBOL_BITS) | seq[1:]
         inner = ~closing[seq[:-1]]
-        chosen = _frequent(keys[inner], least, (1 << SYMBOL_BITS) - len(closing))
-        if not len(chosen):
-            break
-        rank, at = _replace(keys, inner, chosen, least)
+        chosen, top, level = _frequent(keys[inner], level, least, (1 << SYMBOL_BITS) - len(closing))
+        rank, at = _replace(keys, inner, chosen, level) if len(chosen) else (chosen, chosen)
+        last = level == least and 1000 * len(rank) < len(seq)
+        if 50 * len(rank) < len(seq):
+            level = max(least, min(level, top) // STEP)
         if not len(rank):
-            break
+            if last:
+                break
+            continue
         used = np.unique(rank)
         number = np.zeros(len(chosen), np.uint32)
         number[used] = len(closing) + np.arange(len(used))
@@ -100,6 +111,8 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 3):
         moved = np.cumsum(keep) - 1
         end = moved[end]  # an end that was taken in now lies in the symbol before it
         seq = seq[keep]
+        if last:
+            break
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return pairs, seq, np.diff(np.concatenate(([-1], end)))
 
@@ -116,8 +129,9 @@ def _packed(values: np.ndarray) -> bytes:
     bits = max(1, int(values.max(initial=0)).bit_length())
     out = [np.array([len(values), bits], "<u4").tobytes()]
     for at in range(0, len(values), 1 << 16):  # a multiple of 8 elements fills whole bytes
-        part = values[at : at + (1 << 16), None]
-        out.append(np.packbits((part >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)).tobytes())
+        part = values[at : at + (1 << 16)].astype("<u4")
+        flags = np.unpackbits(part.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
+        out.append(np.packbits(flags).tobytes())
     return b"".join(out)
 
 
@@ -128,9 +142,9 @@ def _unpacked(blob: bytes, at: int):
     raw = np.frombuffer(blob, np.uint8, size, at + 8)
     for i in range(0, n, 1 << 16):
         few = min(n - i, 1 << 16)
-        flags = np.unpackbits(raw[i * bits // 8 :][: -(-few * bits // 8)])[: few * bits].reshape(few, bits)
-        for j in range(bits):
-            out[i : i + few] |= flags[:, j].astype(np.int64) << j
+        flags = np.zeros((few, 32), np.uint8)
+        flags[:, :bits] = np.unpackbits(raw[i * bits // 8 :][: -(-few * bits // 8)])[: few * bits].reshape(few, bits)
+        out[i : i + few] = np.packbits(flags, axis=1, bitorder="little").view("<u4").ravel()
     return out, at + 8 + size
 
 
