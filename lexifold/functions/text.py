@@ -76,6 +76,9 @@ CONFUSABLES = {
     "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
     "‘": "'", "’": "'", "“": '"', "”": '"', "—": "-", "–": "-", "…": "...", "•": "*", "°": "o",
 }
+# fixed values: how umlauts are spelled without marks
+UMLAUTS = {"Ae": "Ä", "Oe": "Ö", "Ue": "Ü", "ae": "ä", "oe": "ö", "ue": "ü", "ss": "ß"}
+# fixed values: characters that are dropped
 INVISIBLE = "​‌‍﻿\x00\x01\x02\x03\x04\x05�"
 
 
@@ -89,7 +92,7 @@ def clean_text(c, fix: bool = True, join_hyphens: bool = True, umlauts: bool = F
             if len(v) > 1:
                 t = F.replace(t, F.lit(k), F.lit(v))
         if umlauts:
-            for a, b in (("Ae", "Ä"), ("Oe", "Ö"), ("Ue", "Ü"), ("ae", "ä"), ("oe", "ö"), ("ue", "ü"), ("ss", "ß")):
+            for a, b in UMLAUTS.items():
                 t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_]){a}(?![\p{{L}}\p{{N}}_])", b)
     if join_hyphens:
         t = F.regexp_replace(t, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
