@@ -34,12 +34,16 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * _ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left.astype(np.int64) << SYMBOL_BITS) | right
+
+
 def _frequent(keys: np.ndarray, level: int, least: int, most: int):
     """(up to `most` pairs that come at least `level` times, the most frequent first; the greatest count; level).
 
-    level 0: taken from the greatest count.
+    level 0: taken from the greatest count. keys: the caller's own copy, sorted here.
     """
-    keys = np.sort(keys)
+    keys.sort()
     at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
     count = np.diff(np.append(at, len(keys)))
     top = int(count.max(initial=0))
@@ -49,15 +53,20 @@ def _frequent(keys: np.ndarray, level: int, least: int, most: int):
     return keys[at[keep]], top, level
 
 
-def _replace(keys, inner, chosen, least):
-    """(rank of the pair, place) of the occurrences of chosen pairs to replace; pairs left with too few are given up."""
+def _replace(seq, inner, chosen, least, symbols):
+    """(rank of the pair, ascending place) of the occurrences of chosen pairs to replace; pairs left with too few are given up."""
     table = np.zeros(1 << SLOT_BITS, np.int32)
     slots = _slot(chosen)
     table[slots[::-1]] = np.arange(len(chosen), 0, -1)  # of two pairs in a slot the more frequent stays
+    first, second = np.zeros(symbols, bool), np.zeros(symbols, bool)  # whether a symbol stands so in any chosen pair
+    first[chosen >> SYMBOL_BITS], second[chosen & ((1 << SYMBOL_BITS) - 1)] = True, True
+    at = np.flatnonzero(first[seq[:-1]] & inner)
+    at = at[second[seq[at + 1]]]
+    keys = _pairs(seq[at], seq[at + 1])
     which = table[_slot(keys)]
-    at = np.flatnonzero(which)
-    at = at[inner[at] & (chosen[which[at] - 1] == keys[at])]
-    rank = which[at].astype(np.int64)
+    kept = np.flatnonzero(which)
+    kept = kept[chosen[which[kept] - 1] == keys[kept]]
+    at, rank = at[kept], which[kept].astype(np.int64)
     # neighbouring candidates overlap: the better rank stays; in runs of equal ones every second
     joined = np.concatenate(([False], at[1:] == at[:-1] + 1))
     equal = joined & np.concatenate(([False], rank[1:] == rank[:-1]))
@@ -83,15 +92,14 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 3):
     seq = ids.astype(np.uint32)
     end = np.cumsum(sizes) - 1
     seq[end] = base
-    closing = np.zeros(base + 1, bool)  # symbols whose expansion has the end of a document
-    closing[base] = True
     rules: list[np.ndarray] = []
+    symbols = base + 1  # the next one's number
     level = 0  # not known yet
     while len(seq) > 1:
-        keys = (seq[:-1].astype(np.int64) << SYMBOL_BITS) | seq[1:]
-        inner = ~closing[seq[:-1]]
-        chosen, top, level = _frequent(keys[inner], level, least, (1 << SYMBOL_BITS) - len(closing))
-        rank, at = _replace(keys, inner, chosen, level) if len(chosen) else (chosen, chosen)
+        inner = np.ones(len(seq) - 1, bool)  # whether a pair begins here: not at a document's last symbol
+        inner[end[:-1]] = False
+        chosen, top, level = _frequent(_pairs(seq[:-1], seq[1:])[inner], level, least, (1 << SYMBOL_BITS) - symbols)
+        rank, at = _replace(seq, inner, chosen, level, symbols) if len(chosen) else (chosen, chosen)
         last = level == least and 1000 * len(rank) < len(seq)
         if 50 * len(rank) < len(seq):
             level = max(least, min(level, top) // STEP)
@@ -101,15 +109,13 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 3):
             continue
         used = np.unique(rank)
         number = np.zeros(len(chosen), np.uint32)
-        number[used] = len(closing) + np.arange(len(used))
-        pair = np.stack((chosen[used] >> SYMBOL_BITS, chosen[used] & ((1 << SYMBOL_BITS) - 1)), 1)
-        rules.append(pair)
-        closing = np.concatenate((closing, closing[pair[:, 1]]))
+        number[used] = symbols + np.arange(len(used))
+        symbols += len(used)
+        rules.append(np.stack((chosen[used] >> SYMBOL_BITS, chosen[used] & ((1 << SYMBOL_BITS) - 1)), 1))
         seq[at] = number[rank]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        moved = np.cumsum(keep) - 1
-        end = moved[end]  # an end that was taken in now lies in the symbol before it
+        end = end - np.searchsorted(at, end)  # an end that was taken in now lies in the symbol before it
         seq = seq[keep]
         if last:
             break

@@ -10,6 +10,8 @@ rule on PROBES first; with a tokenizer that fails there it encodes whole texts.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 
@@ -41,6 +43,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         sep = self._ids([SEPARATOR])[0]
         self.sep = sep[0] if len(sep) == 1 else None
+        self.closes = self._closing(json.loads(tokenizer_json))
         self._clear()
         self.by_word = True
         for block in tb.blocks(pa.array(PROBES)):
@@ -64,6 +67,15 @@ class WordEncoder:
     def _ids(self, texts):
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _closing(self, spec) -> np.ndarray | None:
+        """Whether an id ends a piece of text; None if the vocabulary does not mark that."""
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        if not suffix:
+            return None
+        closes = np.zeros(self.size_of_vocabulary(), bool)
+        closes[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+        return closes
+
     def _clear(self):
         """No words: sorted hashes with the words' numbers, and for each number its ids' place in `flat`."""
         self.hashes, self.numbers, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
@@ -88,18 +100,29 @@ class WordEncoder:
         self.numbers = np.insert(self.numbers, place, (at + order).astype(np.int32))
 
     def _learn(self, hashes, words):
+        """Words of letters alone are one piece each, whose end its last id marks; others get separators between them."""
+        letters = [i for i, w in enumerate(words) if w.isalpha()] if self.closes is not None else []
+        if letters:
+            ids, sizes = self._joined([words[i] for i in letters], " ", self.closes)
+            if len(sizes) == len(letters):  # else some word is more than a piece, and all get separators
+                self._add([hashes[i] for i in letters], ids, sizes)
+                rest = sorted(set(range(len(words))).difference(letters))
+                hashes, words = [hashes[i] for i in rest], [words[i] for i in rest]
         alone = [i for i, w in enumerate(words) if self.sep is None or SEPARATOR in w]
         if alone:
             for i, ids in zip(alone, self._ids([words[i] for i in alone])):
                 self._add([hashes[i]], np.array(ids, np.int32), np.array([len(ids)]))
-            left = set(range(len(words))).difference(alone)
-            hashes, words = [hashes[i] for i in sorted(left)], [words[i] for i in sorted(left)]
+            rest = sorted(set(range(len(words))).difference(alone))
+            hashes, words = [hashes[i] for i in rest], [words[i] for i in rest]
         if words:
-            step = 500
-            texts = [f" {SEPARATOR} ".join([*words[i : i + step], ""]) for i in range(0, len(words), step)]
-            ids = np.concatenate([np.array(x, np.int32) for x in self._ids(texts)])
-            ends = np.flatnonzero(ids == self.sep)
-            self._add(hashes, ids[ids != self.sep], np.diff(np.concatenate(([-1], ends))) - 1)
+            ids, sizes = self._joined(words, f" {SEPARATOR} ", np.arange(self.size_of_vocabulary()) == self.sep)
+            self._add(hashes, ids[ids != self.sep], sizes - 1)
+
+    def _joined(self, words, between, closes, step=500):
+        """(ids of texts of `step` words, number up to each closing id)."""
+        texts = [between.join([*words[i : i + step], ""]) for i in range(0, len(words), step)]
+        ids = np.concatenate([np.array(x, np.int32) for x in self._ids(texts)])
+        return ids, np.diff(np.concatenate(([-1], np.flatnonzero(closes[ids]))))
 
     def _words(self, block: tb.Block):
         """(index into start and size for each word, first)."""

@@ -601,6 +601,17 @@ def test_repair_of_many_documents():
         repair.pack(np.array([9, 2]), np.array([2]), 9)
 
 
+def test_word_encoder_tells_ends_of_letter_words():
+    """Letters that the tokenizer composes, decomposes or folds, and words that only look like letters."""
+    from lexifold.llm.tokens import WordEncoder, default_path, read_tokenizer
+
+    texts = ["\u0958\u0959 abc", "\ufb00 \ufb01 \u00e9a e\u0301", "\u0130stanbul \u00df \u017f", "", "\u4e2d\u6587\u5b57 abc", "\u01c5 \u02b0 \u00aa", "</w> w w</w>", "don't it's a\x01b"]
+    encoder = WordEncoder(read_tokenizer(default_path()))
+    (block,) = tb.blocks(pa.array(texts))
+    ids, sizes = encoder.encode(block)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == encoder._ids(texts)
+
+
 def test_word_encoder_of_another_tokenizer():
     """One that keeps white space: whole texts are encoded."""
     from tokenizers import Tokenizer, models, pre_tokenizers
