@@ -103,6 +103,36 @@ def page_offset_limit(spark, d):
     return _found(spark, d, False, sort="lang,-n", offset=40, limit=20)
 
 
+@query(f"WITH {PLAIN} SELECT id, lang, n FROM p ORDER BY source DESC, id LIMIT 30 OFFSET 10")
+def sort_source_path(spark, d):
+    """A page in the order of the files' paths; the rows know their files by hashes only."""
+    t = _tables(spark, d, False)
+    hashed = S.Tables(t.paragraphs.withColumn("source", F.md5("source")), t.files.withColumn("id", F.md5("path")))
+    return S.search(hashed, S.Filters(sort="-source", offset=10, limit=30)).select("id", "lang", "n")
+
+
+@query(f"WITH {PLAIN}, {BRIDGE} SELECT id, (SELECT string_agg(dataset, '|' ORDER BY dataset) FROM b WHERE file_id = source) AS datasets FROM p")
+def paragraph_datasets(spark, d):
+    t = _tables(spark, d, False)
+    return S.datasets_of(t, t.paragraphs).select("id", F.array_join("datasets", "|").alias("datasets"))
+
+
+@query(f"WITH {BRIDGE} SELECT DISTINCT file_id AS path FROM b WHERE dataset = 'en' OR starts_with(dataset, 'en--') OR dataset = 'de--web'")
+def dataset_files(spark, d):
+    return S.files_of(_tables(spark, d, False), "en", "de--web").select("path")
+
+
+@query(f"WITH {PARAGRAPHS} SELECT lang, min(id) AS id FROM p WHERE list_contains(keywords, 'the') GROUP BY lang")
+def db_query_source(spark, d):
+    """A stored pipeline that starts with a search."""
+    from . import stages  # noqa: F401  registers the stages
+    from .pipeline import Context, compile_pipeline
+
+    t = _tables(spark, d)
+    steps = [["DBQueryDataSource", {"query": "the", "groups": "lang", "sort": "lang"}]]
+    return compile_pipeline(spark.range(1), steps, Context(named={"paragraphs": t.paragraphs})).select("lang", "id")
+
+
 @query(f"WITH {PARAGRAPHS} SELECT count(*) AS n FROM p WHERE list_contains(keywords, 'the')")
 def count_total(spark, d):
     return S.count(_tables(spark, d), S.Filters(q="the", limit=5))

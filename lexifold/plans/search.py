@@ -87,12 +87,34 @@ def filtered(t: Tables, f: Filters) -> DataFrame:
     return df
 
 
+PATH = "__path"  # the path of a row's file, while rows are ordered by it
+
+
+def _with_path(t: Tables, df: DataFrame, sort: str) -> DataFrame:
+    """df with the path of its file, where the order asks for it and files are known; a row of an unknown file has none."""
+    if t.files is None or "source" not in [k.strip().lstrip("+-") for k in sort.split(",")]:
+        return df
+    paths = t.files.select(F.col("id").alias("source"), F.col("path").alias(PATH))
+    return df.join(paths, "source", "left").select(*df.columns, PATH)
+
+
+def datasets_of(t: Tables, rows: DataFrame) -> DataFrame:
+    """rows with `datasets`, the sorted names of the data sets their file is in; empty without a file or data set."""
+    names = t.file_datasets.groupBy(F.col("file_id").alias("source")).agg(F.array_sort(F.collect_set("dataset")).alias("datasets"))
+    return rows.drop("datasets").join(names, "source", "left").withColumn("datasets", F.coalesce("datasets", F.array().cast("array<string>")))
+
+
+def files_of(t: Tables, *datasets: str) -> DataFrame:
+    """Each file of the data sets and of those below them, once."""
+    return t.files.join(t.file_datasets.where(below("dataset", datasets, "--")).select(F.col("file_id").alias("id")), "id", "left_semi")
+
+
 def order(df: DataFrame, sort: str, *tie) -> list[Column]:
     """"a,-b" as columns: nulls last upwards and first downwards; unknown names are left out; ties by `tie`."""
     out = []
     for key in filter(None, (k.strip() for k in sort.split(","))):
         name = key.lstrip("+-")
-        names = ["source", "source_page"] if name == "source" else [name]
+        names = [PATH if PATH in df.columns else "source", "source_page"] if name == "source" else [name]
         for n in names:
             if n in df.columns:
                 out.append(F.col(n).desc_nulls_first() if key.startswith("-") else F.col(n).asc_nulls_last())
@@ -108,6 +130,8 @@ def distinct_on(df: DataFrame, column: str, sort: str = "") -> DataFrame:
 def search(t: Tables, f: Filters) -> DataFrame:
     """The page of results. With a vector: nearest first, `distance` added."""
     df = filtered(t, f)
+    columns = df.columns + (["distance"] if f.vector else [])
+    df = df if f.vector else _with_path(t, df, f.sort)
     if f.vector:
         near = nearest_per_record(t.embeddings, list(f.vector))
         df = df.join(near, "id")
@@ -120,7 +144,8 @@ def search(t: Tables, f: Filters) -> DataFrame:
         df = df.orderBy(*keys)
     if f.offset:
         df = df.offset(f.offset)
-    return df.limit(f.limit) if f.limit else df
+    df = df.limit(f.limit) if f.limit else df
+    return df.select(*columns) if PATH in df.columns else df
 
 
 def count(t: Tables, f: Filters) -> DataFrame:

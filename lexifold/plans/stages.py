@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import unit
-from ..operators import bibliography, counts, external, graph, learning, ordered, records, snapshots, vectors  # noqa: F401
+from ..operators import bibliography, counts, external, graph, learning, library, ordered, records, snapshots, vectors  # noqa: F401
 from ..sources import html, readers
+from . import search
 from .pipeline import Context, stage
 
 # reducers
@@ -162,6 +163,24 @@ def _listing(df: DataFrame, content: str, scopes: str = "", list_link: str = ".*
     return found.join(df.select("url", "html"), "url").select("url", "depth", html.title("html").alias("outline"), html.plain(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " ")).alias("content"))
 
 
+@stage("DBQueryDataSource")
+def _db_query(df: DataFrame, query: str = "", limit: int = 0, skip: int = 0, sort: str = "", groups: str = "", ctx: Context = None) -> DataFrame:
+    """A search over the context's tables paragraphs and, where known, files, file_datasets and embeddings.
+
+    groups: a column, of whose values the first row each is taken, or none.
+    """
+    tables = search.Tables(ctx.named["paragraphs"], *(ctx.named.get(x) for x in ("files", "file_datasets", "embeddings")))
+    return search.search(tables, search.Filters(q=query, limit=limit, offset=skip, sort=sort, group_by="" if groups == "none" else groups))
+
+
+@stage("CalibreDataSource")
+def _books(df: DataFrame, content: str = "", dataset_name: str = "", lang: str = "auto", formats: str = "epub,pdf", ctx: Context = None) -> DataFrame:
+    """Records of the books of a library, whose tables the context holds as library:<table>; content: its folder."""
+    tables = {k.removeprefix("library:"): v for k, v in ctx.named.items() if k.startswith("library:")}
+    rows = library.book_records(tables, [x.strip() for x in formats.lower().split(",")], content.rstrip("/"))
+    return rows.withColumn("dataset", F.lit(dataset_name)).withColumn("lang", F.lit(lang))
+
+
 @stage("PDFDataSource")
 def _pdf(df: DataFrame, page_range: str = "", ctx: Context = None) -> DataFrame:
     """Pages of documents (path, content binary); known pages of `pdf_done` in the context are left out."""

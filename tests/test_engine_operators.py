@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexifold.operators import bibliography, counts, external, graph, ordered, records, snapshots  # noqa: F401
+from lexifold.plans import search, stages  # noqa: F401
 from lexifold.plans.pipeline import Context, compile_pipeline, spec
 from lexifold.schema import fold_extra
 from lexifold.sources import html, readers
@@ -258,3 +259,35 @@ def test_reducers_and_services_as_stages(spark, tmp_path):
     run(df.select("id", "content"), ["Export", {"path": str(tmp_path / "csv"), "output_format": "csv"}])
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 3
     assert run(df, ["GPTTranslation", {"prompt": "Say {lang}", "test": True}]).first().content == "Say en"
+
+
+def test_search_as_a_source(spark):
+    p = spark.createDataFrame([(1, "f2", 1, "x a"), (2, "f1", 2, "a"), (3, "f1", 1, "a"), (4, None, 1, "a"), (5, "f9", 1, "b")], "id int, source string, source_page int, content string")
+    files = spark.createDataFrame([("f1", "z.pdf"), ("f2", "b.pdf")], "id string, path string")
+    links = spark.createDataFrame([("f1", "A--x"), ("f1", "A"), ("f2", "Ab")], "file_id string, dataset string")
+    ctx = Context(named={"paragraphs": p, "files": files, "file_datasets": links})
+    found = lambda **args: rows(run(spark.range(1), ["DBQueryDataSource", args], ctx=ctx), "id")
+    assert found(query="*a*", sort="source") == [1, 3, 2, 4]  # by path, then page; without a file last
+    assert found(query="*a*", sort="-id", skip="1", limit="2") == [3, 2]
+    assert sorted(found(query="?id > 3", groups="none")) == [4, 5] and sorted(found(groups="source")) == [1, 2, 4, 5]
+    t = search.Tables(p, files, links)
+    assert search.search(t, search.Filters(sort="source")).columns == p.columns
+    got = search.datasets_of(t, p)
+    assert {r.id: r.datasets for r in got.collect()} == {1: ["Ab"], 2: ["A", "A--x"], 3: ["A", "A--x"], 4: [], 5: []}
+    assert rows(search.files_of(t, "A"), "path") == ["z.pdf"]
+
+
+def test_library_as_a_source(spark):
+    named = {
+        "library:books": spark.createDataFrame([(1, "T", "A/T (1)", "1999-05-06"), (2, "U", "U", None), (3, "no file", "V", None)], "id int, title string, path string, pubdate string").withColumn("pubdate", F.to_timestamp("pubdate")),
+        "library:data": spark.createDataFrame([(1, "PDF", "t"), (1, "EPUB", "t"), (1, "MOBI", "t"), (2, "PDF", "u")], "book int, format string, name string"),
+        "library:authors": spark.createDataFrame([(7, "B "), (8, "A")], "id int, name string"),
+        "library:books_authors_link": spark.createDataFrame([(1, 7), (1, 8)], "book int, author int"),
+    }
+    got = run(spark.range(1), ["CalibreDataSource", {"content": "/lib/", "dataset_name": "D"}], ctx=Context(named=named))
+    cut = rows(got.withColumn("pdate", F.col("pdate").cast("string")), "book_id", "author", "pdate", "content", "dataset", "publisher", "tags")
+    assert sorted(cut, key=str) == [
+        (1, "A & B", "1999-01-01", "/lib/A/T (1)/t.epub", "D", None, []),
+        (1, "A & B", "1999-01-01", "/lib/A/T (1)/t.pdf", "D", None, []),
+        (2, None, None, "/lib/U/u.pdf", "D", None, []),
+    ]
