@@ -69,6 +69,12 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.JaccardJoin(table(spark, sf_dir, "documents"), n=4, num=85, den=100).membership()
 
 
+def op13_periodic_runs(spark, sf_dir):
+    from . import periodic_runs
+
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -193,3 +193,42 @@ def append_columns(df, fields: dict, make):
             yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names)
 
     return kept.mapInArrow(run, schema)
+
+
+def append_by_block(df, fields: dict, make, text: str = "text"):
+    """As append_columns, but make(block, record batch of the block's rows) -> arrays.
+
+    Each block of whole texts leaves as a record batch of its own, so no array
+    grows beyond the longest document.
+    """
+    from pyspark.sql import types as T
+
+    ship(df.sparkSession)
+    keep = [c for c in df.columns if c not in fields]
+    at = keep.index(text) if text in keep else None
+    source = df.select(*[f"`{c}`" for c in [*keep, *([] if at is not None else [text])]])
+    at = len(keep) if at is None else at
+    schema = T.StructType([*[f for f in source.schema.fields[: len(keep)]], *[T.StructField(k, v) for k, v in fields.items()]])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            for block in blocks(batch.column(at)):
+                part = batch.slice(block.rows.start, block.rows.stop - block.rows.start)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *make(block, part)], names)
+
+    return source.mapInArrow(run, schema)
+
+
+def joined_words(block: Block, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> pa.Array:
+    """For each document its words (spans of the block; document i has those from first[i] on) joined by single spaces."""
+    size = ends - starts + 1  # with what stands after the word: the block ends each document by a line feed
+    out = block.buf[ranges(starts, size)]
+    stop = np.concatenate(([0], np.cumsum(size)))
+    out[stop[1:] - 1] = 0x20
+    last = stop[first[1:]][np.diff(first) > 0] - 1
+    out = np.delete(out, last)
+    offsets = stop[first] - np.concatenate(([0], np.cumsum(np.diff(first) > 0)))
+    wide = len(out) >= 1 << 31
+    made = (pa.LargeStringArray if wide else pa.StringArray).from_buffers(len(first) - 1, pa.py_buffer(offsets.astype(np.int64 if wide else np.int32).tobytes()), pa.py_buffer(out.tobytes()))
+    return made
