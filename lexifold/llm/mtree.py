@@ -109,11 +109,12 @@ class MTree:
                     heapq.heappush(queue, (l, e, x))
 
 
-def integers(table: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, v): the rows without null or non-finite components, components as integers."""
+def integers(table: DataFrame, scale: int = 1024, *more: str) -> DataFrame:
+    """(vec_id, v, more columns): the rows without null or non-finite components, components as integers."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return table.select("vec_id", "embedding", x.alias("x")).where(good).select("vec_id", F.transform("x", lambda c: F.floor(F.greatest(F.lit(-float(EDGE)), F.least(F.lit(float(EDGE)), c * F.lit(float(scale))))).cast("long")).alias("v"))
+    whole = F.transform("x", lambda c: F.floor(F.greatest(F.lit(-float(EDGE)), F.least(F.lit(float(EDGE)), c * F.lit(float(scale))))).cast("long"))
+    return table.select("vec_id", "embedding", x.alias("x"), *more).where(good).select("vec_id", whole.alias("v"), *more)
 
 
 def top_k(table: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 16384, page: int = 64, scale: int = 1024) -> DataFrame:

@@ -69,6 +69,12 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.JaccardJoin(table(spark, sf_dir, "documents"), n=4, num=85, den=100).membership()
 
 
+def op12_hard_negatives(spark, sf_dir):
+    from . import hard_negatives
+
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 def op13_periodic_runs(spark, sf_dir):
     from . import periodic_runs
 
@@ -80,6 +86,6 @@ def queries():
 
 
 def oracle_sql():
-    from . import chat, decontaminate, mtree, ngram_join, pii
+    from . import chat, decontaminate, hard_negatives, mtree, ngram_join, pii
 
-    return {"op2_pii_sanitisation": pii.oracle(), "op4_chat_formatting": chat.oracle(), "op5_exact_top_k": mtree.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op10_ngram_jaccard_join": ngram_join.ORACLE}
+    return {"op2_pii_sanitisation": pii.oracle(), "op4_chat_formatting": chat.oracle(), "op5_exact_top_k": mtree.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op10_ngram_jaccard_join": ngram_join.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
