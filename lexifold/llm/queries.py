@@ -69,6 +69,12 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.JaccardJoin(table(spark, sf_dir, "documents"), n=4, num=85, den=100).membership()
 
 
+def op11_lm_scoring(spark, sf_dir):
+    from . import bloom_lm
+
+    return bloom_lm.report(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark, sf_dir):
     from . import hard_negatives
 
