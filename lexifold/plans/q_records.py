@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import arrays, dates, geo, text
-from ..operators import ordered, records  # noqa: F401  registers the stages
+from ..operators import ordered, pages, records  # noqa: F401  registers the stages
 from ..sources import html, readers
 from .pipeline import Context, compile_pipeline
 from .registry import LOW, PLAIN, TOKENS, WORDS, register
@@ -172,7 +172,20 @@ def reparagraph(spark, d):
     return _run(spark, d, ["Reparagraph", {}]).select("id", "content")
 
 
-@query(None)
+@query(r"""WITH p AS (SELECT conv_id AS source, turn AS page, md5(text) AS tie, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT source, page, tie, line, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t FROM p),
+k AS (SELECT * FROM l WHERE t <> '' AND NOT (length(t) <= 100 AND regexp_matches(t, '(?i)^(\d+|\d+\s*of\s*\d+|page\s*\d+|-\s*\d+\s*-|[©®&]\s*\d{4}.*|[-—•*])$'))),
+a AS (SELECT *, lag(t) OVER w AS b, CAST(length(t) < 30 AS INTEGER) AS s FROM k WINDOW w AS (PARTITION BY source ORDER BY page, tie, line)),
+f AS (SELECT *, b IS NULL OR (regexp_matches(b, '[.!?。！？…:：]$') AND regexp_matches(t, '^[\p{Lu}\x{4E00}-\x{9FFF}]')) OR (length(b) > 100 AND length(t) < 20) AS begins, sum(s) OVER w AS shorts FROM a WINDOW w AS (PARTITION BY source ORDER BY page, tie, line)),
+g AS (SELECT *, s = 1 AND (shorts - max(CASE WHEN begins OR s = 0 THEN shorts - s END) OVER w) % 5 = 0 AS closes FROM f WINDOW w AS (PARTITION BY source ORDER BY page, tie, line)),
+h AS (SELECT *, begins OR coalesce(lag(closes) OVER w, false) AS new FROM g WINDOW w AS (PARTITION BY source ORDER BY page, tie, line)),
+i AS (SELECT *, sum(CAST(new AS INTEGER)) OVER w AS para, regexp_extract_all(t, '[^.!?。！？…:：]*[.!?。！？…:：]+|[^.!?。！？…:：]+$') AS parts FROM h WINDOW w AS (PARTITION BY source ORDER BY page, tie, line)),
+j AS (SELECT source, page, tie, line, new, para, unnest(parts) AS t, generate_subscripts(parts, 1) AS piece FROM i),
+m AS (SELECT *, sum(length(t) + CAST(piece = 1 AS INTEGER)) OVER w - length(t) - CAST(piece = 1 AS INTEGER) AS place, new AND piece = 1 AS head, (new AND piece = 1) OR regexp_matches(lag(t) OVER w, '[.!?。！？…:：]$') AS opens FROM j WINDOW w AS (PARTITION BY source ORDER BY page, tie, line, piece)),
+n AS (SELECT *, max(CASE WHEN head THEN place END) OVER w AS base, max(CASE WHEN opens THEN place END) OVER w AS begun FROM m WINDOW w AS (PARTITION BY source ORDER BY page, tie, line, piece)),
+o AS (SELECT *, floor(((CASE WHEN place - begun > 2000 THEN place ELSE begun END) - base) / 2000) AS part FROM n),
+q AS (SELECT source, min(page) AS source_page, regexp_replace(string_agg(CASE WHEN piece = 1 THEN ' ' ELSE '' END || t, '' ORDER BY page, tie, line, piece), '^\s+|\s+$', '', 'g') AS content FROM o GROUP BY source, para, part)
+SELECT source, CAST(source_page AS INTEGER) AS source_page, CAST(source_page + 1 AS VARCHAR) AS pagenum, content FROM q WHERE length(content) >= 50""")
 def cross_page(spark, d):
     return _run(spark, d, ["CrossPageReparagraphizer", {}], df=catalog.turns(spark, d).withColumn("source_page", F.col("source_page").cast("int")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import unit
-from ..operators import bibliography, counts, external, graph, learning, library, ordered, records, snapshots, vectors  # noqa: F401
+from ..operators import bibliography, counts, external, graph, learning, library, ordered, pages, records, snapshots, vectors  # noqa: F401
 from ..sources import html, readers
 from . import search
 from .pipeline import Context, stage

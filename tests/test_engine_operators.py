@@ -69,6 +69,33 @@ def test_cross_page(spark):
     ]
 
 
+def test_cross_page_rules(spark):
+    """Short lines in fives, page furniture, cuts of long paragraphs at sentences and of endless sentences at lines."""
+    long = "\n".join(f"sentence number {i} has some words in it." for i in range(200))
+    endless = "\n".join(["no end to these words"] * 30 + ["and more words that are long enough to be no short line"] * 90)
+    pages = [
+        ("short", 0, "\n".join(f"short line {i} is here" for i in range(12))),
+        ("long", 3, long),
+        ("endless", 0, endless),
+        ("odd", 0, None),
+        ("odd", 1, "  \n7\n3 of 9\nPage 12\n- 4 -\n© 2020 someone\n•\nthe only line that is text here is this one, which is kept."),
+        ("float", 0, "The value of pi is 3.14 or so, and that is all that this line says."),
+        (None, 0, "A source without a name has its paragraphs too, as any other source has."),
+    ]
+    df = spark.createDataFrame(pages, "source string, source_page int, content string")
+    got = run(df, ["CrossPageReparagraphizer", {}]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r.content)
+    assert sorted(by["short"]) == [" ".join(f"short line {i} is here" for i in range(a, a + 5)) for a in (0, 5)]  # the last two are too short
+    assert " ".join(sorted(by["long"], key=long.replace("\n", " ").find)) == long.replace("\n", " ") and len(by["long"]) > 2 and all(len(x) <= 2100 and x.endswith(".") for x in by["long"])
+    assert max(map(len, by["endless"])) < 4200 and sum(map(len, by["endless"])) > 5000
+    assert by["odd"] == ["the only line that is text here is this one, which is kept."]
+    assert by["float"] == [pages[5][2]] and by[None] == [pages[6][2]]
+    plan = run(df, ["CrossPageReparagraphizer", {}])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_ngrams(spark):
     df = spark.createDataFrame([("ab",), (None,), ("",)], "content string")
     assert sorted(rows(counts.ngrams(df, 2), "gram", "n")) == [(" a", 1), ("a", 1), ("ab", 1), ("b", 1)]
