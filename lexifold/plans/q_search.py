@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import catalog
+from .. import catalog, folders
+from ..operators import inverted
 from ..operators.bibliography import search_items
 from . import search as S
 from .registry import BRIDGE, PARAGRAPHS, PLAIN, register
@@ -13,8 +14,15 @@ Q: dict = {}
 query = register(Q)
 
 
+def index_of(spark, d):
+    """The stored keyword index of the paragraphs; an application builds it once for each data folder."""
+    path = folders.once(spark, ("keywords", d), lambda path: inverted.Index.build(catalog.paragraphs(spark, d, True).select("id", "keywords"), path))
+    return inverted.Index(spark, path)
+
+
 def _tables(spark, d, keywords=True):
-    return S.Tables(catalog.paragraphs(spark, d, keywords), catalog.files(spark, d), catalog.file_datasets(spark, d), catalog.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id").withColumn("chunk_id", F.lit(1)))
+    e = catalog.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id").withColumn("chunk_id", F.lit(1))
+    return S.Tables(catalog.paragraphs(spark, d), catalog.files(spark, d), catalog.file_datasets(spark, d), e, index_of(spark, d) if keywords else None)
 
 
 def _found(spark, d, keywords=True, **f):
@@ -130,7 +138,14 @@ def db_query_source(spark, d):
 
     t = _tables(spark, d)
     steps = [["DBQueryDataSource", {"query": "the", "groups": "lang", "sort": "lang"}]]
-    return compile_pipeline(spark.range(1), steps, Context(named={"paragraphs": t.paragraphs})).select("lang", "id")
+    return compile_pipeline(spark.range(1), steps, Context(named={"paragraphs": t.paragraphs, "keyword_index": t.index})).select("lang", "id")
+
+
+@query(f"WITH {PARAGRAPHS} SELECT term, count(DISTINCT id) AS n FROM (SELECT unnest(keywords) AS term, id FROM p) GROUP BY term HAVING starts_with(term, 'th') OR count(DISTINCT id) = 1")
+def keyword_dictionary(spark, d):
+    """Terms with a prefix, and those of one document, with their numbers of documents."""
+    index = index_of(spark, d)
+    return index.terms("th").unionAll(index.terms().where("n = 1 AND NOT startswith(term, 'th')"))
 
 
 @query(f"WITH {PARAGRAPHS} SELECT count(*) AS n FROM p WHERE list_contains(keywords, 'the')")

@@ -39,6 +39,7 @@ class Tables:
     files: DataFrame | None = None
     file_datasets: DataFrame | None = None  # dataset, file_id
     embeddings: DataFrame | None = None  # id, source, chunk_id, embedding
+    index: object = None  # an operators.inverted.Index of the paragraphs' keywords: queries then read no text and no keywords
 
 
 def _escaped(text: str) -> str:
@@ -83,7 +84,7 @@ def filtered(t: Tables, f: Filters) -> DataFrame:
         inner = q.strip("*")
         return df.where(F.col("content").ilike(f"%{inner}%")) if inner else df
     if q and not q.startswith(":"):
-        return df.where(matches(q))
+        return df.join(t.index.find(q), "id", "left_semi") if t.index is not None else df.where(matches(q))
     return df
 
 

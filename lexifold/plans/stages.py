@@ -164,13 +164,18 @@ def _listing(df: DataFrame, content: str, scopes: str = "", list_link: str = ".*
 
 
 @stage("DBQueryDataSource")
-def _db_query(df: DataFrame, query: str = "", limit: int = 0, skip: int = 0, sort: str = "", groups: str = "", ctx: Context = None) -> DataFrame:
-    """A search over the context's tables paragraphs and, where known, files, file_datasets and embeddings.
-
-    groups: a column, of whose values the first row each is taken, or none.
+def _db_query(
+    df: DataFrame, query: str = "", limit: int = 0, skip: int = 0, sort: str = "", groups: str = "", datasets: list = (), sources: list = (), langs: list = (), authors: list = (), outlines: list = (), ids: list = (),
+    source_page: int = 0, has_embedding: bool = None, vector: list = (), ctx: Context = None,
+) -> DataFrame:
+    """A search over the context's tables paragraphs and, where known, files, file_datasets, embeddings and keyword_index.
+
+    groups: a column, of whose values the first row each is taken, or none. All
+    filters of a search can be given; lists as text have a value a line.
     """
-    tables = search.Tables(ctx.named["paragraphs"], *(ctx.named.get(x) for x in ("files", "file_datasets", "embeddings")))
-    return search.search(tables, search.Filters(q=query, limit=limit, offset=skip, sort=sort, group_by="" if groups == "none" else groups))
+    tables = search.Tables(ctx.named["paragraphs"], *(ctx.named.get(x) for x in ("files", "file_datasets", "embeddings", "keyword_index")))
+    lists = {k: tuple(v) for k, v in (("datasets", datasets), ("sources", sources), ("langs", langs), ("authors", authors), ("outlines", outlines), ("ids", ids), ("vector", vector))}
+    return search.search(tables, search.Filters(q=query, limit=limit, offset=skip, sort=sort, group_by="" if groups == "none" else groups, source_page=source_page, has_embedding=has_embedding, **lists))
 
 
 @stage("CalibreDataSource")
