@@ -139,12 +139,14 @@ class Counted:
         return keys, counts
 
 
-def _entries(items: np.ndarray, level: int, bits, hashes: int):
-    """The places, one array for each hash function, of these items' entries in filters of `bits` bits."""
+def _halves(items: np.ndarray, level: int):
     h = tb.mix(items + U64((level * 0x9E3779B97F4A7C15) % 2**64))
-    a, b = h & U64(0xFFFFFFFF), (h >> U64(32)) | U64(1)
-    for i in range(hashes):
-        yield (((a + U64(i) * b) & U64(0xFFFFFFFF)) * bits) >> U64(32)
+    return h & U64(0xFFFFFFFF), (h >> U64(32)) | U64(1)
+
+
+def _place(a, b, i: int, bits):
+    """The bit of the i-th hash function, for items of these halves, in filters of `bits` bits."""
+    return (((a + U64(i) * b) & U64(0xFFFFFFFF)) * bits) >> U64(32)
 
 
 def segment(items: np.ndarray, codes: np.ndarray, hashes: int = HASHES) -> tuple[int, bytes]:
@@ -152,8 +154,9 @@ def segment(items: np.ndarray, codes: np.ndarray, hashes: int = HASHES) -> tuple
     bits = max(8, 8 * math.ceil(BITS * hashes * int(codes.sum()) / 8))
     flags = np.zeros(bits, bool)
     for level in range(1, int(codes.max(initial=0)) + 1):
-        for place in _entries(items[codes >= level], level, U64(bits), hashes):
-            flags[place] = True
+        a, b = _halves(items[codes >= level], level)
+        for i in range(hashes):
+            flags[_place(a, b, i, U64(bits))] = True
     return bits, np.packbits(flags).tobytes()
 
 
@@ -173,19 +176,18 @@ class Group:
         self.data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
     def look_up(self, items: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """The codes of items; 0 also where the bucket is in another group."""
+        """The codes of items; 0 also where the bucket is in another group. Fastest where the buckets ascend."""
         out = np.zeros(len(items), np.uint8)
         live = np.flatnonzero(self.bits[bucket] > 0)
         level = 1
         while len(live) and level < 255:
-            item, bits, begin = items[live], self.bits[bucket[live]], self.begin[bucket[live]]
-            alive = np.arange(len(live))
-            for place in _entries(item, level, bits, self.hashes):
-                place = place[alive].astype(np.int64)
-                alive = alive[(self.data[begin[alive] + (place >> 3)] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0]
-                if not len(alive):
-                    break
-            live = live[alive]
+            a, b = _halves(items[live], level)
+            bits, begin = self.bits[bucket[live]], self.begin[bucket[live]]
+            for i in range(self.hashes):
+                place = _place(a, b, i, bits).astype(np.int64)
+                yes = np.flatnonzero((self.data[begin + (place >> 3)] << (place & 7).astype(np.uint8)) & 128)
+                if len(yes) < len(live):
+                    live, a, b, bits, begin = live[yes], a[yes], b[yes], bits[yes], begin[yes]
             out[live] = level
             level += 1
         return out
@@ -384,15 +386,16 @@ class BloomLM:
 
         def codes_of(t: Tokens, group: Group, known):
             words, back = np.unique(np.append(t.hashes, START), return_inverse=True)
-            context = keys.contexts(words)
+            context = keys.contexts(words)  # ascend with the words, but for hot ones
             bucket = keys.bucket(context << U64(keys.low))
             plain = ~keys.is_hot(words) & (words != END)
             count, kinds = np.zeros(len(words), np.uint8), np.zeros(len(words), np.uint8)
             count[plain] = group.look_up(context[plain] ^ COUNT, bucket[plain])
             kinds[plain] = group.look_up(tb.mix(context[plain] ^ KINDS), bucket[plain])
-            pairs = keys.pairs(t.before, t.hashes)
+            # a bucket's look-ups together: its segment stays in the processor's cache
+            pairs, where = np.unique(keys.pairs(t.before, t.hashes), return_inverse=True)
             back = back.reshape(-1)[:-1]
-            found = np.concatenate((count[back], kinds[back], group.look_up(pairs ^ PAIR, keys.bucket(pairs)))).reshape(3, -1)
+            found = np.concatenate((count[back], kinds[back], group.look_up(pairs ^ PAIR, keys.bucket(pairs))[where.reshape(-1)])).reshape(3, -1)
             return np.maximum(found, known) if known is not None else found
 
         def run(batches):
