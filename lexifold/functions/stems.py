@@ -1,27 +1,384 @@
-"""Light suffix stemming as column expressions.
+"""Snowball stemming of word arrays as column expressions.
 
-The stemmers of the usual libraries are not at hand; these rules take the most
-frequent inflections of four languages off, longest first, and leave at least
-three letters. They are no substitute where exact Snowball stems are needed:
-pass `external.map_batches` a stemmer for those.
+The published algorithms for English (Porter 2), German, French and Spanish, in
+their original form: a word's regions R1, R2 and RV, then steps that look for
+the longest of some endings and replace it if it lies in a region. Each step is
+a transform over the array whose elements carry the word, where the regions
+begin, the ending just found, and what earlier steps did; nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RULES = {
-    "en": "ations ation ingly ments ment ness edly ings ing ies ed es ly s",
-    "de": "ungen ung heiten heit keiten keit lichen lich isch ern en er es em e s n",
-    "fr": "issements issement ations ation ements ement euses euse ités ité iques ique eaux ant ées ée és er es e s",
-    "es": "aciones ación amientos amiento mente idades idad ados adas ando iendo ados ado ada ar er ir os as es o a",
-}
+size = F.char_length
+
+
+def _ending(w: Column, endings: str) -> Column:
+    """The longest of the endings that w has, else an empty string."""
+    return F.regexp_extract(w, f"({'|'.join(endings.split())})$", 1)
+
+
+def _front(w: Column, n: Column) -> Column:
+    return F.substring(w, F.lit(1), F.greatest(n, F.lit(0)))
+
+
+class Word:
+    """An element on its way: w, r1, r2, rv, s (the ending found), done (0: no step has changed it)."""
+
+    def __init__(self, x: Column):
+        self.x, self.w, self.s, self.done = x, x["w"], x["s"], x["done"]
+
+    @property
+    def head(self) -> Column:
+        """The word without the ending."""
+        return _front(self.w, size(self.w) - size(self.s))
+
+    def within(self, region: str, more: int | Column = 0) -> Column:
+        """Whether the ending, with `more` letters before it, lies in the region."""
+        return size(self.w) - size(self.s) - more >= self.x[region]
+
+    def tail(self, region: str) -> Column:
+        return F.substring(self.w, self.x[region] + 1, size(self.w))
+
+    def after(self, pattern: str) -> Column:
+        """Whether what stands before the ending ends with the pattern."""
+        return self.head.rlike(f"(?:{pattern})$")
+
+    def less(self, n: int) -> Column:
+        """The word without the ending and n letters before it."""
+        return _front(self.w, size(self.w) - size(self.s) - n)
+
+    def put(self, new: str) -> Column:
+        return F.concat(self.head, F.lit(new)) if new else self.head
+
+
+def _with(x: Column, **new) -> Column:
+    return F.struct(*[(new[k] if isinstance(new.get(k), Column) else F.lit(new[k]) if k in new else x[k]).alias(k) for k in ("w", "r1", "r2", "rv", "s", "done")])
+
+
+def _find(words: Column, endings: str, region: str | None = None, when: Callable | None = None) -> Column:
+    """Elements with the longest ending, looked for in a region alone if one is named, and only where `when` holds."""
+
+    def f(x):
+        y = Word(x)
+        s = _ending(y.tail(region) if region else y.w, endings)
+        return _with(x, s=F.when(when(y), s).otherwise("") if when else s)
+
+    return F.transform(words, f)
+
+
+def _step(words: Column, *rules, mark: int = 1) -> Column:
+    """Applies the rule for the ending found: (endings, word -> new text or null); a change sets done to mark."""
+
+    def f(x):
+        y = Word(x)
+        out = None
+        for endings, make in rules:
+            test = y.s.isin(*endings.split())
+            out = F.when(test, make(y)) if out is None else out.when(test, make(y))
+        return _with(x, w=F.coalesce(out, y.w), done=F.when(out.isNotNull(), F.lit(mark)).otherwise(y.done))
+
+    return F.transform(words, f)
+
+
+def _map(words: Column, make: Callable) -> Column:
+    return F.transform(words, lambda x: _with(x, w=make(Word(x))))
+
+
+def _regions(words: Column, vowels: str, rv: Callable | None = None, least: int = 0, special: str = "") -> Column:
+    """R1: after the first consonant that follows a vowel; R2: the same within R1; each at the end if there is none."""
+    begins = f"^.*?[{vowels}][^{vowels}]"
+
+    def first(x):
+        w = x["w"]
+        n = size(F.regexp_extract(w, begins, 0))
+        if special:
+            n = F.when(w.rlike(f"^(?:{special})"), size(F.regexp_extract(w, f"^(?:{special})", 0))).otherwise(n)
+        r1 = F.when(n == 0, size(w)).otherwise(n)
+        return _with(x, r1=r1, rv=rv(w) if rv else F.lit(0))
+
+    def second(x):
+        n = size(F.regexp_extract(F.substring(x["w"], x["r1"] + 1, size(x["w"])), begins, 0))
+        r2 = F.when(n == 0, size(x["w"])).otherwise(x["r1"] + n)
+        return _with(x, r1=F.greatest(x["r1"], F.lit(least)), r2=r2)
+
+    return F.transform(F.transform(words, first), second)
+
+
+def _start(words: Column, prelude: Callable) -> Column:
+    return F.transform(words, lambda w: F.struct(prelude(w).alias("w"), F.lit(0).alias("r1"), F.lit(0).alias("r2"), F.lit(0).alias("rv"), F.lit("").alias("s"), F.lit(0).alias("done")))
+
+
+def _delete(region: str):
+    return lambda y: F.when(y.within(region), y.head)
+
+
+def _replace(region: str, new: str):
+    return lambda y: F.when(y.within(region), y.put(new))
+
+
+# English
+
+#: fixed values: words with stems of their own, and words that are their own stems
+EXCEPTIONS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+INVARIANT = "sky news howe atlas cosmos bias andes"
+INVARIANT_LATER = "inning outing canning herring earring proceed exceed succeed"
+
+_SHORT = r"(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+
+
+def english(words: Column) -> Column:
+    v = "aeiouy"
+
+    def prelude(w):
+        w = F.regexp_replace(F.translate(w, "’‘‛", "'''"), "^'", "")
+        return F.regexp_replace(F.regexp_replace(w, "^y", "Y"), f"(?<=[{v}])y", "Y")
+
+    x = _regions(_start(words, prelude), v, special="gener|commun|arsen")
+    x = _step(_find(x, "' 's 's'"), ("' 's 's'", lambda y: y.head))
+    x = _step(
+        _find(x, "sses ied ies us ss s"),
+        ("sses", lambda y: y.put("ss")),
+        ("ied ies", lambda y: F.when(size(y.head) > 1, y.put("i")).otherwise(y.put("ie"))),
+        ("s", lambda y: F.when(y.head.rlike(f"[{v}].+$"), y.head)),
+    )
+    later = lambda y: ~y.w.isin(*INVARIANT_LATER.split())
+
+    def cut(y):
+        h = y.head
+        mended = F.when(h.rlike("(?:at|bl|iz)$"), F.concat(h, F.lit("e"))).when(h.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), _front(h, size(h) - 1))
+        return F.when(h.rlike(f"[{v}]"), mended.when(h.rlike(_SHORT) & (size(h) <= y.x["r1"]), F.concat(h, F.lit("e"))).otherwise(h))
+
+    x = _step(_find(x, "eed eedly ed edly ing ingly", when=later), ("eed eedly", _replace("r1", "ee")), ("ed edly ing ingly", cut))
+    x = _map(x, lambda y: F.when(later(y), F.regexp_replace(y.w, f"(?<=.[^{v}])[yY]$", "i")).otherwise(y.w))
+    r1 = lambda new: _replace("r1", new)
+    second = {
+        "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer ization": "ize", "ational ation ator": "ate", "alism aliti alli": "al", "fulness": "ful",
+        "ousli ousness": "ous", "iveness iviti": "ive", "biliti bli": "ble", "fulli": "ful", "lessli": "less",
+    }
+    x = _step(
+        _find(x, " ".join([*second, "ogi li"]), when=later),
+        *[(k, r1(new)) for k, new in second.items()],
+        ("ogi", lambda y: F.when(y.within("r1") & y.after("l"), y.put("og"))),
+        ("li", lambda y: F.when(y.within("r1") & y.after("[cdeghkmnrt]"), y.head)),
+    )
+    third = {"tional": "tion", "ational": "ate", "alize": "al", "icate iciti ical": "ic", "ful ness": ""}
+    x = _step(_find(x, " ".join([*third, "ative"]), when=later), *[(k, r1(new)) for k, new in third.items()], ("ative", lambda y: F.when(y.within("r1") & y.within("r2"), y.head)))
+    gone = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize"
+    x = _step(_find(x, f"{gone} ion", when=later), (gone, _delete("r2")), ("ion", lambda y: F.when(y.within("r2") & y.after("[st]"), y.head)))
+    x = _step(
+        _find(x, "e l", when=later),
+        ("e", lambda y: F.when(y.within("r2") | (y.within("r1") & ~y.head.rlike(_SHORT)), y.head)),
+        ("l", lambda y: F.when(y.within("r2") & y.after("l"), y.head)),
+    )
+    stems = F.transform(x, lambda e: F.translate(e["w"], "Y", "y"))
+    exceptions = F.create_map(*[F.lit(a) for pair in EXCEPTIONS.items() for a in pair])
+    keep = lambda w: (size(w) <= 2) | w.isin(*INVARIANT.split())
+    return F.zip_with(words, stems, lambda w, s: F.when(keep(w), w).otherwise(F.coalesce(F.try_element_at(exceptions, w), s)))
+
+
+# German
+
+
+def german(words: Column) -> Column:
+    v = "aeiouyäöü"
+
+    def prelude(w):
+        w = F.replace(w, F.lit("ß"), F.lit("ss"))
+        return F.regexp_replace(F.regexp_replace(w, f"(?<=[{v}])u(?=[{v}])", "U"), f"(?<=[{v}])y(?=[{v}])", "Y")
+
+    x = _regions(_start(words, prelude), v, least=3)
+    x = _step(
+        _find(x, "em ern er e en es s"),
+        ("em ern er", _delete("r1")),
+        ("e en es", lambda y: F.when(y.within("r1"), F.regexp_replace(y.head, "niss$", "nis"))),
+        ("s", lambda y: F.when(y.within("r1") & y.after("[bdfghklmnrt]"), y.head)),
+    )
+    x = _step(_find(x, "en er est st"), ("en er est", _delete("r1")), ("st", lambda y: F.when(y.within("r1") & y.after("...[bdfghklmnt]"), y.head)))
+
+    def without(y, pattern, n, region, unless=""):
+        drop = y.after(pattern) & y.within(region, n)
+        if unless:
+            drop = drop & ~y.after(unless)
+        return F.when(drop, y.less(n)).otherwise(y.head)
+
+    x = _step(
+        _find(x, "end ung ig ik isch lich heit keit"),
+        ("end ung", lambda y: F.when(y.within("r2"), without(y, "ig", 2, "r2", "eig"))),
+        ("ig ik isch", lambda y: F.when(y.within("r2") & ~y.after("e"), y.head)),
+        ("lich heit", lambda y: F.when(y.within("r2"), without(y, "er|en", 2, "r1"))),
+        ("keit", lambda y: F.when(y.within("r2"), F.when(y.after("lich") & y.within("r2", 4), y.less(4)).when(y.after("ig") & y.within("r2", 2), y.less(2)).otherwise(y.head))),
+    )
+    return F.transform(x, lambda e: F.translate(e["w"], "UYäöü", "uyaou"))
+
+
+# French
+
+
+def french(words: Column) -> Column:
+    v = "aeiouyâàëéêèïîôûù"
+
+    def prelude(w):
+        w = F.regexp_replace(F.regexp_replace(w, "(?<=q)u", "U"), f"(?<=[{v}])u(?=[{v}])", "U")
+        w = F.regexp_replace(w, f"(?<=[{v}])i(?=[{v}])", "I")
+        return F.regexp_replace(w, f"(?<=[{v}])y|y(?=[{v}])", "Y")
+
+    def rv(w):
+        n = size(F.regexp_extract(w, f"^.[^{v}]*[{v}]", 0))
+        return F.when(w.rlike(f"^(?:[{v}]{{2}}.|par|col|tap)"), F.lit(3)).when(n == 0, size(w)).otherwise(n)
+
+    x = _regions(_start(words, prelude), v, rv)
+    plain = "ance iqUe isme able iste eux ances iqUes ismes ables istes"
+    agents = "atrice ateur ation atrices ateurs ations"
+
+    def before(y, ending: str, found, otherwise):
+        """After the ending has gone: another one before it."""
+        return F.when(y.after(ending), found).otherwise(otherwise)
+
+    def ic(y, n=0):
+        """What is left without ic before the ending if that is in R2; else ic becomes iqU."""
+        return F.when(y.within("r2", 2 + n), y.less(2 + n)).otherwise(F.concat(y.less(2 + n), F.lit("iqU")))
+
+    def ement(y):
+        iv = F.when(y.within("r2", 2), F.when(y.after("ativ") & y.within("r2", 4), y.less(4)).otherwise(y.less(2))).otherwise(y.head)
+        eus = F.when(y.within("r2", 3), y.less(3)).when(y.within("r1", 3), F.concat(y.less(3), F.lit("eux"))).otherwise(y.head)
+        abl = F.when(y.within("r2", 3), y.less(3)).otherwise(y.head)
+        ier = F.when(y.within("rv", 3), F.concat(y.less(3), F.lit("i"))).otherwise(y.head)
+        return F.when(y.within("rv"), before(y, "iv", iv, before(y, "eus", eus, before(y, "abl|iqU", abl, before(y, "[iI]èr", ier, y.head)))))
+
+    def ite(y):
+        abil = F.when(y.within("r2", 4), y.less(4)).otherwise(F.concat(y.less(4), F.lit("abl")))
+        iv = F.when(y.within("r2", 2), y.less(2)).otherwise(y.head)
+        return F.when(y.within("r2"), before(y, "abil", abil, before(y, "ic", ic(y), before(y, "iv", iv, y.head))))
+
+    def ive(y):
+        at = F.when(y.within("r2", 2), before(y, "icat", ic(y, 2), y.less(2))).otherwise(y.head)
+        return F.when(y.within("r2"), before(y, "at", at, y.head))
+
+    adverbs = "amment emment ment ments"
+    x = _find(x, f"{plain} {agents} logie logies usion ution usions utions ence ences ement ements ité ités if ive ifs ives eaux aux euse euses issement issements {adverbs}")
+    x = _step(
+        x,
+        (plain, _delete("r2")),
+        (agents, lambda y: F.when(y.within("r2"), before(y, "ic", ic(y), y.head))),
+        ("logie logies", _replace("r2", "log")),
+        ("usion ution usions utions", _replace("r2", "u")),
+        ("ence ences", _replace("r2", "ent")),
+        ("ement ements", ement),
+        ("ité ités", ite),
+        ("if ive ifs ives", ive),
+        ("eaux", lambda y: y.put("eau")),
+        ("aux", _replace("r1", "al")),
+        ("euse euses", lambda y: F.when(y.within("r2"), y.head).when(y.within("r1"), y.put("eux"))),
+        ("issement issements", lambda y: F.when(y.within("r1") & y.after(f"[^{v}]"), y.head)),
+    )
+    # adverbs change the word and leave it to the verb endings
+    x = _step(
+        x,
+        ("amment", _replace("rv", "ant")),
+        ("emment", _replace("rv", "ent")),
+        ("ment ments", lambda y: F.when(y.within("rv", 1) & y.after(f"[{v}]"), y.head)),
+        mark=0,
+    )
+    todo = lambda y: y.done == 0
+    first = "îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons iront is issaIent issais issait issant issante issantes issants isse issent isses issez issiez issions issons it"
+    x = _step(_find(x, first, "rv", todo), (first, lambda y: F.when(y.within("rv", 1) & y.after(f"[^{v}]"), y.head)))
+    e = "é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez"
+    a = "âmes ât âtes a ai aIent ais ait ant ante antes ants as asse assent asses assiez assions"
+    x = _step(_find(x, f"ions {e} {a}", "rv", todo), ("ions", _delete("r2")), (e, lambda y: y.head), (a, lambda y: F.when(y.after("e") & y.within("rv", 1), y.less(1)).otherwise(y.head)))
+
+    def close(x):
+        y = Word(x)
+        return _with(x, w=F.when(y.done == 1, F.regexp_replace(F.regexp_replace(y.w, "Y$", "i"), "ç$", "c")).otherwise(F.regexp_replace(y.w, "(?<=[^aiouès])s$", "")))
+
+    x = F.transform(x, close)
+    x = _step(
+        _find(x, "ion ier ière Ier Ière e", "rv", todo),
+        ("ion", lambda y: F.when(y.within("r2") & y.within("rv", 1) & y.after("[st]"), y.head)),
+        ("ier ière Ier Ière", lambda y: y.put("i")),
+        ("e", lambda y: y.head),
+        mark=0,
+    )
+    x = _map(x, lambda y: F.regexp_replace(y.w, "(enn|onn|ett|ell|eill)$", "$1\x00"))
+    x = _map(x, lambda y: F.regexp_replace(F.regexp_replace(y.w, ".\x00$", ""), f"[éè]([^{v}]+)$", "e$1"))
+    return F.transform(x, lambda z: F.translate(z["w"], "IUY", "iuy"))
+
+
+# Spanish
+
+
+def spanish(words: Column) -> Column:
+    v = "aeiouáéíóúü"
+
+    def rv(w):
+        rules = [(f"^.[^{v}]", f"^.[^{v}][^{v}]*[{v}]"), (f"^[{v}]{{2}}", f"^[{v}]{{2}}[{v}]*[^{v}]"), ("^...", "^...")]
+        out = None
+        for test, begins in rules:
+            n = size(F.regexp_extract(w, begins, 0))
+            n = F.when(n == 0, size(w)).otherwise(n)
+            out = F.when(w.rlike(test), n) if out is None else out.when(w.rlike(test), n)
+        return out.otherwise(size(w))
+
+    plain = lambda c: F.translate(c, "áéíóú", "aeiou")
+    x = _regions(_start(words, lambda w: w), v, rv)
+    pronouns = "me se sela selo selas selos la le lo las les los nos"
+
+    def pronoun(y):
+        in_rv = F.substring(y.head, y.x["rv"] + 1, size(y.w))
+        marked, bare = "(?:iéndo|ándo|ár|ér|ír)$", "(?:ando|iendo|ar|er|ir)$"
+        return F.when(in_rv.rlike(marked), F.concat(_front(y.head, y.x["rv"]), plain(in_rv))).when(in_rv.rlike(bare) | (in_rv.rlike("yendo$") & y.head.rlike("uyendo$")), y.head)
+
+    x = _step(_find(x, pronouns, "rv"), (pronouns, pronoun), mark=0)
+    first = "anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos"
+    agents = "adora ador ación adoras adores aciones ante antes ancia ancias"
+
+    def also(pattern, n):
+        return lambda y: F.when(y.within("r2"), F.when(y.after(pattern) & y.within("r2", n), y.less(n)).otherwise(y.head))
+
+    def amente(y):
+        iv = F.when(y.within("r2", 2), F.when(y.after("ativ") & y.within("r2", 4), y.less(4)).otherwise(y.less(2))).otherwise(y.head)
+        return F.when(y.within("r1"), F.when(y.after("iv"), iv).when(y.after("os|ic|ad") & y.within("r2", 2), y.less(2)).otherwise(y.head))
+
+    def idad(y):
+        return F.when(y.within("r2"), F.when(y.after("abil") & y.within("r2", 4), y.less(4)).when(y.after("ic|iv") & y.within("r2", 2), y.less(2)).otherwise(y.head))
+
+    x = _step(
+        _find(x, f"{first} {agents} logía logías ución uciones encia encias amente mente idad idades iva ivo ivas ivos"),
+        (first, _delete("r2")),
+        (agents, also("ic", 2)),
+        ("logía logías", _replace("r2", "log")),
+        ("ución uciones", _replace("r2", "u")),
+        ("encia encias", _replace("r2", "ente")),
+        ("amente", amente),
+        ("mente", also("ante|able|ible", 4)),
+        ("idad idades", idad),
+        ("iva ivo ivas ivos", also("at", 2)),
+    )
+    todo = lambda y: y.done == 0
+    y_endings = "ya ye yan yen yeron yendo yo yó yas yes yais yamos"
+    x = _step(_find(x, y_endings, "rv", todo), (y_endings, lambda y: F.when(y.after("u"), y.head)))
+    gu = "en es éis emos"
+    verbs = (
+        "arían arías arán arás aríais aría aréis aríamos aremos ará aré erían erías erán erás eríais ería eréis eríamos eremos erá eré irían irías irán irás iríais iría iréis iríamos iremos irá iré "
+        "aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran asen iesen aron ieron ado ido ando iendo ió ar er ir as abas adas idas ías aras ieras ases ieses ís áis abais íais "
+        "arais ierais aseis ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos iésemos ásemos"
+    )
+    x = _step(_find(x, f"{gu} {verbs}", "rv", todo), (gu, lambda y: F.when(y.after("gu"), y.less(1)).otherwise(y.head)), (verbs, lambda y: y.head))
+    x = _step(_find(x, "os a o á í ó e é", "rv"), ("os a o á í ó", lambda y: y.head), ("e é", lambda y: F.when(y.after("gu") & y.within("rv", 1), y.less(1)).otherwise(y.head)))
+    return F.transform(x, lambda z: plain(z["w"]))
+
+
+LANGUAGES = {"en": english, "de": german, "fr": french, "es": spanish}
 
 
-def stem(word: Column, lang: Column) -> Column:
-    out = word
-    for code, suffixes in RULES.items():
-        alternatives = "|".join(sorted(suffixes.split(), key=len, reverse=True))
-        out = F.when(lang == code, F.regexp_replace(word, rf"^(\p{{L}}{{3,}}?)(?:{alternatives})$", "$1")).otherwise(out)
-    return out
+def stem(words: Column, lang: Column) -> Column:
+    """The stems of an array of lower-case words of a language; words of other languages stay. Null arrays and words stay null."""
+    out = None
+    for code, algorithm in LANGUAGES.items():
+        test = lang == code
+        out = F.when(test, algorithm(words)) if out is None else out.when(test, algorithm(words))
+    return out.otherwise(words)

@@ -126,13 +126,31 @@ COMMON = {
 }
 
 
+SCRIPTS = {"kana": r"\x{3040}-\x{30FF}", "han": r"\x{4E00}-\x{9FFF}", "cyrillic": r"\x{0400}-\x{04FF}", "hangul": r"\x{AC00}-\x{D7AF}", "latin": r"A-Za-z\x{00C0}-\x{024F}"}
+
+
+def script_counts(c) -> dict:
+    """The number of characters of each script, and under "all" of those that are no white space."""
+    t = F.coalesce(col(c), F.lit(""))
+    count = lambda cls: F.char_length(F.regexp_replace(t, f"[^{cls}]", ""))
+    return {k: count(cls) for k, cls in SCRIPTS.items()} | {"all": F.char_length(F.regexp_replace(t, r"\s", ""))}
+
+
 def script_language(c) -> Column:
     """Language by script: Hangul ko, kana over 30 % ja, Han over half zh, Cyrillic over half ru; else null."""
-    t = F.coalesce(col(c), F.lit(""))
-    n = F.char_length(F.regexp_replace(t, r"\s", ""))
-    share = lambda cls: F.char_length(F.regexp_replace(t, f"[^{cls}]", ""))
-    kana, han, cyrillic, hangul = share(r"\x{3040}-\x{30FF}"), share(r"\x{4E00}-\x{9FFF}"), share(r"\x{0400}-\x{04FF}"), share(r"\x{AC00}-\x{D7AF}")
-    return F.when(n == 0, None).when(hangul > 0, "ko").when(kana > 0.3 * n, "ja").when(han > 0.5 * n, "zh").when(cyrillic > 0.5 * n, "ru")
+    n = script_counts(c)
+    return F.when(n["all"] == 0, None).when(n["hangul"] > 0, "ko").when(n["kana"] > 0.3 * n["all"], "ja").when(n["han"] > 0.5 * n["all"], "zh").when(n["cyrillic"] > 0.5 * n["all"], "ru")
+
+
+def script_share(c) -> Column:
+    """The share that decided in script_language; null where it gives null. Japanese counts its Han too."""
+    n = script_counts(c)
+    one = {"ko": n["hangul"], "ja": n["kana"] + n["han"], "zh": n["han"], "ru": n["cyrillic"]}
+    lang = script_language(c)
+    out = None
+    for k, v in one.items():
+        out = F.when(lang == k, v) if out is None else out.when(lang == k, v)
+    return F.try_divide(out, n["all"])
 
 
 def detect_language(c, default: str = "en") -> Column:

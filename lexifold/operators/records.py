@@ -125,52 +125,97 @@ def filter_punctuations(df: DataFrame) -> DataFrame:
     return df.withColumn("content", text.filter_punctuation("content"))
 
 
+def _guessed(df: DataFrame, ctx: Context | None):
+    """(df with __guess and __share, the language): by script, else by the context's table language_model, else by common words."""
+    from . import bayes
+
+    model = ctx.named.get("language_model") if ctx else None
+    script = text.script_language("content")
+    if model is None:
+        df = df.withColumn("__guess", text.detect_language("content")).withColumn("__share", F.lit(None).cast("double"))
+    else:
+        df = bayes.LANGUAGES.score(df, model, "content", "__guess", "__share")
+    share = F.coalesce(text.script_share("content"), F.col("__share"), F.lit(0.5))
+    return df, F.coalesce(script, F.col("__guess"), F.lit("en")), share
+
+
 @stage("LanguageDetect")
-def language_detect(df: DataFrame) -> DataFrame:
-    """lang where it is empty or "auto"."""
+def language_detect(df: DataFrame, ctx: Context = None) -> DataFrame:
+    """lang where it is empty or "auto": by script, and for other texts by likelihood (see bayes; the model is the context's table language_model)."""
+    columns = df.columns
+    df, found, _ = _guessed(df, ctx)
     known = F.col("lang").isNotNull() & ~F.col("lang").isin("", "auto")
-    return df.withColumn("lang", F.when(known, F.col("lang")).otherwise(text.detect_language("content")))
+    return df.withColumn("lang", F.when(known, F.col("lang")).otherwise(found)).select(*columns)
 
 
 @stage("PDFLanguageDetect")
-def pdf_language_detect(df: DataFrame) -> DataFrame:
-    """lang by script shares, with the share as lang_confidence."""
-    script = text.script_language("content")
-    return df.withColumn("lang_confidence", F.when(script.isNotNull(), 1.0).otherwise(0.5)).withColumn("lang", F.coalesce(script, text.detect_language("content")))
+def pdf_language_detect(df: DataFrame, ctx: Context = None) -> DataFrame:
+    """lang as in LanguageDetect; lang_confidence: the share of the script's characters, or of the language's likelihood (0.5 without a model)."""
+    df, found, share = _guessed(df, ctx)
+    return df.withColumn("lang_confidence", share).withColumn("lang", found).drop("__guess", "__share")
+
+
+# fixed values: frequent traditional characters, each followed by its simplified form
+SIMPLIFIED = (
+    "萬万 與与 專专 業业 東东 兩两 嚴严 喪丧 個个 豐丰 臨临 為为 麗丽 舉举 義义 烏乌 樂乐 喬乔 習习 鄉乡 書书 買买 亂乱 爭争 雲云 亞亚 產产 親亲 億亿 僅仅 從从 倉仓 儀仪 們们 價价 眾众 優优 會会 傘伞 偉伟 傳传 傷伤 倫伦 偽伪 "
+    "體体 傭佣 側侧 僑侨 債债 傾倾 償偿 兒儿 黨党 蘭兰 關关 興兴 養养 獸兽 內内 岡冈 冊册 寫写 軍军 農农 馮冯 沖冲 決决 況况 凍冻 淨净 涼凉 減减 幾几 鳳凤 憑凭 凱凯 擊击 劃划 劉刘 則则 剛刚 創创 刪删 別别 劇剧 勸劝 "
+    "辦办 務务 動动 勵励 勞劳 勢势 勝胜 區区 醫医 華华 協协 單单 賣卖 盧卢 衛卫 卻却 廠厂 廳厅 歷历 壓压 厭厌 廁厕 縣县 參参 雙双 發发 變变 敘叙 疊叠 葉叶 號号 嘆叹 嚇吓 嗎吗 啟启 吳吴 員员 聽听 國国 圖图 圓圆 聖圣 場场 塊块 "
+    "堅坚 壇坛 墳坟 墜坠 壟垄 壯壮 聲声 處处 備备 復复 夠够 頭头 誇夸 奪夺 奮奋 婦妇 媽妈 嬰婴 孫孙 學学 寧宁 寶宝 實实 寵宠 審审 憲宪 對对 尋寻 導导 將将 爾尔 塵尘 嘗尝 層层 歲岁 島岛 幣币 師师 帳帐 幫帮 廣广 莊庄 慶庆 應应"
+)
 
 
 @stage("TradToSimpChinese")
-def simplified(df: DataFrame, table: dict = None) -> DataFrame:
-    """Characters by a table (traditional -> simplified) that the caller gives; lang zht becomes zhs."""
-    pairs = table or {}
-    return df.withColumn("content", F.translate("content", "".join(pairs), "".join(pairs.values()))).withColumn("lang", F.when(F.col("lang") == "zht", "zhs").otherwise(F.col("lang")))
+def simplified(df: DataFrame, table: dict = None, ctx: Context = None) -> DataFrame:
+    """Phrases and characters by a table (traditional -> simplified), the longest first; lang zht becomes zhs.
+
+    The table is the argument, else a table (phrase, value) of the context under
+    "traditional", else that of some two hundred frequent characters.
+    """
+    from .phrases import Phrases
+
+    given = table or (ctx.named.get("traditional") if ctx else None)
+    done = Phrases(df.sparkSession, given if given is not None else dict(SIMPLIFIED.split())).replaced(df, "content")
+    return done.withColumn("lang", F.when(F.col("lang") == "zht", "zhs").otherwise(F.col("lang")))
+
+
+CHINESE = ("zh", "zhs", "zht", "chs", "ja")
 
 
 @stage("WordCut")
-def word_cut(df: DataFrame, for_search: bool = False, field: str = "keywords") -> DataFrame:
+def word_cut(df: DataFrame, for_search: bool = False, field: str = "keywords", ctx: Context = None) -> DataFrame:
     """Lower-cased words and accent-free copies; for search also stems and transliterations.
 
-    Chinese and Japanese are cut into characters and neighbouring pairs.
+    Chinese and Japanese are cut along the most probable path through the words
+    of the context's table "segmentation" (made by segment.fit); without one
+    into characters and neighbouring pairs.
     """
     from ..functions.stems import stem
     from ..functions.transliterate import to_latin
+    from . import segment
 
-    words = text.tokens("content", (lambda low: F.transform(low, lambda w: stem(w, F.col("lang")))) if for_search else None)
+    words = text.tokens("content", (lambda low: stem(low, F.col("lang"))) if for_search else None)
     if for_search:
         words = F.concat(words, F.transform(words, lambda w: to_latin(w)))
-    ch = F.filter(arrays.chars("content"), lambda c: c.rlike(r"[\p{L}\p{N}]"))
-    pairs = F.zip_with(F.slice(ch, F.lit(1), F.greatest(F.size(ch) - 1, F.lit(0))), F.slice(ch, F.lit(2), F.greatest(F.size(ch) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    cut = F.when(F.col("lang").isin("zh", "zhs", "zht", "chs", "ja"), F.concat(ch, pairs)).otherwise(words)
+    model = ctx.named.get("segmentation") if ctx else None
+    if model is not None:
+        own = F.when(F.col("lang").isin(*CHINESE), F.col("content"))
+        df = segment.cut(df.withColumn("__cut", own), model, "__cut", "__cut")
+        cut = F.filter("__cut", lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    else:
+        ch = F.filter(arrays.chars("content"), lambda c: c.rlike(r"[\p{L}\p{N}]"))
+        pairs = F.zip_with(F.slice(ch, F.lit(1), F.greatest(F.size(ch) - 1, F.lit(0))), F.slice(ch, F.lit(2), F.greatest(F.size(ch) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+        cut = F.concat(ch, pairs)
+    cut = F.when(F.col("lang").isin(*CHINESE), F.coalesce(cut, F.array().cast("array<string>"))).otherwise(words)
     old = F.coalesce(F.col(field), F.array().cast("array<string>")) if field in df.columns else F.array().cast("array<string>")
     out = F.concat(old, cut)
-    return df.withColumn(field, F.array_distinct(out) if field == "keywords" else out)
+    return df.withColumn(field, F.array_distinct(out) if field == "keywords" else out).drop("__cut")
 
 
 @stage("WordStemmer")
 def word_stemmer(df: DataFrame, append: bool = True, field: str = "tokens") -> DataFrame:
     from ..functions.stems import stem
 
-    stems = F.transform(field, lambda w: stem(w, F.col("lang")))
+    stems = stem(F.col(field), F.col("lang"))
     return df.withColumn(field, F.concat(field, stems) if append else stems)
 
 
@@ -246,16 +291,45 @@ def gcj_to_wgs(df: DataFrame, field: str, in_format: str = "lnglat", out_format:
 
 
 @stage("HanziChaizi")
-def hanzi_parts(df: DataFrame, table: dict = None) -> DataFrame:
-    """chaizi: the parts of each character that the given table has (character -> parts)."""
-    pairs = [F.lit(x) for k, v in (table or {}).items() for x in (k, v)]
-    m = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return df.withColumn("chaizi", F.filter(F.transform(arrays.chars("content"), lambda c: F.try_element_at(m, c)), lambda x: x.isNotNull()))
+def hanzi_parts(df: DataFrame, table: dict = None, ctx: Context = None) -> DataFrame:
+    """chaizi: the parts of each character, or longer phrase, that the table has.
+
+    The table is the argument or the context's table (phrase, value) "chaizi".
+    """
+    from pyspark.sql import types as T
+
+    from .phrases import Phrases
+
+    phrases = Phrases(df.sparkSession, table or (ctx.named.get("chaizi") if ctx else None) or {})
+    df = df.withColumn("__c", F.coalesce("content", F.lit("")))
+    return phrases.apply(df, "__c", "chaizi", T.ArrayType(T.StringType()), lambda a, t: [v for _, _, v in a.longest(t)]).drop("__c")
+
+
+@stage("GazetteerNER")
+def gazetteer(df: DataFrame, table: dict = None, ctx: Context = None) -> DataFrame:
+    """ner: the phrases of a table (phrase -> label; argument or the context's "gazetteer") in content, in order."""
+    from .phrases import Phrases
+
+    phrases = Phrases(df.sparkSession, table or ctx.named["gazetteer"])
+    return phrases.found(df, "content", "ner").withColumn("ner", F.transform("ner", lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"))))
 
 
 @stage("AutoSentimentAnalysis")
-def sentiment(df: DataFrame, lexicon: dict = None) -> DataFrame:
-    """sentiment from -1 to 1: (p - 0.5) * 2, p the smoothed share of positive among the lexicon's words."""
+def sentiment(df: DataFrame, lexicon: dict = None, ctx: Context = None) -> DataFrame:
+    """sentiment from -1 to 1: (p - 0.5) * 2.
+
+    p is the share of the label positive among the likelihoods of the context's
+    table sentiment_model (made by bayes.SENTIMENT.fit with labels positive and
+    negative; texts without words have 0). Without that table p is the smoothed
+    share of positive among the lexicon's words.
+    """
+    from . import bayes
+
+    model = ctx.named.get("sentiment_model") if ctx else None
+    if model is not None:
+        scored = bayes.SENTIMENT.score(df, model, "content", "__guess", "__share")
+        p = F.when(F.col("__guess") == "positive", F.col("__share")).otherwise(1 - F.col("__share"))
+        return scored.withColumn("sentiment", F.coalesce((p - 0.5) * 2, F.lit(0.0))).drop("__guess", "__share")
     good = [w for w, v in (lexicon or {}).items() if v > 0]
     bad = [w for w, v in (lexicon or {}).items() if v < 0]
     w = text.words(F.lower("content"))

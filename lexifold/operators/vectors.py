@@ -77,6 +77,41 @@ def pairwise_cosine(vectors: DataFrame, threshold: float, block: int = 2048) ->
     Rows are dealt to blocks by hash; each pair of blocks is one task's matrix
     product, so every row is sent once per block, not once per row.
     """
+
+    def choose(s, a, b):
+        i, j = np.nonzero(s >= threshold - 1e-12)
+        return i, j
+
+    return _products(vectors, choose, block)
+
+
+def heaviest_pairs(vectors: DataFrame, k: int, digits: int = 9, block: int = 2048) -> DataFrame:
+    """(a, b, cosine): the k pairs of the greatest cosines, rounded to some digits, ties by a, then b.
+
+    Each pair of blocks gives its own k best only.
+    """
+
+    def choose(s, a, b):
+        ok = np.ones(s.shape, bool) if b is not a else np.triu(np.ones(s.shape, bool), 1)
+        i, j = np.nonzero(ok)
+        w = np.round(s[i, j], digits)
+        low, high = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+        if len(w) > k:
+            least = np.partition(w, len(w) - k)[len(w) - k]
+            keep = np.flatnonzero(w >= least)
+            i, j, w, low, high = i[keep], j[keep], w[keep], low[keep], high[keep]
+        top = np.lexsort((high, low, -w))[:k]
+        return i[top], j[top]
+
+    found = _products(vectors, choose, block, upper=True).withColumn("cosine", F.round("cosine", digits))
+    return found.orderBy(F.col("cosine").desc(), "a", "b").limit(k)
+
+
+def _products(vectors: DataFrame, choose, block: int, upper: bool = False) -> DataFrame:
+    """(a, b, cosine), a < b, of the places that choose(cosines, row ids, column ids) takes from each pair of blocks.
+
+    A block with itself has each pair twice; with `upper` choose takes it once.
+    """
     from ..ship import ship
 
     spark = vectors.sparkSession
@@ -93,11 +128,13 @@ def pairwise_cosine(vectors: DataFrame, threshold: float, block: int = 2048) ->
         length = np.sqrt((v**2).sum(1, keepdims=True))
         v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
         x, y = key[0].as_py(), key[1].as_py()
-        left, right = np.flatnonzero(g == x), np.flatnonzero(g == y)
+        left = np.flatnonzero(g == x)
+        right = left if x == y else np.flatnonzero(g == y)
         s = v[left] @ v[right].T
-        i, j = np.nonzero(s >= threshold - 1e-12)
-        a, b, s = ids[left[i]], ids[right[j]], s[i, j]
-        keep = a < b if x == y else np.ones(len(a), bool)
+        rows, columns = ids[left], ids[right]
+        i, j = choose(s, rows, rows if x == y else columns)
+        a, b, s = rows[i], columns[j], s[i, j]
+        keep = a < b if x == y and not upper else np.ones(len(a), bool)
         a, b, s = a[keep], b[keep], s[keep]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": s})
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import arrays, dates, geo, text
-from ..operators import ordered, pages, records  # noqa: F401  registers the stages
+from ..operators import bayes, ordered, pages, phrases, records, segment  # noqa: F401  registers the stages
 from ..sources import html, readers
 from .pipeline import Context, compile_pipeline
 from .registry import LOW, PLAIN, TOKENS, WORDS, register
@@ -119,12 +119,88 @@ def garbled_flag(spark, d):
     return catalog.paragraphs(spark, d).select("id", text.is_garbled("content").alias("garbled"))
 
 
-@query("""WITH s AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'Привет мир ' || lang WHEN 1 THEN '漢字漢字漢字漢字' || lang WHEN 2 THEN 'ひらがなカタカナ' || lang WHEN 3 THEN '한국어 ' || lang ELSE 'plain ' || lang END AS t FROM documents)
-SELECT id, CASE id % 5 WHEN 0 THEN 'ru' WHEN 1 THEN 'zh' WHEN 2 THEN 'ja' WHEN 3 THEN 'ko' END AS script FROM s""")
+@query(r"""WITH t AS (SELECT doc_id AS id, length(regexp_replace(text, '\s', '', 'g')) AS n, length(regexp_replace(text, '[^A-Za-z\x{00C0}-\x{024F}]', '', 'g')) AS latin, length(regexp_replace(text, '[^\x{0400}-\x{04FF}]', '', 'g')) AS cyrillic,
+length(regexp_replace(text, '[^\x{4E00}-\x{9FFF}]', '', 'g')) AS han, length(regexp_replace(text, '[^\x{3040}-\x{30FF}]', '', 'g')) AS kana, length(regexp_replace(text, '[^\x{AC00}-\x{D7AF}]', '', 'g')) AS hangul FROM documents)
+SELECT id, CASE WHEN n = 0 THEN NULL WHEN hangul > 0 THEN 'ko' WHEN kana > 0.3 * n THEN 'ja' WHEN han > 0.5 * n THEN 'zh' WHEN cyrillic > 0.5 * n THEN 'ru' END AS script, round(latin / n, 6) AS latin, round(greatest(cyrillic, han, kana, hangul) / n, 6) AS other FROM t""".replace("\\", "\\"))
 def script_lang_detect(spark, d):
-    k = F.col("id") % 5
-    t = F.when(k == 0, "Привет мир ").when(k == 1, "漢字漢字漢字漢字").when(k == 2, "ひらがなカタカナ").when(k == 3, "한국어 ").otherwise("plain ")
-    return catalog.paragraphs(spark, d).select("id", text.script_language(F.concat(t, F.col("lang"))).alias("script"))
+    """The scripts of whole texts."""
+    n = text.script_counts("content")
+    other = F.greatest(*[n[k] for k in ("cyrillic", "han", "kana", "hangul")])
+    share = lambda c: F.round(F.try_divide(c, n["all"]), 6)
+    return catalog.paragraphs(spark, d).select("id", text.script_language("content").alias("script"), share(n["latin"]).alias("latin"), share(other).alias("other"))
+
+
+_TRIPLES = "c AS (SELECT doc_id AS id, lang, list_transform(string_split(text, ''), lambda x: CAST(unicode(x) AS BIGINT)) AS c FROM documents WHERE length(text) > 2), g AS (SELECT id, lang, (unnest(c[:-3]) * 961 + unnest(c[2:-2]) * 31 + unnest(c[3:])) % 65536 AS f FROM c)"
+
+
+@query(f"""WITH {_TRIPLES}, n AS (SELECT lang AS label, f, count(*) AS n FROM g WHERE id % 4 <> 2 GROUP BY 1, 2), t AS (SELECT label, sum(n) AS total FROM n GROUP BY 1), d AS (SELECT id, f, count(*) AS k FROM g GROUP BY 1, 2),
+s AS (SELECT d.id, t.label, sum(k * ln((coalesce(n.n, 0) + 1) / (t.total + 65536))) AS s FROM d CROSS JOIN t LEFT JOIN n ON n.label = t.label AND n.f = d.f GROUP BY 1, 2),
+b AS (SELECT id, max(s) AS m FROM s GROUP BY 1) SELECT id, arg_max(label, s) AS lang, round(1 / sum(exp(greatest(s - m, -700))), 6) AS confidence FROM s JOIN b USING (id) GROUP BY id
+UNION ALL SELECT doc_id, 'en', 0.5 FROM documents WHERE text IS NULL OR length(text) < 3""")
+def language_detect(spark, d):
+    """Languages told by a model that three quarters of the documents give; whole texts."""
+    p = catalog.paragraphs(spark, d)
+    model = bayes.LANGUAGES.fit(p.where("id % 4 <> 2"), "content", "lang")
+    df = p.select("id", "content", F.lit("auto").alias("lang"))
+    found = compile_pipeline(df, [["PDFLanguageDetect", {}]], Context(named={"language_model": model}))
+    return found.select("id", "lang", F.round("lang_confidence", 6).alias("confidence"))
+
+
+_WORDS31 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, unnest({_WORDS31}) AS w FROM documents), v AS (SELECT w, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda a, x: (a * 31 + x) % 262144) AS f FROM (SELECT DISTINCT w FROM w)),
+d AS (SELECT id, f, count(*) AS k FROM w JOIN v USING (w) GROUP BY 1, 2), l AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS label FROM labels WHERE doc_id % 4 <> 2),
+n AS (SELECT label, f, sum(k) AS n FROM d JOIN l USING (id) GROUP BY 1, 2), t AS (SELECT label, sum(n) AS total FROM n GROUP BY 1),
+s AS (SELECT d.id, t.label, sum(k * ln((coalesce(n.n, 0) + 1) / (t.total + 262144))) AS s FROM d CROSS JOIN t LEFT JOIN n ON n.label = t.label AND n.f = d.f GROUP BY 1, 2),
+p AS (SELECT id, 1 / (1 + exp(least(greatest(max(CASE label WHEN 'negative' THEN s END) - max(CASE label WHEN 'positive' THEN s END), -700), 700))) AS p FROM s GROUP BY 1)
+SELECT doc_id AS id, round(coalesce((p - 0.5) * 2, 0), 5) AS sentiment FROM documents LEFT JOIN p ON p.id = doc_id""")
+def sentiment_bayes(spark, d):
+    """From -1 to 1; learnt from rows whose label of quality stands for a sentiment, three quarters of them."""
+    p = catalog.paragraphs(spark, d)
+    label = F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label")
+    labels = catalog.table(spark, d, "labels").where("doc_id % 4 <> 2").select(F.col("doc_id").alias("id"), label)
+    model = bayes.SENTIMENT.fit(p.join(labels, "id"), "content", "label")
+    found = compile_pipeline(p.select("id", "content"), [["AutoSentimentAnalysis", {}]], Context(named={"sentiment_model": model}))
+    return found.select("id", F.round("sentiment", 5).alias("sentiment"))
+
+
+_LETTERS = {"é": "e", "è": "e", "ß": "ss", "ä": "ae", "ö": "oe", "ü": "ue", "ñ": "nh", "ç": "c"}
+
+
+def _replaced(sql: str) -> str:
+    for k, v in _LETTERS.items():
+        sql = f"replace({sql}, '{k}', '{v}')"
+    return sql
+
+
+@query(f"SELECT doc_id AS id, {_replaced('text')} AS content FROM documents")
+def phrase_replace(spark, d):
+    """A table of replacements over whole texts, as one automaton."""
+    return _run(spark, d, ["TradToSimpChinese", {"table": _LETTERS}]).select("id", "content")
+
+
+@query("""WITH p AS (SELECT DISTINCT regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+') AS phrase FROM benchmark), q AS (SELECT phrase FROM p WHERE phrase <> '' AND length(phrase) >= 8)
+SELECT phrase, CAST(sum((length(text) - length(replace(text, phrase, ''))) / length(phrase)) AS BIGINT) AS n FROM q, documents GROUP BY phrase""")
+def phrase_counts(spark, d):
+    """How often the beginnings of benchmark items stand in the documents."""
+    phrase = F.regexp_extract("text", "^[^ ]+ [^ ]+ [^ ]+", 0).alias("phrase")
+    table = catalog.table(spark, d, "benchmark").select(phrase, F.lit("item").alias("value")).where(F.char_length("phrase") >= 8)
+    return phrases.count_phrases(catalog.paragraphs(spark, d), "content", table)
+
+
+@query(None)
+def wordcut_graph(spark, d):
+    """Texts written without spaces, cut along the most probable path of the corpus's frequent words (at most one in 20000 tokens is rarer)."""
+    p = catalog.paragraphs(spark, d)
+    words = p.select(F.explode(text.words(F.lower("content"))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    total = words.agg(F.sum("n").alias("total"))
+    table = words.join(F.broadcast(total)).where(F.col("n") * 20000 >= F.col("total")).select("phrase")
+    low = p.select("id", F.lower("content").alias("content"))
+    model = segment.fit(low, table)
+    joined = low.select("id", F.regexp_replace("content", r"\s+", "").alias("content"), F.lit("zh").alias("lang"))
+    cut = compile_pipeline(joined, [["WordCut", {"field": "tokens"}]], Context(named={"segmentation": model}))
+    return cut.select("id", F.size("tokens").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN make_timestamp(2024, month(o_orderdate), day(o_orderdate), 0, 0, 0) ELSE date_trunc('day', o_orderdate) END AS pdate FROM orders""")
@@ -196,13 +272,15 @@ def dataset_from_field(spark, d):
     return _run(spark, d, ["DatasetFromField", {"pattern": "corpus--{lang}--{source}"}], df=df).select("id", "dataset_name")
 
 
-@query("""SELECT c_custkey AS id, round(31 + (c_custkey % 100) / 25.0, 6) AS lat, round(104 + (c_custkey % 7) * 1.5, 6) AS lng FROM customer""")
+@query("""WITH c AS (SELECT c_custkey AS id, 31 + (c_custkey % 100) / 25.0 AS a, 104 + (c_custkey % 7) * 1.5 AS b FROM customer), x AS (SELECT *, b - 105 AS x, a - 35 AS y, (20 * sin(6 * x * pi()) + 20 * sin(2 * x * pi())) * 2 / 3 AS w, 1 - 0.00669342162296594323 * sin(radians(a)) ** 2 AS m FROM c),
+o AS (SELECT *, -100 + 2 * x + 3 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * sqrt(abs(x)) + w + (20 * sin(y * pi()) + 40 * sin(y / 3 * pi())) * 2 / 3 + (160 * sin(y / 12 * pi()) + 320 * sin(y * pi() / 30)) * 2 / 3 AS p,
+300 + x + 2 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * sqrt(abs(x)) + w + (20 * sin(x * pi()) + 40 * sin(x / 3 * pi())) * 2 / 3 + (150 * sin(x / 12 * pi()) + 300 * sin(x / 30 * pi())) * 2 / 3 AS q FROM x)
+SELECT id, round(a - p * 180 / (6378245.0 * (1 - 0.00669342162296594323) / (m * sqrt(m)) * pi()), 6) AS lat, round(b - q * 180 / (6378245.0 / sqrt(m) * cos(radians(a)) * pi()), 6) AS lng FROM o""")
 def geo_roundtrip(spark, d):
-    """The conversion taken back by its own offset: what is left is the point."""
-    c = catalog.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (31 + (F.col("c_custkey") % 100) / 25.0).alias("a"), (104 + (F.col("c_custkey") % 7) * 1.5).alias("b"))
-    lat, lng = geo.gcj_to_wgs("a", "b")
-    moved = c.select("id", "a", "b", (F.col("a") - lat).alias("da"), (F.col("b") - lng).alias("db"), lat.alias("lat"), lng.alias("lng"))
-    return moved.select("id", F.round(F.col("lat") + F.col("da"), 6).alias("lat"), F.round(F.col("lng") + F.col("db"), 6).alias("lng"))
+    """Points (a customer's stands for an address) in WGS-84."""
+    c = catalog.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array((31 + (F.col("c_custkey") % 100) / 25.0), (104 + (F.col("c_custkey") % 7) * 1.5)).alias("p"))
+    moved = _run(spark, d, ["GCJtoWGS", {"field": "p", "in_format": "latlng"}], df=c)
+    return moved.select("id", F.round(F.col("p")[0], 6).alias("lat"), F.round(F.col("p")[1], 6).alias("lng"))
 
 
 # flow control
@@ -238,9 +316,13 @@ def call_task_inline(spark, d):
 # sources
 
 
-@query("SELECT CAST(pos AS INTEGER) AS pos, content FROM (SELECT unnest(range(0, 4)) AS pos, unnest(['a.b', 'c', '', 'd e']) AS content) WHERE content <> ''")
+@query(r"SELECT doc_id AS id, lang, 'corpus' AS dataset_name, CAST(k - 1 AS INTEGER) AS pos, content FROM (SELECT doc_id, lang, generate_subscripts(l, 1) AS k, unnest(l) AS content FROM (SELECT doc_id, lang, string_split(text, '. ') AS l FROM documents)) WHERE content <> ''")
 def lines_source(spark, d):
-    return readers.inline_lines(spark, "a.b|c||d e", "|").select("pos", "content")
+    """Each record is a source of its own: its text, cut at a delimiter, its other fields before the stage's arguments."""
+    from . import stages  # noqa: F401  registers the stage
+
+    df = catalog.paragraphs(spark, d).select("id", "lang", "content")
+    return _run(spark, d, ["LinesDataSource", {"delimiter": ". ", "dataset_name": "corpus", "lang": "xx"}], df=df).select("id", "lang", "dataset_name", "pos", "content")
 
 
 @query(r"SELECT doc_id AS id, lpad(CAST(k AS VARCHAR), 6, '0') AS outline, content FROM (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS content FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents))")

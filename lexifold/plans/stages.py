@@ -124,8 +124,19 @@ def _text(df: DataFrame, content: str, dataset_name: str = "", lang: str = "auto
     return readers.text_lines(df.sparkSession, content, dataset_name, lang)
 
 
+def _defaults(df: DataFrame, **values) -> DataFrame:
+    """A record's own fields come before the stage's arguments, which fill what is missing or null."""
+    for name, value in values.items():
+        own = F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value)
+        df = df.withColumn(name, own)
+    return df
+
+
 @stage("LinesDataSource")
-def _lines(df: DataFrame, content: str, delimiter: str = "\n", dataset_name: str = "", lang: str = "auto") -> DataFrame:
+def _lines(df: DataFrame, content: str = "", delimiter: str = "\n", dataset_name: str = "", lang: str = "auto") -> DataFrame:
+    """The parts of `content`; without it those of each record's content, with the record's other fields."""
+    if not content:
+        return _defaults(readers.lines_of(df, delimiter), dataset_name=dataset_name, lang=lang)
     return readers.inline_lines(df.sparkSession, content, delimiter, dataset_name, lang)
 
 
@@ -142,8 +153,9 @@ def _biblio(df: DataFrame, content: str, input_format: str = "endnote") -> DataF
 
 
 @stage("JSONDataSource")
-def _json(df: DataFrame, content: str) -> DataFrame:
-    return readers.json_records(df.sparkSession.range(1).select(F.lit(content).alias("content")))
+def _json(df: DataFrame, content: str = "") -> DataFrame:
+    """The records of a JSON text; without it those of each record's content."""
+    return readers.json_records(df.sparkSession.range(1).select(F.lit(content).alias("content")) if content else df)
 
 
 @stage("ExcelDataSource")

@@ -53,6 +53,12 @@ def inline_lines(spark: SparkSession, content: str, delimiter: str = "\n", datas
     return d.withColumn("dataset_name", F.lit(dataset)).withColumn("lang", F.lit(lang))
 
 
+def lines_of(df: DataFrame, delimiter: str = "\n", content: str = "content") -> DataFrame:
+    """As inline_lines, of each record's own text: its other columns, pos and the part."""
+    rest = [c for c in df.columns if c not in (content, "pos")]
+    return df.select(*rest, F.posexplode(F.split(content, r"\Q" + delimiter + r"\E")).alias("pos", content)).where(F.col(content) != "")
+
+
 def json_records(df: DataFrame, content: str = "content") -> DataFrame:
     """(record variant): the records of JSON texts that are an object, an array, or an object with `results`."""
     v = F.try_parse_json(content)
