@@ -216,11 +216,9 @@ class Sketches:
     """Distances of the odd sketches in a column; a larger one is folded to the other's cells."""
 
     def __init__(self, column: pa.ChunkedArray):
-        column = column.combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        self.words = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view(U) if len(column) else np.zeros(0, U)
-        self.start, self.size = (off[:-1] - off[0]) // 8, np.diff(off) // 8
+        raw, off = tb.flat_bytes(column)
+        self.words = raw.view(U) if len(raw) else np.zeros(0, U)
+        self.start, self.size = off[:-1] // 8, np.diff(off) // 8
 
     def coarse(self, times: int) -> "Sketches":
         """The same folded to 1 / times of the bits, one word at least."""

@@ -104,9 +104,9 @@ def _sequences(t: pa.Table, lengths, bin_cost: int, pad: int, at_once: int = 1 <
     size = t.column("n_tokens").to_numpy().astype(np.int64)
     where, offset, final = best_fit(size, lengths, bin_cost)
     order = np.lexsort((offset, where))
-    t, size, where, offset = t.take(pa.array(order)), size[order], where[order], offset[order]
-    data = t.column("ids").combine_chunks()
-    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    raw, place = tb.flat_bytes(t.column("ids"))
+    t, size, where, offset = t.drop_columns("ids").take(pa.array(order)), size[order], where[order], offset[order]
+    begin = place[:-1][order]
     first = np.searchsorted(where, np.arange(len(final) + 1))
     ends = np.cumsum(final)
     shard = int(t.column("shard")[0].as_py())
@@ -116,11 +116,11 @@ def _sequences(t: pa.Table, lengths, bin_cost: int, pad: int, at_once: int = 1 <
         a, b = int(first[low]), int(first[high])
         base = np.cumsum(final[low:high]) - final[low:high]
         ids = np.full(int(final[low:high].sum()), pad, np.int32)
-        mine = data.slice(a, b - a)
-        off = np.frombuffer(mine.buffers()[1], np.int32)[mine.offset : mine.offset + len(mine) + 1]
-        ids[tb.ranges(base[where[a:b] - low] + offset[a:b], size[a:b])] = np.frombuffer(mine.buffers()[2], np.uint8)[off[0] : off[-1]].view("<i4")
-        parts = [t.column(c).slice(a, b - a).combine_chunks() for c in ("doc_id", "piece", "start", "n_tokens")] + [pa.array(offset[a:b].astype(np.int32))]
-        parts = pa.StructArray.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in parts], ["doc_id", "piece", "start", "n_tokens", "bin_start"])
+        mine = np.concatenate([raw[i : i + 4 * n] for i, n in zip(begin[a:b].tolist(), size[a:b].tolist())])
+        ids[tb.ranges(base[where[a:b] - low] + offset[a:b], size[a:b])] = mine.view("<i4")
+        parts = [t.column(c).slice(a, b - a) for c in ("doc_id", "piece", "start", "n_tokens")]
+        parts = [pa.concat_arrays(x.chunks) for x in parts] + [pa.array(offset[a:b].astype(np.int32))]
+        parts = pa.StructArray.from_arrays(parts, ["doc_id", "piece", "start", "n_tokens", "bin_start"])
         cols = [
             pa.array(shard * (1 << 24) + np.arange(low, high)), pa.array(final[low:high].astype(np.int32)), pa.array(np.add.reduceat(size[a:b], first[low:high] - a).astype(np.int32)),
             pa.ListArray.from_arrays(pa.array(np.append(base, len(ids)).astype(np.int32)), pa.array(ids)), pa.ListArray.from_arrays(pa.array((first[low : high + 1] - a).astype(np.int32)), parts),

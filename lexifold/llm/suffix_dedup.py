@@ -211,10 +211,7 @@ def _run_batch(key, d, sub, start, count, data):
 
 def _repeats_in(t: pa.Table, length: int):
     """(row, first offset, last offset) of the repeated starts. t: sorted by key, then earliest first."""
-    data = t.column("bytes").combine_chunks()
-    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-    off = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-    raw = np.frombuffer(data.buffers()[2], np.uint8)[off[0] : off[-1]]
+    raw, off = tb.flat_bytes(t.column("bytes"))
     size = np.diff(off)
     count = t.column("count").to_numpy().astype(np.int64)
     begin = np.cumsum(size + 1) - size - 1

@@ -195,6 +195,18 @@ def append_columns(df, fields: dict, make):
     return kept.mapInArrow(run, schema)
 
 
+def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of a binary column, where each value begins and the last ends), however many chunks and bytes it has."""
+    column = column.cast(pa.large_binary())
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)), off - off[0]
+
+
 def append_by_block(df, fields: dict, make, text: str = "text"):
     """As append_columns, but make(block, record batch of the block's rows) -> arrays.
 

@@ -372,18 +372,49 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     data = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(700, 8)).astype(np.float32))]
     data += [(1000 + i, data[100][1]) for i in range(40)] + [(2000, None), (2001, [float("nan")] * 8), (2002, [None] * 8), (2003, []), (2100, [0.0] * 8), (None, data[0][1]), (-100, data[1][1]), (2200, [1.0, 2.0])]
+    data += [(5, data[300][1]), (300, data[5][1]), (300, data[300][1]), (7, [2.0] * 8), (7, [0.1] * 8), (2200, [2.0, 1.0])]  # ids that repeat, as rows of their own
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
     got = sorted(rows(mtree.top_k(df, shard_rows=200, page=16), "query_id", "rank", "vec_id", "score"))
-    good = {i: np.floor(1024 * np.array(v, np.float64)).astype(np.int64) for i, v in ((i, np.array(v, np.float32)) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all())}
+    good = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in ((i, np.array(v, np.float32)) for i, v in data if i is not None and v and None not in v and np.isfinite(v).all())]
     want = []
-    for q, v in good.items():
+    for row, (q, v) in enumerate(good):
         if q % 100 == 0:
-            s = sorted((-int(v @ w), i) for i, w in good.items() if i != q and len(w) == len(v))[:10]
+            s = sorted((-int(v @ w), i) for other, (i, w) in enumerate(good) if other != row and len(w) == len(v))[:10]
             want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
     assert got == sorted(want)
     assert mtree.top_k(df.limit(0)).count() == 0
 
 
+def test_columns_in_many_chunks():
+    """What holds a group reads columns of any number of chunks and bytes: one chunk would end at 2 GB."""
+    import pyarrow as pa
+
+    from lexifold.llm import textblocks
+
+    values = [b"abc", b"", None, b"0123456789", b"x" * 500]
+    chunks = pa.chunked_array([pa.array(values[:2], pa.binary()), pa.array([], pa.binary()), pa.array(values[2:], pa.binary()).slice(1)])
+    raw, off = textblocks.flat_bytes(chunks)
+    assert [raw[a:b].tobytes() for a, b in zip(off, off[1:])] == [b"abc", b"", b"0123456789", b"x" * 500]
+    assert [x.tolist() for x in textblocks.flat_bytes(pa.chunked_array([], pa.binary()))] == [[], [0]]
+    sketches = np.arange(40, dtype=np.uint64).reshape(20, 2)
+    whole = pa.array([s.tobytes() for s in sketches], pa.binary())
+    one, many = (ngram_join.Sketches(c) for c in (pa.chunked_array([whole]), pa.chunked_array([whole.slice(i, 3) for i in range(0, 20, 3)])))
+    assert one.words.tolist() == many.words.tolist() and one.start.tolist() == many.start.tolist()
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, 9, n).astype("<i4") for n in rng.integers(1, 40, 60)]
+    cols = {
+        "shard": pa.array([3] * 60), "doc_id": pa.array(range(60)), "piece": pa.array([0] * 60, pa.int32()), "start": pa.array([0] * 60, pa.int32()),
+        "n_tokens": pa.array([len(i) for i in ids], pa.int32()), "ids": pa.array([i.tobytes() for i in ids], pa.binary()),
+    }
+    t = pa.table(cols)
+    cut = pa.concat_tables([t.slice(i, 7) for i in range(0, 60, 7)])
+    a, b = (pa.Table.from_batches(packing._sequences(x, (16, 32, 64), 1, 0)).to_pylist() for x in (t, cut))
+    assert a == b
+    for r in a:
+        for part in r["parts"]:
+            assert r["ids"][part["bin_start"] :][: part["n_tokens"]] == ids[part["doc_id"]].tolist()
+
+
 def test_top_k_of_large_components(spark):
     """Products beyond 64 bits: exact ranks, scores at the ends of a long."""
     rng = np.random.default_rng(9)
