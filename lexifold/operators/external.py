@@ -55,6 +55,36 @@ def map_batches(df: DataFrame, request: str, field: str, transport, kind=None, b
     return df.mapInArrow(run, schema)
 
 
+def map_parts(df: DataFrame, requests: str, field: str, transport, joiner: str = " ", batch: int = 100) -> DataFrame:
+    """df with field = the answers to an array of requests, joined; a row that lacks an answer is dropped, one without requests has an empty text."""
+    ship(df.sparkSession)
+    keep = [c for c in df.columns if c != field]
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(field, T.StringType())])
+
+    def run(batches):
+        for b in batches:
+            asks = b.column(requests).to_pylist()
+            flat = [r for a in asks for r in a or []]
+            got: list = []
+            for at in range(0, len(flat), batch):
+                part = flat[at : at + batch]
+                try:
+                    got += list(transport(part))
+                except Exception:
+                    got += [None] * len(part)
+            out, kept, at = [], [], 0
+            for i, a in enumerate(asks):
+                own = got[at : at + len(a or [])]
+                at += len(a or [])
+                if a is not None and None not in own:
+                    kept.append(i)
+                    out.append(joiner.join(own))
+            rows = b.select(keep).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.string())], [*keep, field])
+
+    return df.mapInArrow(run, schema)
+
+
 def chat_request(content, model: str, system: str = "", temperature: float = 0.7, max_tokens: int = 1000, style: str = "openai") -> Column:
     """The JSON body of a chat completion: "openai", "claude" (system apart) or "ollama" (options, no stream)."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))

@@ -15,10 +15,11 @@ def _query(vector):
 
 
 def nearest_per_record(embeddings: DataFrame, vector) -> DataFrame:
-    """(id, chunk_id, distance): each record's chunk that is nearest by cosine distance."""
-    d = embeddings.select("id", "chunk_id", (1 - cosine(F.col("embedding").cast("array<double>"), _query(vector))).alias("distance"))
+    """(id, source where there is one, chunk_id, distance): each record's chunk that is nearest by cosine distance."""
+    key = [c for c in ("id", "source") if c in embeddings.columns]
+    d = embeddings.select(*key, "chunk_id", (1 - cosine(F.col("embedding").cast("array<double>"), _query(vector))).alias("distance"))
     d = d.where(F.col("distance").isNotNull())
-    return d.groupBy("id").agg(F.min(F.struct("distance", "chunk_id")).alias("best")).select("id", "best.chunk_id", "best.distance")
+    return d.groupBy(*key).agg(F.min(F.struct("distance", "chunk_id")).alias("best")).select(*key, "best.chunk_id", "best.distance")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int = 64 << 20) -> DataFrame:

@@ -164,6 +164,28 @@ def bib_all_fields(spark, d):
     return search_items(catalog.table(spark, d, "customer"), "7 build", ["c_name", "c_mktsegment"]).select("c_custkey", "c_name")
 
 
+_QUESTION = "The rate of the other thing, and what it is for"
+_ABC = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(texts):
+    """A stand-in for an encoder that SQL can have too: how often each letter comes."""
+    return [[float(t.lower().count(x)) for x in _ABC] for t in texts]
+
+
+@query(f"""WITH v AS (SELECT doc_id AS id, lang, list_transform(string_split('{_ABC}', ''), lambda x: CAST(length(text) - length(replace(text, x, '')) AS DOUBLE)) AS v FROM (SELECT doc_id, lang, lower(text) AS text FROM documents)),
+d AS (SELECT id, round(1 - list_cosine_similarity(v, {_letters([_QUESTION])[0]}), 9) AS distance FROM v WHERE lang IN ('en', 'de') AND list_sum(v) > 0) SELECT id, round(distance, 6) AS distance FROM d ORDER BY d.distance, id LIMIT 25""")
+def semantic_text(spark, d):
+    """A search for a text's meaning, within two languages; the query's vector comes from the encoder."""
+    p = catalog.paragraphs(spark, d)
+    low = F.lower("content")
+    vector = F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in _ABC])
+    e = p.select("id", "source", F.lit(0).alias("chunk_id"), vector.alias("embedding"))
+    t = S.Tables(p, embeddings=e, encoder=S.QueryEncoder(_letters))
+    found = S.search(t, S.Filters(q=f": {_QUESTION}", langs=("en", "de")))
+    return found.select("id", F.round("distance", 9).alias("d")).orderBy("d", "id").limit(25).select("id", F.round("d", 6).alias("distance"))
+
+
 @query("""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v FROM e WHERE id = 0), d AS (SELECT doc_id AS id FROM documents)
 SELECT id, round(1 - list_cosine_similarity(e.v, q.v), 6) AS distance FROM e, q WHERE id IN (SELECT id FROM d) ORDER BY 1 - list_cosine_similarity(e.v, q.v), id LIMIT 25""")
 def semantic_search(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -39,9 +40,28 @@ class Tables:
     files: DataFrame | None = None
     file_datasets: DataFrame | None = None  # dataset, file_id
     embeddings: DataFrame | None = None  # id, source, chunk_id, embedding
+    encoder: object = None  # text -> vector, for queries that begin with a colon; see QueryEncoder
     index: object = None  # an operators.inverted.Index of the paragraphs' keywords: queries then read no text and no keywords
 
 
+class QueryEncoder:
+    """The caller's encode(list of texts) -> vectors for one query at a time, remembered for a while after its last use."""
+
+    def __init__(self, encode, ttl: float = 600.0, most: int = 10_000, clock=time.monotonic):
+        self.encode, self.ttl, self.most, self.clock = encode, ttl, most, clock
+        self.held: dict[str, tuple[float, tuple]] = {}
+
+    def __call__(self, text: str) -> tuple:
+        now = self.clock()
+        at, vector = self.held.pop(text, (None, None))
+        if at is None or now - at > self.ttl:
+            (vector,) = (tuple(map(float, v)) for v in self.encode([text]))
+        self.held[text] = now, vector  # used last, forgotten last
+        while len(self.held) > self.most:
+            del self.held[next(iter(self.held))]
+        return vector
+
+
 def _escaped(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
@@ -129,13 +149,17 @@ def distinct_on(df: DataFrame, column: str, sort: str = "") -> DataFrame:
 
 
 def search(t: Tables, f: Filters) -> DataFrame:
-    """The page of results. With a vector: nearest first, `distance` added."""
+    """The page of results. With a vector, or a text after a colon and an encoder: nearest first, `distance` added."""
+    if f.q.strip().startswith(":") and not f.vector:
+        if t.encoder is None:
+            raise ValueError("a search for a meaning needs an encoder or a vector")
+        f = replace(f, vector=tuple(t.encoder(f.q.strip()[1:].strip())))
     df = filtered(t, f)
     columns = df.columns + (["distance"] if f.vector else [])
     df = df if f.vector else _with_path(t, df, f.sort)
     if f.vector:
         near = nearest_per_record(t.embeddings, list(f.vector))
-        df = df.join(near, "id")
+        df = df.join(near.drop("chunk_id"), [c for c in ("id", "source") if c in near.columns])
         keys = [F.col("distance"), F.col("id")]
     else:
         if f.group_by and f.group_by in df.columns:

@@ -297,11 +297,23 @@ for _name, _style in (("AzureCognitiveSearch", "azure"), ("TencentCloudSearch",
     _search(_name, _style)
 
 
-def _translate(name, request, on_error="drop"):
+def _translate(name, request, most: int, joiner: str = " "):
     def f(df: DataFrame, to_lang: str = "en", ctx: Context = None) -> DataFrame:
-        return _ask(df, request(to_lang, ctx.constants if ctx else {}), name, ctx, "content", on_error=on_error)
-
-    f.__doc__ = "content in another language; a row that can't be translated is dropped."
+        constants = ctx.constants if ctx else {}
+        asked = df.withColumn("__requests", F.transform(external.split_chunks("content", most), lambda c: request(c, to_lang, constants)))
+        done = external.map_parts(asked, "__requests", "content", constants[f"transport:{name}"], joiner).select(*df.columns)
+        if to_lang not in ("zhs", "zht"):
+            return done
+        from ..operators.phrases import Phrases
+
+        # services answer in either script: the one asked for is made by a table, the context's where it has one
+        table = ctx.named.get("traditional" if to_lang == "zhs" else "simplified")
+        if table is None:
+            pairs = dict(records.SIMPLIFIED.split())
+            table = pairs if to_lang == "zhs" else {v: k for k, v in pairs.items()}
+        return Phrases(df.sparkSession, table).replaced(done, "content")
+
+    f.__doc__ = f"content in another language, asked for in pieces of at most {most} characters; a row that can't be translated is dropped."
     stage(name)(f)
 
 
@@ -309,10 +321,10 @@ def _body(**fields):
     return F.to_json(F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in fields.items()]))
 
 
-_translate("RemoteTranslation", lambda to, c: _body(text=F.col("content"), to_lang=to))
-_translate("GoogleTranslation", lambda to, c: _body(q=F.col("content"), target=to))
-_translate("YoudaoTranslation", lambda to, c: _body(q=F.col("content"), to=to, sign=external.sign_sha256("content", c.get("app", ""), c.get("salt", ""), c.get("time", ""), c.get("secret", ""))))
-_translate("BaiduTranslation", lambda to, c: _body(q=F.col("content"), to=to, sign=external.sign_md5("content", c.get("app", ""), c.get("salt", ""), c.get("secret", ""))))
+_translate("RemoteTranslation", lambda t, to, c: _body(text=t, to_lang=to), 5000)
+_translate("GoogleTranslation", lambda t, to, c: _body(q=t, target=to), 5000)
+_translate("YoudaoTranslation", lambda t, to, c: _body(q=t, to=to, sign=external.sign_sha256(t, c.get("app", ""), c.get("salt", ""), c.get("time", ""), c.get("secret", ""))), 5000)
+_translate("BaiduTranslation", lambda t, to, c: _body(q=t, to=to, sign=external.sign_md5(t, c.get("app", ""), c.get("salt", ""), c.get("secret", ""))), 2000)
 
 
 @stage("GPTTranslation")
@@ -337,6 +349,20 @@ def _ner(df: DataFrame, ctx: Context = None) -> DataFrame:
     return out
 
 
+def _named_ner(name):
+    def f(df: DataFrame, ctx: Context = None) -> DataFrame:
+        if transport := ctx.constants.get(f"transport:{name}"):
+            return external.map_batches(df, "content", "ner", transport, _NER, on_error="null")
+        return records.gazetteer(df, ctx=ctx)
+
+    f.__doc__ = "ner by the stage's transport, or without one by the context's gazetteer."
+    stage(name)(f)
+
+
+for _name in ("HanLPModel", "HanlpNerZh", "HanlpNerJa", "SpaCyNER"):
+    _named_ner(_name)
+
+
 @stage("TextEmbedding")
 def _embedding(df: DataFrame, field: str = "vec", ctx: Context = None) -> DataFrame:
     """A vector of content by the transport, unit length."""

@@ -8,7 +8,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.pipeline import stage
@@ -42,9 +42,19 @@ def numbered_lines(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def text_lines(spark: SparkSession, paths: str, dataset: str = "", lang: str = "auto") -> DataFrame:
-    """Lines of text files, numbered within their file; a file must fit one task."""
-    f = spark.read.text(globs(paths), wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("content"))
-    return numbered_lines(f).withColumn("dataset_name", F.lit(dataset)).withColumn("lang", F.lit(lang))
+    """Lines of text files of any size, numbered within their file (from 1, six digits or more).
+
+    Files are read in splits. Lines of a split come one after the other, so a
+    line's place in its split is the difference of two running numbers; the
+    lines of all splits before it in the file are a sum over a small table.
+    """
+    lines = spark.read.text(globs(paths)).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__n"), F.col("value").alias("content"))
+    splits = lines.groupBy("source", "__split").agg(F.min("__n").alias("__first"), F.count("*").alias("__lines"))
+    before = F.sum("__lines").over(Window.partitionBy("source").orderBy("__split")) - F.col("__lines")
+    known = splits.select("source", "__split", (before - F.col("__first") + 1).alias("__add"))
+    number = (F.col("__n") + F.col("__add")).cast("string")
+    outline = F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number)
+    return lines.join(known, ["source", "__split"]).select("source", outline.alias("outline"), F.regexp_replace("content", r"\r$", "").alias("content"), F.lit(dataset).alias("dataset_name"), F.lit(lang).alias("lang"))
 
 
 def inline_lines(spark: SparkSession, content: str, delimiter: str = "\n", dataset: str = "", lang: str = "auto") -> DataFrame:
