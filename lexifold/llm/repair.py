@@ -5,7 +5,9 @@ Each round counts all adjacent pairs exactly and replaces the frequent ones
 that begins at 1 / STEP of the most frequent pair's count and is divided by STEP
 once a round replaces less than one in fifty symbols. The last level is `least`; a
 rule for fewer would take more bits than it saves. There it goes on until a round
-replaces less than one in a thousand of the symbols left. Documents
+over all pairs replaces less than one in a thousand of the symbols left. The first
+round of a level counts all pairs; the next ones count those that hold a symbol
+made in the round before, all of whose occurrences are at places just replaced. Documents
 end in a terminal of their own and nothing that ends in it begins a rule, so no
 symbol crosses documents and each can be decoded alone.
 
@@ -53,29 +55,36 @@ def _frequent(keys: np.ndarray, level: int, least: int, most: int):
     return keys[at[keep]], top, level
 
 
-def _replace(seq, inner, chosen, least, symbols):
-    """(rank of the pair, ascending place) of the occurrences of chosen pairs to replace; pairs left with too few are given up."""
+def _candidates(seq, inner, chosen, symbols):
+    """Places where both symbols stand in a chosen pair so."""
+    first, second = np.zeros(symbols, bool), np.zeros(symbols, bool)
+    first[chosen >> SYMBOL_BITS], second[chosen & ((1 << SYMBOL_BITS) - 1)] = True, True
+    at = np.flatnonzero(first[seq[:-1]] & inner)
+    return at[second[seq[at + 1]]]
+
+
+def _replace(seq, at, chosen, least):
+    """(rank of the pair, ascending place) of the occurrences of chosen pairs to replace, all of them among the places `at`; pairs left with too few are given up."""
     table = np.zeros(1 << SLOT_BITS, np.int32)
     slots = _slot(chosen)
     table[slots[::-1]] = np.arange(len(chosen), 0, -1)  # of two pairs in a slot the more frequent stays
-    first, second = np.zeros(symbols, bool), np.zeros(symbols, bool)  # whether a symbol stands so in any chosen pair
-    first[chosen >> SYMBOL_BITS], second[chosen & ((1 << SYMBOL_BITS) - 1)] = True, True
-    at = np.flatnonzero(first[seq[:-1]] & inner)
-    at = at[second[seq[at + 1]]]
     keys = _pairs(seq[at], seq[at + 1])
     which = table[_slot(keys)]
     kept = np.flatnonzero(which)
     kept = kept[chosen[which[kept] - 1] == keys[kept]]
-    at, rank = at[kept], which[kept].astype(np.int64)
+    at, rank = at[kept], which[kept]
     # neighbouring candidates overlap: the better rank stays; in runs of equal ones every second
-    joined = np.concatenate(([False], at[1:] == at[:-1] + 1))
-    equal = joined & np.concatenate(([False], rank[1:] == rank[:-1]))
-    starts = np.maximum.accumulate(np.where(equal, 0, np.arange(len(at))))
-    order = rank * 2 + ((np.arange(len(at)) - starts) & 1)
-    big = np.int64(1 << 40)
-    left = np.where(joined, np.concatenate(([big], order[:-1])), big)
-    right = np.where(np.concatenate((joined[1:], [False])), np.concatenate((order[1:], [big])), big)
-    win = (order < left) & (order < right)
+    joined = np.flatnonzero(at[1:] == at[:-1] + 1) + 1  # those that overlap the one before
+    order = rank * np.int64(2)
+    equal = np.zeros(len(at), bool)
+    equal[joined] = rank[joined] == rank[joined - 1]
+    if equal.any():
+        starts = np.maximum.accumulate(np.where(equal, 0, np.arange(len(at), dtype=np.int32)))
+        order += (np.arange(len(at), dtype=np.int32) - starts) & 1
+    win = np.ones(len(at), bool)
+    before = order[joined - 1] < order[joined]
+    win[joined[before]] = False
+    win[joined[~before] - 1] = False
     at, rank = at[win], rank[win] - 1
     times = np.bincount(rank, minlength=len(chosen))
     good = times >= least
@@ -95,19 +104,37 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 3):
     rules: list[np.ndarray] = []
     symbols = base + 1  # the next one's number
     level = 0  # not known yet
+    fresh = None  # the places of the symbols made in the last round, if that was of the same level
     while len(seq) > 1:
         inner = np.ones(len(seq) - 1, bool)  # whether a pair begins here: not at a document's last symbol
         inner[end[:-1]] = False
-        chosen, top, level = _frequent(_pairs(seq[:-1], seq[1:])[inner], level, least, (1 << SYMBOL_BITS) - symbols)
-        rank, at = _replace(seq, inner, chosen, level, symbols) if len(chosen) else (chosen, chosen)
-        last = level == least and 1000 * len(rank) < len(seq)
-        if 50 * len(rank) < len(seq):
-            level = max(least, min(level, top) // STEP)
+        whole = fresh is None
+        if whole:
+            keys = _pairs(seq[:-1], seq[1:])[inner]
+        else:
+            near = np.zeros(len(seq) + 1, bool)
+            near[fresh] = near[fresh - 1] = True  # the place before the first one is the last, which is of no pair
+            near = np.flatnonzero(near[: len(inner)] & inner)
+            keys = _pairs(seq[near], seq[near + 1])
+        chosen, top, level = _frequent(keys, level, least, (1 << SYMBOL_BITS) - symbols)
+        rank, at = chosen, chosen
+        if len(chosen):
+            rank, at = _replace(seq, _candidates(seq, inner, chosen, symbols) if whole else near, chosen, level)
+        few = 50 * len(rank) < len(seq)
+        last = whole and level == least and 1000 * len(rank) < len(seq)
+        if few and level > least:
+            level = max(least, min(level, top) // STEP if whole else level // STEP)
+            fresh = None
+        elif whole or 1000 * len(rank) >= len(seq):
+            fresh = at - np.arange(len(at))  # each replacement takes a place from all behind it
+        else:
+            fresh = None
         if not len(rank):
             if last:
                 break
+            fresh = None
             continue
-        used = np.unique(rank)
+        used = np.flatnonzero(np.bincount(rank, minlength=len(chosen)))
         number = np.zeros(len(chosen), np.uint32)
         number[used] = symbols + np.arange(len(used))
         symbols += len(used)
