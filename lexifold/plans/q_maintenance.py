@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..operators import external, snapshots
+from ..operators import bibliography, external, library, snapshots
+from ..sources import readers
+from . import search as S
 from .registry import BRIDGE, register
 
 Q: dict = {}
@@ -132,3 +134,93 @@ def events_daily_windows(spark, d):
     from ..streaming.jobs import daily_counts
 
     return daily_counts(catalog.table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# filters, counters and bibliography over whole tables
+
+
+@query("SELECT doc_id AS id, lang FROM documents WHERE doc_id IN (1, 5, 9, 200, -3, 99999999)")
+def ids_filter(spark, d):
+    return S.search(S.Tables(catalog.paragraphs(spark, d)), S.Filters(ids=(1, 5, 9, 200, -3, 99999999))).select("id", "lang")
+
+
+@query("SELECT conv_id AS source, turn AS source_page, text AS content FROM conversations WHERE turn = 2 AND role IN ('user', 'system')")
+def source_page_filter(spark, d):
+    return S.search(S.Tables(catalog.turns(spark, d)), S.Filters(source_page=2, authors=("user", "system"))).select("source", "source_page", "content")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal < 0")
+def visible_rows(spark, d):
+    """A customer's segment stands for who made the row, a negative balance for a shared one."""
+    c = catalog.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("creator"), (F.col("c_acctbal") < 0).alias("shared"))
+    return S.visible(c, "BUILDING").select("id", "name")
+
+
+@query("SELECT role AS author, count(*) AS n FROM conversations GROUP BY role")
+def counter_author(spark, d):
+    from . import stages  # noqa: F401
+    from .pipeline import compile_pipeline
+
+    return compile_pipeline(catalog.turns(spark, d), [["Counter", {"key": "author"}]])
+
+
+@query("SELECT path, size_bytes FROM (SELECT 'corpus/' || lang || '/' || source AS path, sum(strlen(text)) AS size_bytes FROM documents GROUP BY 1) WHERE contains(lower(regexp_extract(path, '[^/]*$')), 'src') AND contains(lower(regexp_extract(path, '[^/]*$')), '1')")
+def file_search(spark, d):
+    return readers.find_files(catalog.files(spark, d), "SRC 1").select("path", "size_bytes")
+
+
+@query(r"SELECT doc_id AS id, CAST(len(c) AS INTEGER) AS n, md5(array_to_string(c, '|')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,500}$|.{0,499}[.!?。！？\n]|.{1,500}') AS c FROM documents)")
+def chunks_for_services(spark, d):
+    c = catalog.paragraphs(spark, d).select("id", external.split_chunks("content", 500).alias("c"))
+    return c.select("id", F.size("c").alias("n"), F.md5(F.array_join("c", "|")).alias("digest"))
+
+
+def _items(spark, d):
+    c = catalog.table(spark, d, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        k.cast("string").alias("id"), F.col("c_name").alias("title"), F.when(k % 3 == 0, F.concat(F.lit("10.1/"), k)).alias("doi"), F.when(k % 3 == 1, F.lit("cat")).alias("library_catalog"),
+        F.when(k % 3 == 1, F.concat(F.lit("QA"), k)).alias("call_number"), F.concat(F.lit("http://x/"), k).alias("url"), F.array(F.concat(F.lit("f"), k)).alias("file_attachments"),
+    )
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS n FROM customer) SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 2 = 0 THEN upper(n) ELSE n END AS title, CASE WHEN k % 2 = 0 THEN 'f' || k || '|' || 'g' || k ELSE 'f' || k END AS files FROM c
+UNION ALL SELECT 'new' || s_suppkey, s_name, 'h' FROM supplier""")
+def bib_save(spark, d):
+    """Records found again by DOI, by catalogue and call number, or by URL; the suppliers are new."""
+    old = _items(spark, d)
+    again = old.where("cast(id AS long) % 2 = 0").select(F.concat(F.lit("other"), "id").alias("id"), F.upper("title").alias("title"), "doi", "library_catalog", "call_number", F.when(F.col("doi").isNull() & F.col("call_number").isNull(), F.col("url")).alias("url"), F.array(F.concat(F.lit("g"), "id")).alias("file_attachments"))
+    none = F.lit(None).cast("string")
+    s = catalog.table(spark, d, "supplier").select(F.concat(F.lit("new"), "s_suppkey").alias("id"), F.col("s_name").alias("title"), none.alias("doi"), none.alias("library_catalog"), none.alias("call_number"), none.alias("url"), F.array(F.lit("h")).alias("file_attachments"))
+    return bibliography.save_items(old, again.unionByName(s)).select("id", "title", F.array_join("file_attachments", "|").alias("files"))
+
+
+@query("SELECT 'k' || c_custkey AS cite_key, 'article' AS entry_type, replace(c_name, '#', '\\#') AS title, c_mktsegment || ' and B' AS authors, CAST(c_nationkey AS VARCHAR) AS volume FROM customer".replace("\\\\", "\\"))
+def bibtex_roundtrip(spark, d):
+    """Written as BibTeX and read back; special characters stay escaped."""
+    c = catalog.table(spark, d, "customer").select(F.concat(F.lit("k"), "c_custkey").alias("key"), F.lit("article").alias("kind"), F.col("c_name").alias("title"), F.array("c_mktsegment", F.lit("B")).alias("authors"), F.col("c_nationkey").alias("volume"), F.lit("").alias("note"))
+    back = bibliography.parse_bibtex(bibliography.to_bibtex(c, "key", "kind", ["title", "authors", "volume", "note"]), "bibtex")
+    return back.select("cite_key", "entry_type", *[F.col("fields")[x].alias(x) for x in ("title", "authors", "volume")])
+
+
+@query("""SELECT 'Z' || o_orderkey AS id, 'T ' || o_orderkey AS title, o_orderpriority || ', A & Lab' AS author, date_trunc('month', o_orderdate) AS pdate, CASE WHEN o_orderkey % 2 = 0 THEN 'J' ELSE 'Abbr' END AS publication, 'de' AS language FROM orders WHERE o_orderkey % 5 <> 0""")
+def zotero_mapping(spark, d):
+    """Items of a reference library as JSON; a fifth of them has no title."""
+    o = catalog.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    person = lambda **f: F.struct(*[v.alias(n) for n, v in f.items()])
+    none = F.lit(None).cast("string")
+    people = F.array(person(creatorType=F.lit("author"), firstName=F.lit("A"), lastName=F.col("o_orderpriority"), name=none), person(creatorType=F.lit("author"), firstName=none, lastName=none, name=F.lit("Lab")))
+    data = F.struct(
+        F.when(k % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" T "), k)).alias("title"), F.date_format("o_orderdate", "yyyy-MM").alias("date"), F.when(k % 2 == 0, "J").alias("publicationTitle"),
+        F.lit("Abbr").alias("journalAbbreviation"), F.lit("de").alias("language"), people.alias("creators"),
+    )
+    items = o.select(F.to_json(F.struct(F.concat(F.lit("Z"), k).alias("key"), data.alias("data"))).alias("content"))
+    return readers.zotero_items(items).select("id", "title", "author", F.col("pdate").cast("timestamp_ntz").alias("pdate"), "publication", "language")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_nationkey < 5 THEN 'new/' ELSE 'old/' END || c_custkey AS path, c_nationkey < 5 AS moved FROM customer")
+def moved_books(spark, d):
+    c = catalog.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("lib").alias("library_catalog"), F.col("c_custkey").cast("string").alias("call_number"), F.concat(F.lit("old/"), "c_custkey").alias("path"), "c_nationkey")
+    books = c.where("c_nationkey < 10").select("library_catalog", "call_number", F.when(F.col("c_nationkey") < 5, F.concat(F.lit("new/"), "call_number")).otherwise(F.col("path")).alias("path"))
+    return library.moved(c.drop("c_nationkey"), books).select("id", "path", "moved")
