@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import unit
 from ..operators import bibliography, counts, external, graph, learning, library, ordered, pages, records, snapshots, vectors  # noqa: F401
-from ..sources import html, readers
+from ..sources import html, paged, readers
 from . import search
 from .pipeline import Context, stage
 
@@ -226,6 +226,12 @@ def _extract(df: DataFrame, field: str = "html", assignments: dict = None, parag
     return html.extract(df, field, assignments or {"content": ""}, paragraph_selector)
 
 
+@stage("RecordDataSource")
+def _record_source(df: DataFrame, source: str, fields: str = "", params: dict = None, ctx: Context = None) -> DataFrame:
+    """What the context's function source:<source> fetches for each record; the record's fields come before params."""
+    return paged.of_records(df, ctx.constants[f"source:{source}"], fields, params)
+
+
 # sinks
 
 
