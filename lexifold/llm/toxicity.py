@@ -195,11 +195,11 @@ class Trees:
 
 def isotonic(x: np.ndarray, y: np.ndarray):
     """(knots, values): the non-decreasing fit of y on x by pooling adjacent violators, shrunk a little."""
-    order = np.argsort(x, kind="stable")
+    places, of = np.unique(x, return_inverse=True)  # rows at one place are one block from the start
     blocks: list[list[float]] = []  # sum, count, least x, greatest x
-    for a, b in zip(x[order].tolist(), y[order].tolist()):
-        blocks.append([b, 1, a, a])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+    for a, total, n in zip(places.tolist(), np.bincount(of, weights=y).tolist(), np.bincount(of).tolist()):
+        blocks.append([total, n, a, a])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, _, hi = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], hi]
     knots = np.array([v for s, n, lo, hi in blocks for v in ((lo, hi) if hi > lo else (lo,))])
