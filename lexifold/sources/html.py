@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from ..operators.graph import written
 from ..ship import ship
 
 # fixed values: named entities that are replaced
@@ -58,18 +59,24 @@ def crawl(pages: DataFrame, start: list[str], depth: int, scope: str = "", list_
     """(url, depth): pages reached from the start over links, breadth first, each at its least depth.
 
     pages: url, html. Links must begin with scope; those that meet list_link
-    lead on, those that meet detail_link are results. A round joins the frontier
-    to the page table and takes away what was seen; nothing comes to the driver
-    but whether a round found anything.
+    lead on, those that meet detail_link are results. Of pages with one address
+    that with the least text counts. The table of links is written once, and what
+    a round has found is written before the next one, so that no round does the
+    work of those before it again; it ends when a round finds nothing.
     """
     spark = pages.sparkSession
-    known = pages.select(F.regexp_replace("url", "#.*$", "").alias("url"), "html").dropDuplicates(["url"])
-    out = known.select("url", F.explode(links("html")).alias("h")).select("url", resolve_link("url", "h").alias("to")).where(F.startswith("to", F.lit(scope))).distinct()
+    known = pages.select(F.regexp_replace("url", "#.*$", "").alias("url"), "html").groupBy("url").agg(F.min("html").alias("html"))
+    out = known.select("url", F.explode(links("html")).alias("h")).select("url", resolve_link("url", "h").alias("to"))
+    leads = F.col("to").rlike(list_link) | F.col("to").rlike(detail_link)
+    # links to pages there are, that can be followed at all
+    out = written(out.where(F.startswith("to", F.lit(scope)) & leads).distinct().join(known.select(F.col("url").alias("to")), "to", "left_semi"))
     seen = spark.createDataFrame([(u,) for u in start], "url string").withColumn("depth", F.lit(0)).join(known.select("url"), "url", "left_semi")
     frontier = seen
     for d in range(1, depth + 1):
-        found = frontier.select("url").join(out, "url").select(F.col("to").alias("url")).distinct()
-        found = found.where(F.col("url").rlike(list_link) | F.col("url").rlike(detail_link)).join(known.select("url"), "url", "left_semi").join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
+        found = frontier.select("url").join(out, "url").select(F.col("to").alias("url")).distinct().join(seen, "url", "left_anti")
+        found = written(found.withColumn("depth", F.lit(d)))
+        if found.isEmpty():
+            break
         seen = seen.unionByName(found)
         frontier = found.where(F.col("url").rlike(list_link))
     return seen.where(F.col("url").rlike(detail_link) | (F.col("depth") == 0))
