@@ -379,6 +379,19 @@ def crawl_bfs(spark, d):
     return html.crawl(p, [start], 3)
 
 
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 1000 + o_orderkey % 7, 2 * count(*) FROM orders GROUP BY 1")
+def json_records_source(spark, d):
+    """JSON texts as sources: an object each, and arrays and `results` of two objects each."""
+    from . import stages  # noqa: F401  registers the stage
+
+    e = catalog.table(spark, d, "events").select(F.col("props").alias("content"))
+    one = F.to_json(F.struct((1000 + F.col("o_orderkey") % 7).alias("k")))
+    two = F.concat(F.lit("["), one, F.lit(","), one, F.lit("]"))
+    o = catalog.table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, two).otherwise(F.concat(F.lit('{"results":'), two, F.lit("}"))).alias("content"))
+    records_ = _run(spark, d, ["JSONDataSource", {}], df=e.unionByName(o))
+    return readers.json_fields(records_, {"k": "bigint"}).groupBy("k").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, d):
     e = catalog.table(spark, d, "events").select(F.col("event_id"), F.col("props").alias("content"))

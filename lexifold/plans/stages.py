@@ -199,9 +199,20 @@ def _books(df: DataFrame, content: str = "", dataset_name: str = "", lang: str =
 
 
 @stage("PDFDataSource")
-def _pdf(df: DataFrame, page_range: str = "", ctx: Context = None) -> DataFrame:
-    """Pages of documents (path, content binary); known pages of `pdf_done` in the context are left out."""
-    return readers.pdf_pages(df, ctx.constants["transport:PDFDataSource"], ctx.named.get("pdf_done"), page_range)
+def _pdf(df: DataFrame, page_range: str = "", dataset_name: str = "", lang: str = "auto", clean: bool = False, remove_garbled: bool = True, reparagraph: bool = False, min_paragraph_length: int = 50, max_paragraph_length: int = 2000, ctx: Context = None) -> DataFrame:
+    """Pages of documents (path, content binary); known pages of `pdf_done` in the context are left out.
+
+    In this order, as asked for: texts are cleaned (and garbled pages dropped),
+    paragraphs are made of the lines of all pages, and with lang "auto" the
+    language of each row is told.
+    """
+    rows = readers.pdf_pages(df, ctx.constants["transport:PDFDataSource"], ctx.named.get("pdf_done"), page_range)
+    if clean:
+        rows = records.text_cleaner(rows, remove_garbled)
+    if reparagraph:
+        rows = pages.cross_page(rows, min_paragraph_length, max_paragraph_length)
+    rows = rows.withColumn("dataset_name", F.lit(dataset_name)).withColumn("lang", F.lit(lang))
+    return records.language_detect(rows, ctx) if lang == "auto" else rows
 
 
 @stage("MinerUDataSource")

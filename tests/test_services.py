@@ -104,3 +104,16 @@ def test_lines_of_a_file_in_many_splits(spark, tmp_path):
         by.setdefault(r.source.rsplit("/", 1)[1], []).append((r.outline, r.content))
     assert sorted(by["a.txt"]) == [(f"{i + 1:06d}", x) for i, x in enumerate(lines)]
     assert sorted(by["b.txt"]) == [(f"{i + 1:06d}", x) for i, x in enumerate(lines[:100])] and "empty.txt" not in by
+
+
+def test_pages_to_paragraphs_in_one_source(spark):
+    def extract(data):
+        return [(i, None, t) for i, t in enumerate(data.decode().split("|"))]
+
+    texts = b"A first page that goes on with a hy-\nphenated word and some more\n1|2\nwhich ends on the second page.\nA second paragraph, long enough to stay, is here.|##$$%%^^&&**"
+    df = spark.createDataFrame([("a.pdf", bytearray(texts))], "path string, content binary")
+    got = run(df, ("PDFDataSource", {"clean": True, "reparagraph": True, "dataset_name": "set", "min_paragraph_length": 40}), **{"transport:PDFDataSource": extract}).collect()
+    assert sorted((r.source_page, r.content) for r in got) == [(0, "A first page that goes on with a hyphenated word and some more which ends on the second page."), (1, "A second paragraph, long enough to stay, is here.")]
+    assert {(r.lang, r.dataset_name, r.source) for r in got} == {("en", "set", "a.pdf")}
+    plain = run(df, ("PDFDataSource", {"lang": "de", "page_range": "2"}), **{"transport:PDFDataSource": extract}).collect()
+    assert [(r.source_page, r.lang) for r in plain] == [(1, "de")]
