@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 
 from ..plans.keywords import And, Word, parse
 
-BUCKET_BYTES = 256 << 20
+BUCKET_BYTES = 16 << 20  # of keywords
+MOST_BUCKETS = 50_000  # Spark allows twice as many; beyond, buckets grow
+
+
+def buckets_for(size: int) -> int:
+    return min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
 
 
 def _leaves(tree) -> list[Word]:
@@ -48,12 +53,12 @@ class Index:
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, buckets: int | None = None) -> "Index":
-        """rows: (id, keywords). Null ids, null arrays and null elements have no postings; an id that comes twice counts once."""
+        """rows: (id, keywords); buckets: where the keywords' size is known already, see buckets_for. Null ids, null arrays and null elements have no postings; an id that comes twice counts once."""
         spark = rows.sparkSession
         pairs = rows.where("id IS NOT NULL").select(F.explode("keywords").alias("term"), "id").where("term IS NOT NULL")
         if not buckets:
             size = rows.agg(F.sum(F.aggregate("keywords", F.lit(0).cast("long"), lambda n, w: n + F.coalesce(F.octet_length(w), F.lit(0)) + 8))).first()[0]
-            buckets = max(1, -(-(size or 0) // BUCKET_BYTES))
+            buckets = buckets_for(size or 0)
         kind, name = rows.schema["id"].dataType.simpleString(), f"postings_{uuid.uuid4().hex}"
         # deltas of ids in place of a dictionary of them; terms, which repeat, keep theirs
         stored = pairs.repartition(buckets, "id").distinct().write.option("path", f"{path}/postings").option("parquet.writer.version", "v2").option("parquet.enable.dictionary#id", "false")

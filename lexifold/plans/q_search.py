@@ -16,7 +16,12 @@ query = register(Q)
 
 def index_of(spark, d):
     """The stored keyword index of the paragraphs; an application builds it once for each data folder."""
-    path = folders.once(spark, ("keywords", d), lambda path: inverted.Index.build(catalog.paragraphs(spark, d, True).select("id", "keywords"), path))
+
+    def build(path):
+        size = catalog.table(spark, d, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        inverted.Index.build(catalog.paragraphs(spark, d, True).select("id", "keywords"), path, inverted.buckets_for(4 * size))
+
+    path = folders.once(spark, ("keywords", d), build)
     return inverted.Index(spark, path)
 
 
