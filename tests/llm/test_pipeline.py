@@ -26,7 +26,7 @@ def test_names():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {f"{n.split('_')[0]}_" for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {f"{n.split('_')[0]}_" for n in names if n.startswith("op")} and "pipeline" in names
 
 
 def test_pipeline_stages(spark, tmp_path):
