@@ -26,69 +26,77 @@ from .textblocks import ranges
 
 MAGIC = b"RPG2"
 SYMBOL_BITS = 24
-SLOT_BITS = 20
 STEP = 64
 SHORT = 32  # expansions of up to so many ids are kept when reading
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * _ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _order(seq: np.ndarray, at: np.ndarray, symbols: int):
+    """(key, place) of the pairs that begin at the ascending places `at`, by key and then place; and the bits of a key's symbol.
 
-
-def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left.astype(np.int64) << SYMBOL_BITS) | right
+    As a rule both fit into 64 bits, which are sorted as they are.
+    """
+    bits, places = max(1, (symbols - 1).bit_length()), len(seq).bit_length()
+    keys = seq[at].astype(np.uint64)
+    keys <<= np.uint64(bits)
+    keys |= seq[at + 1]
+    if 2 * bits + places > 64:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], at[order], bits
+    keys <<= np.uint64(places)
+    keys |= at.astype(np.uint64)
+    keys.sort()
+    return keys >> np.uint64(places), (keys & np.uint64((1 << places) - 1)).astype(np.int64), bits
 
 
 def _frequent(keys: np.ndarray, level: int, least: int, most: int):
-    """(up to `most` pairs that come at least `level` times, the most frequent first; the greatest count; level).
+    """(where in the sorted keys, how often) of up to `most` pairs that come at least `level` times, the most frequent first; the greatest count; level.
 
-    level 0: taken from the greatest count. keys: the caller's own copy, sorted here.
+    level 0: taken from the greatest count.
     """
-    keys.sort()
     at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
     count = np.diff(np.append(at, len(keys)))
     top = int(count.max(initial=0))
     level = level or max(least, top // STEP)
     keep = np.flatnonzero(count >= level)
-    keep = keep[np.lexsort((keys[at[keep]], -count[keep]))[:most]]
-    return keys[at[keep]], top, level
-
-
-def _candidates(seq, inner, chosen, symbols):
-    """Places where both symbols stand in a chosen pair so."""
-    first, second = np.zeros(symbols, bool), np.zeros(symbols, bool)
-    first[chosen >> SYMBOL_BITS], second[chosen & ((1 << SYMBOL_BITS) - 1)] = True, True
-    at = np.flatnonzero(first[seq[:-1]] & inner)
-    return at[second[seq[at + 1]]]
-
-
-def _replace(seq, at, chosen, least):
-    """(rank of the pair, ascending place) of the occurrences of chosen pairs to replace, all of them among the places `at`; pairs left with too few are given up."""
-    table = np.zeros(1 << SLOT_BITS, np.int32)
-    slots = _slot(chosen)
-    table[slots[::-1]] = np.arange(len(chosen), 0, -1)  # of two pairs in a slot the more frequent stays
-    keys = _pairs(seq[at], seq[at + 1])
-    which = table[_slot(keys)]
-    kept = np.flatnonzero(which)
-    kept = kept[chosen[which[kept] - 1] == keys[kept]]
-    at, rank = at[kept], which[kept]
-    # neighbouring candidates overlap: the better rank stays; in runs of equal ones every second
-    joined = np.flatnonzero(at[1:] == at[:-1] + 1) + 1  # those that overlap the one before
-    order = rank * np.int64(2)
-    equal = np.zeros(len(at), bool)
-    equal[joined] = rank[joined] == rank[joined - 1]
-    if equal.any():
-        starts = np.maximum.accumulate(np.where(equal, 0, np.arange(len(at), dtype=np.int32)))
-        order += (np.arange(len(at), dtype=np.int32) - starts) & 1
-    win = np.ones(len(at), bool)
-    before = order[joined - 1] < order[joined]
-    win[joined[before]] = False
-    win[joined[~before] - 1] = False
-    at, rank = at[win], rank[win] - 1
-    times = np.bincount(rank, minlength=len(chosen))
-    good = times >= least
-    return rank[good[rank]], at[good[rank]]
+    keep = keep[np.argsort(-count[keep], kind="stable")[:most]]
+    return at[keep], count[keep], top, level
+
+
+def _replace(length: int, places, begin, count, least):
+    """(rank of the pair, ascending place) of the occurrences to replace; pairs left with too few are given up.
+
+    The pair of rank i stands at places[begin[i] : begin[i] + count[i]]; length: of the sequence.
+    """
+    none = np.int32(len(begin))
+    places, ranks = places[ranges(begin, count)], np.repeat(np.arange(len(begin), dtype=np.int32), count)
+    back = None
+    if 8 * len(places) < length:  # few: places drawn together, with one between those that are not neighbours
+        order = np.argsort(places)
+        back, ranks = places[order], ranks[order]
+        places = np.cumsum(np.minimum(np.diff(back, prepend=back[:1]), 2))
+        length = int(places[-1]) + 1
+    rank = np.full(length + 1, none, np.int32)  # of the pair that begins at a place; one more stands before the first and behind the last
+    rank[places] = ranks
+    # overlapping neighbours: the better rank stays; in runs of equal ones every second
+    own, before = rank[:-1], np.concatenate((rank[-1:], rank[:-2]))
+    equal = np.flatnonzero((own == before) & (own != none))
+    win = own < before
+    win &= own <= rank[1:]
+    if len(equal):
+        new = np.flatnonzero(np.diff(equal, prepend=-2) != 1)
+        starts = np.repeat(equal[new] - 1, np.diff(np.append(new, len(equal))))  # where each one's run begins
+        size = np.repeat(np.diff(np.append(new, len(equal))) + 1, np.diff(np.append(new, len(equal))))
+        nth = equal - starts
+        # an even one yields to neither equal neighbour, the last one to a better pair behind it
+        win[equal] = (nth % 2 == 0) & ((nth + 1 < size) | (own[equal] < rank[equal + 1]))
+    win &= own != none
+    at = np.flatnonzero(win)
+    rank = own[at]
+    good = np.bincount(rank, minlength=len(begin)) >= least
+    if not good.all():
+        good = good[rank]
+        at, rank = at[good], rank[good]
+    return rank, at if back is None else back[np.searchsorted(places, at)]
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 3):
@@ -109,17 +117,14 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 3):
         inner = np.ones(len(seq) - 1, bool)  # whether a pair begins here: not at a document's last symbol
         inner[end[:-1]] = False
         whole = fresh is None
-        if whole:
-            keys = _pairs(seq[:-1], seq[1:])[inner]
-        else:
+        if not whole:
             near = np.zeros(len(seq) + 1, bool)
             near[fresh] = near[fresh - 1] = True  # the place before the first one is the last, which is of no pair
-            near = np.flatnonzero(near[: len(inner)] & inner)
-            keys = _pairs(seq[near], seq[near + 1])
-        chosen, top, level = _frequent(keys, level, least, (1 << SYMBOL_BITS) - symbols)
-        rank, at = chosen, chosen
-        if len(chosen):
-            rank, at = _replace(seq, _candidates(seq, inner, chosen, symbols) if whole else near, chosen, level)
+            inner &= near[: len(inner)]
+        keys, places, bits = _order(seq, np.flatnonzero(inner), symbols)
+        begin, count, top, level = _frequent(keys, level, least, (1 << SYMBOL_BITS) - symbols)
+        chosen = keys[begin]
+        rank, at = _replace(len(seq), places, begin, count, level) if len(chosen) else (begin, begin)
         few = 50 * len(rank) < len(seq)
         last = whole and level == least and 1000 * len(rank) < len(seq)
         if few and level > least:
@@ -138,7 +143,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 3):
         number = np.zeros(len(chosen), np.uint32)
         number[used] = symbols + np.arange(len(used))
         symbols += len(used)
-        rules.append(np.stack((chosen[used] >> SYMBOL_BITS, chosen[used] & ((1 << SYMBOL_BITS) - 1)), 1))
+        rules.append(np.stack((chosen[used] >> np.uint64(bits), chosen[used] & np.uint64((1 << bits) - 1)), 1).astype(np.int64))
         seq[at] = number[rank]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -151,10 +156,14 @@ def compress(ids: np.ndarray, sizes: np.ndarray, base: int, least: int = 3):
 
 
 def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    length = [1] * (base + 1)
-    for a, b in rules.tolist():
-        length.append(length[a] + length[b])
-    return np.array(length, np.int64)
+    length = np.ones(base + 1 + len(rules), np.int64)
+    later = rules.max(1, initial=0) - (base + 1)  # the last rule that a rule needs
+    at = 0
+    while at < len(rules):  # all that need none from `at` on
+        to = at + int(np.argmax(np.append(later[at:] >= at, True)))
+        length[base + 1 + at : base + 1 + to] = length[rules[at:to]].sum(1)
+        at = to
+    return length
 
 
 def _packed(values: np.ndarray) -> bytes:

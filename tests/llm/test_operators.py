@@ -655,6 +655,63 @@ def test_word_encoder_of_another_tokenizer():
     assert tokens.WordEncoder(tokens.read_tokenizer(tokens.default_path())).by_word
 
 
+def test_word_encoder_keeps_the_ids_of_many_words():
+    """Latin-1 words by the model alone, words that share a slot, and all of them again after the encoder forgot them."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    letters = "abcdefghijABCXYZ\u00e9\u00c9\u00df\u00b5\u00aa\u00ff\u0178\u01c5"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(4000)) for _ in range(3)]
+    encoder = tokens.WordEncoder(tokens.read_tokenizer(tokens.default_path()))
+    assert encoder.model is not None
+    whole = Tokenizer.from_file(tokens.default_path())
+    want = [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+    most, tokens.MOST_WORDS = tokens.MOST_WORDS, 6000
+    try:
+        for text, ids in [*zip(texts, want), *zip(texts, want)]:
+            assert encoder.encode(next(tb.blocks(pa.array([text]))))[0].tolist() == ids
+    finally:
+        tokens.MOST_WORDS = most
+    # the vocabulary is looked through once, not for each block
+    encoder.tokenizer = None
+    assert encoder.size_of_vocabulary() == 1 + max(whole.get_vocab(with_added_tokens=True).values())
+
+
+def _plain_round(seq, pairs, least):
+    """(rank, place) of the pairs to replace, place by place: a better neighbour wins, of a run of equal pairs every second."""
+    rank = {p: k for k, p in enumerate(pairs)}
+    at = [rank.get(p, 99) for p in zip(seq, seq[1:])]
+    order, run = [], 0
+    for i, r in enumerate(at):
+        run = run + 1 if i and at[i - 1] == r else 0
+        order.append(2 * r + (run & 1))
+    get = lambda i: order[i] if 0 <= i < len(order) else 999
+    won = [(r, i) for i, r in enumerate(at) if r < 99 and get(i) < get(i - 1) and get(i) < get(i + 1)]
+    times = [sum(r == k for r, _ in won) for k in range(99)]
+    return [(r, i) for r, i in won if times[r] >= least]
+
+
+@pytest.mark.parametrize("symbols", [3, 200])
+def test_repair_round_equals_the_plain_one(symbols):
+    """Also where only few places are looked at, and where key and place do not fit into 64 bits together."""
+    rng = np.random.default_rng(symbols)
+    for n in (2, 9, 40, 3000):
+        seq = rng.integers(0, symbols, n).astype(np.uint32)
+        for known in (symbols, 1 << 30):
+            keys, places, bits = repair._order(seq, np.arange(n - 1), known)
+            begin, count, _, _ = repair._frequent(keys, 2, 2, 6)
+            if len(begin):
+                pairs = [(int(k) >> bits, int(k) & ((1 << bits) - 1)) for k in keys[begin]]
+                rank, at = repair._replace(n, places, begin, count, 2)
+                assert list(zip(rank.tolist(), at.tolist())) == _plain_round(seq.tolist(), pairs, 2)
+
+
+def test_repair_lengths():
+    rules = np.array([[0, 1], [5, 5], [6, 2], [5, 0], [8, 7], [9, 9]])  # base 4, its end 4
+    assert repair._lengths(rules, 4).tolist() == [1] * 5 + [2, 4, 5, 3, 8, 16]
+    assert repair._lengths(np.zeros((0, 2), np.int64), 2).tolist() == [1, 1, 1]
+
+
 # 10: n-gram join
 
 
