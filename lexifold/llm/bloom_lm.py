@@ -47,6 +47,7 @@ BITS = 1.5  # of the filter for a hash function's bit: about half of all bits ar
 HOT = 1024
 HEAD = 1 << 18
 BUCKET_TOKENS = 2_000_000
+WORD_SLOTS, PAIR_SLOTS = 19, 20  # bits: answers of the filter that a worker remembers
 HELD = 1 << 21  # distinct keys that a map task holds before it sends them
 
 SECOND = tb.mix(np.arange(1001, 1257, dtype=U64) * U64(0xA24BAED4963EE407))
@@ -86,6 +87,14 @@ class Tokens:
         if second:
             more = tb.span_hash(tb.prefix_sums(block.buf, SECOND), starts, ends) >> U64(33)
             self.more = np.insert(more, first[1:], 0)
+        self._distinct = None
+
+    def distinct(self):
+        """(distinct hashes in order, the first place of each, each token's index in them)."""
+        if self._distinct is None:
+            words, at, back = np.unique(self.hashes, return_index=True, return_inverse=True)
+            self._distinct = words, at, back.reshape(-1)
+        return self._distinct
 
 
 class Keys:
@@ -160,6 +169,36 @@ def segment(items: np.ndarray, codes: np.ndarray, hashes: int = HASHES) -> tuple
     return bits, np.packbits(flags).tobytes()
 
 
+class Remembered:
+    """Answers for items asked before, one in each slot; the one with the greater first code stays, as it took the most probes."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.items = np.zeros(1 << bits, U64)
+        self.items[0] = 1  # 0 belongs into slot 0, 1 does not
+        self.codes: list[np.ndarray] = []
+
+    def look_up(self, items: np.ndarray, ask) -> np.ndarray:
+        """The rows of ask(indices) for all items, which are distinct."""
+        slot = ((items * U64(tb.BASE)) >> U64(64 - self.bits)).astype(np.int64)
+        other = np.flatnonzero(self.items[slot] != items)
+        if not self.codes:
+            found = ask(other)
+            self.codes = [np.zeros(1 << self.bits, np.uint8) for _ in found]
+        elif len(other):
+            found = ask(other)
+        out = np.stack([c[slot] for c in self.codes])
+        if len(other):
+            out[:, other] = found
+            better = np.flatnonzero(found[0] >= self.codes[0][slot[other]])
+            at, mine = slot[other[better]], items[other[better]]
+            self.items[at] = mine
+            stay = self.items[at] == mine  # of two for a slot
+            for c, row in zip(self.codes, found):
+                c[at[stay]] = row[better[stay]]
+        return out
+
+
 class Group:
     """Segments of the filter that are in memory together."""
 
@@ -174,6 +213,13 @@ class Group:
             parts.append(np.frombuffer(data, np.uint8))
             at += len(data)
         self.data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        self.memory: dict[str, Remembered] = {}  # of the worker that has the group
+
+    def remembered(self, items: np.ndarray, name: str, slot_bits: int, ask) -> np.ndarray:
+        """ask(indices of items), with what was asked under this name before answered from memory."""
+        if name not in self.memory:
+            self.memory[name] = Remembered(slot_bits)
+        return self.memory[name].look_up(items, ask)
 
     def look_up(self, items: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """The codes of items; 0 also where the bucket is in another group. Fastest where the buckets ascend."""
@@ -183,11 +229,16 @@ class Group:
         while len(live) and level < 255:
             a, b = _halves(items[live], level)
             bits, begin = self.bits[bucket[live]], self.begin[bucket[live]]
+            held = None  # of these, those that no hash function has ruled out; those ruled out go once they are a quarter
             for i in range(self.hashes):
                 place = _place(a, b, i, bits).astype(np.int64)
-                yes = np.flatnonzero((self.data[begin + (place >> 3)] << (place & 7).astype(np.uint8)) & 128)
-                if len(yes) < len(live):
-                    live, a, b, bits, begin = live[yes], a[yes], b[yes], bits[yes], begin[yes]
+                yes = ((self.data[begin + (place >> 3)] << (place & 7).astype(np.uint8)) & 128).view(bool)
+                held = yes if held is None else held & yes
+                if i + 1 == self.hashes:
+                    live = live[held]
+                elif 4 * np.count_nonzero(held) < 3 * len(held):
+                    live, a, b, bits, begin = live[held], a[held], b[held], bits[held], begin[held]
+                    held = None
             out[live] = level
             level += 1
         return out
@@ -385,17 +436,16 @@ class BloomLM:
         front = rows.schema.fields[:columns]
 
         def codes_of(t: Tokens, group: Group, known):
-            words, back = np.unique(np.append(t.hashes, START), return_inverse=True)
+            words, _, back = t.distinct()
             context = keys.contexts(words)  # ascend with the words, but for hot ones
+            plain = np.flatnonzero(~keys.is_hot(words) & (words != END))
+            context, of_words = context[plain], np.zeros((2, len(words)), np.uint8)
             bucket = keys.bucket(context << U64(keys.low))
-            plain = ~keys.is_hot(words) & (words != END)
-            count, kinds = np.zeros(len(words), np.uint8), np.zeros(len(words), np.uint8)
-            count[plain] = group.look_up(context[plain] ^ COUNT, bucket[plain])
-            kinds[plain] = group.look_up(tb.mix(context[plain] ^ KINDS), bucket[plain])
+            of_words[:, plain] = group.remembered(context, "words", WORD_SLOTS, lambda i: np.stack((group.look_up(context[i] ^ COUNT, bucket[i]), group.look_up(tb.mix(context[i] ^ KINDS), bucket[i]))))
             # a bucket's look-ups together: its segment stays in the processor's cache
             pairs, where = np.unique(keys.pairs(t.before, t.hashes), return_inverse=True)
-            back = back.reshape(-1)[:-1]
-            found = np.concatenate((count[back], kinds[back], group.look_up(pairs ^ PAIR, keys.bucket(pairs))[where.reshape(-1)])).reshape(3, -1)
+            of_pairs = group.remembered(pairs, "pairs", PAIR_SLOTS, lambda i: group.look_up(pairs[i] ^ PAIR, keys.bucket(pairs[i]))[np.newaxis])
+            found = np.concatenate((of_words[:, back], of_pairs[:, where.reshape(-1)]))
             return np.maximum(found, known) if known is not None else found
 
         def run(batches):
@@ -431,11 +481,10 @@ class BloomLM:
             p = np.where(n > 0, (both + kinds * p) / np.maximum(n + kinds, 1), p)
             score = tb.segment_sums(np.log10(p), t.first)
             # exact counts of the head's words
-            words, where, back = np.unique(t.hashes, return_index=True, return_inverse=True)
+            words, where, back = t.distinct()
             place = np.minimum(np.searchsorted(head_a, words), max(len(head_a) - 1, 0))
             known = (head_a[place] == words) & (head_b[place] == t.more[where]) if len(head_a) else np.zeros(len(words), bool)
             exact = np.where(known, head_n[place], 0) if len(head_a) else np.zeros(len(words), np.int64)
-            back = back.reshape(-1)
             inside = known[back]
             base = tb.segment_sums(np.where(inside, np.log10((exact[back] + 0.5) / every), 0.0), t.first)
             # others by text and word

@@ -140,3 +140,46 @@ def test_empty_tables(spark):
     assert lm.report(frame(spark, [])).count() == 0
     (row,) = [r for r in lm.report(frame(spark, [(next(i for i in range(99) if held(i)), "only held out")])).collect()]
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (4, 0, 0, 0.0, 0.0)
+
+
+def test_answers_are_remembered_and_stay_right():
+    """Slots that many items share, the item 0, several rows of codes: always the filter's answers, and frequent items are not asked again."""
+    rng = np.random.default_rng(4)
+    items = np.append(np.uint64(0), lm.tb.mix(np.arange(1, 3000, dtype=np.uint64)))
+    codes = rng.integers(0, 30, (2, 3000)).astype(np.uint8)
+    for bits in (1, 4, 11, 20):
+        held, asked = lm.Remembered(bits), []
+        for _ in range(12):
+            some = rng.permutation(3000)[: rng.integers(0, 900)]
+
+            def ask(i, some=some):
+                asked.extend(some[i].tolist())
+                return codes[:, some[i]]
+
+            assert (held.look_up(items[some], ask) == codes[:, some]).all()
+        if bits == 20:
+            assert len(asked) < 1.01 * len(set(asked)) + 5
+        if bits == 4:  # of those that share a slot the one that takes the most probes stays
+            assert held.codes[0].min() == 29 or held.codes[0].mean() > 27
+
+
+def test_probes_give_what_one_by_one_gives():
+    rng = np.random.default_rng(6)
+    items = lm.tb.mix(np.arange(30000, dtype=np.uint64))
+    codes = lm.code(rng.zipf(1.5, 20000).clip(1, 10**6))
+    bits, data = lm.segment(items[:20000], codes)
+    group, found = lm.Group(1, [(0, bits, data)]), np.zeros(30000, int)
+    flags = np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)
+    for level in range(1, 60):
+        yes = found == level - 1
+        a, b = lm._halves(items, level)
+        for i in range(lm.HASHES):
+            yes &= flags[lm._place(a, b, i, np.uint64(bits)).astype(np.int64)]
+        found[yes] = level
+    assert (group.look_up(items, np.zeros(30000, np.int64)) == found).all()
+    # a second question about the same items asks the filter nothing
+    asked = []
+    for _ in range(2):
+        got = group.remembered(items[:50], "x", 20, lambda i: (asked.append(len(i)), group.look_up(items[:50][i], np.zeros(len(i), np.int64))[np.newaxis])[1])
+        assert (got[0] == found[:50]).all()
+    assert sum(asked) == 50
