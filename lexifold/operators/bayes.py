@@ -1,7 +1,8 @@
 """Multinomial naive Bayes over hashed features of texts: languages by character triples, sentiment by words.
 
 Fitting is one aggregation: tasks count features by label and feature number
-over whole texts, and the counts are summed. Scoring gathers, for all features of
+over whole texts, and the counts are summed. Texts are taken some at a time, as
+one array of code points. Scoring gathers, for all features of
 a text, the logarithms of (count + 1) / (all counts of the label + features) and
 sums them. A model has one number for each label and feature, so its size is
 bounded, and so is its broadcast.
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .graph import written
 
 MOST_LABELS = 256
 
@@ -29,34 +31,69 @@ _ASCII_WORD = np.array([chr(i).isalnum() for i in range(128)])
 _LOWER = np.array([ord(chr(i).lower()) for i in range(128)], np.uint64)
 
 
-def triples(codes: np.ndarray, bits: int) -> np.ndarray:
-    c = codes.astype(np.uint64)
-    return ((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) & np.uint64((1 << bits) - 1)).astype(np.int64) if len(c) > 2 else np.zeros(0, np.int64)
-
-
-def words(codes: np.ndarray, bits: int) -> np.ndarray:
+def triples(codes: np.ndarray, bits: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features of texts, their number in each); codes: the texts' characters, size of them each."""
+    if len(codes) < 3:
+        return np.zeros(0, np.uint32), np.zeros(len(size), np.int64)
+    c = codes.astype(np.uint32)  # 993 times the last code point is below 2 ** 31
+    f = c[:-2] * np.uint32(961)
+    f += c[1:-1] * np.uint32(31)
+    f += c[2:]
+    f &= np.uint32((1 << bits) - 1)
+    inside = np.ones(len(f), bool)
+    ends = np.cumsum(size)
+    for back in (1, 2):  # no triple begins with a text's last two characters
+        at = ends - back
+        at = at[(size >= back) & (at < len(f))]
+        inside[at] = False
+    return f[inside], np.maximum(size - 2, 0)
+
+
+def words(codes: np.ndarray, bits: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As triples."""
     c = codes.astype(np.uint64)
     low = c < 128
     inside = ~low
     inside[low] = _ASCII_WORD[c[low]]
     c[low] = _LOWER[c[low]]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    size = ends - starts
-    if not len(size):
-        return np.zeros(0, np.int64)
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    left = np.repeat(size, size) - 1 - place
-    power = np.cumprod(np.concatenate(([1], np.full(int(size.max()) - 1, 31))).astype(np.uint64), dtype=np.uint64)
-    sums = np.add.reduceat(c[inside] * power[left], np.cumsum(size) - size)
-    return (sums & np.uint64((1 << bits) - 1)).astype(np.int64)
+    # a text's first character goes on with no word
+    ends = np.cumsum(size)
+    first = np.zeros(len(c) + 1, bool)
+    first[ends - size] = True
+    before = np.concatenate(([False], inside[:-1])) if len(c) else inside
+    starts = np.flatnonzero(inside & (~before | first[:-1]))
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(len(size), np.int64)
+    after = np.concatenate((inside[1:], [False]))
+    length = np.flatnonzero(inside & (~after | first[1:])) + 1 - starts
+    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    left = np.repeat(length, length) - 1 - place
+    power = np.cumprod(np.concatenate(([1], np.full(int(length.max()) - 1, 31))).astype(np.uint64), dtype=np.uint64)
+    sums = np.add.reduceat(c[inside] * power[left], np.cumsum(length) - length)
+    n = np.searchsorted(starts, ends) - np.searchsorted(starts, ends - size)
+    return (sums & np.uint64((1 << bits) - 1)).astype(np.int64), n
 
 
 FEATURES = {"triples": triples, "words": words}
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _blocks(texts: list, most: int = 1 << 20):
+    """(low, high) of texts that have some `most` characters together, one at least."""
+    low, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n >= most:
+            yield low, i + 1
+            low, n = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
+def _features(kind: str, bits: int, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all texts, their number in each); null has none."""
+    texts = [t or "" for t in texts]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return FEATURES[kind](codes, bits, np.array([len(t) for t in texts], np.int64))
 
 
 class Bayes:
@@ -73,10 +110,14 @@ class Bayes:
         def run(batches):
             counts: dict = {}
             for batch in batches:
-                for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if name not in counts:
-                        counts[name] = np.zeros(1 << bits, np.int64)
-                    counts[name] += np.bincount(FEATURES[kind](_codes(t), bits), minlength=1 << bits)
+                texts, names = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
+                for low, high in _blocks(texts):
+                    f, n = _features(kind, bits, texts[low:high])
+                    mine = names[low:high]
+                    for name in set(mine):
+                        if name not in counts:
+                            counts[name] = np.zeros(1 << bits, np.int64)
+                        counts[name] += np.bincount(f[np.repeat(mine == name, n)], minlength=1 << bits)
             for name, n in counts.items():
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["label", "feature", "n"])
@@ -86,6 +127,7 @@ class Bayes:
 
     def weights(self, model: DataFrame) -> tuple[list[str], np.ndarray]:
         """(labels in order, their log probabilities of features)."""
+        model = written(model)  # else it would be fitted twice
         if model.select("label").distinct().count() > MOST_LABELS:
             raise ValueError(f"more than {MOST_LABELS} labels")
         found = model.toArrow()
@@ -107,25 +149,30 @@ class Bayes:
         sent = df.sparkSession.sparkContext.broadcast(weights)
         kind, bits = self.kind, self.bits
         keep = [c for c in df.columns if c not in (out, confidence)]
-        source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__bayes_in"))
-        schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.StringType()), T.StructField(confidence, T.DoubleType())])
+        replaced = [] if text in keep else [F.col(f"`{text}`").alias("__bayes_in")]
+        source = df.select(*[F.col(f"`{c}`") for c in keep], *replaced)
+        at = keep.index(text) if text in keep else len(keep)
+        schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField(out, T.StringType()), T.StructField(confidence, T.DoubleType())])
 
         def run(batches):
             w = sent.value
             for batch in batches:
+                texts = batch.column(at).to_pylist()
                 names, shares = [], []
-                for t in batch.column(batch.num_columns - 1).to_pylist():
-                    f = FEATURES[kind](_codes(t), bits) if t else ()
-                    if not len(f) or not labels:
-                        names.append(None)
-                        shares.append(None)
-                        continue
-                    at, n = np.unique(f, return_counts=True)
-                    s = w[:, at] @ n
-                    best = int(np.argmax(s))
-                    names.append(labels[best])
-                    shares.append(1 / float(np.exp(np.maximum(s - s[best], -700)).sum()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(shares, pa.float64())], [*batch.schema.names[:-1], out, confidence])
+                for low, high in _blocks(texts):
+                    f, n = _features(kind, bits, texts[low:high])
+                    known = np.flatnonzero(n) if labels else n[:0]
+                    guess, share = np.full(high - low, None, object), np.full(high - low, None, object)
+                    if len(known):
+                        starts = (np.cumsum(n) - n)[known]
+                        s = np.stack([np.add.reduceat(row[f], starts) for row in w])
+                        best = s.argmax(0)
+                        guess[known] = np.array(labels, object)[best]
+                        share[known] = 1 / np.exp(np.maximum(s - s.max(0), -700)).sum(0)
+                    names.extend(guess)
+                    shares.extend(share)
+                left = [batch.column(i) for i in range(len(schema) - 2)]
+                yield pa.RecordBatch.from_arrays([*left, pa.array(names, pa.string()), pa.array(shares, pa.float64())], schema.names)
 
         return source.mapInArrow(run, schema)
 

@@ -130,20 +130,21 @@ def _guessed(df: DataFrame, ctx: Context | None):
     from . import bayes
 
     model = ctx.named.get("language_model") if ctx else None
-    script = text.script_language("content")
+    df, n = text.with_script_counts(df)
+    script = text.script_language("content", n)
     if model is None:
         df = df.withColumn("__guess", text.detect_language("content")).withColumn("__share", F.lit(None).cast("double"))
     else:
         df = bayes.LANGUAGES.score(df, model, "content", "__guess", "__share")
-    share = F.coalesce(text.script_share("content"), F.col("__share"), F.lit(0.5))
-    return df, F.coalesce(script, F.col("__guess"), F.lit("en")), share
+    share = F.coalesce(text.script_share("content", n), F.col("__share"), F.lit(0.5))
+    return df, F.coalesce(script, F.col("__guess"), F.lit("en")), share, [f"__n_{k}" for k in n]
 
 
 @stage("LanguageDetect")
 def language_detect(df: DataFrame, ctx: Context = None) -> DataFrame:
     """lang where it is empty or "auto": by script, and for other texts by likelihood (see bayes; the model is the context's table language_model)."""
     columns = df.columns
-    df, found, _ = _guessed(df, ctx)
+    df, found, _, _ = _guessed(df, ctx)
     known = F.col("lang").isNotNull() & ~F.col("lang").isin("", "auto")
     return df.withColumn("lang", F.when(known, F.col("lang")).otherwise(found)).select(*columns)
 
@@ -151,8 +152,8 @@ def language_detect(df: DataFrame, ctx: Context = None) -> DataFrame:
 @stage("PDFLanguageDetect")
 def pdf_language_detect(df: DataFrame, ctx: Context = None) -> DataFrame:
     """lang as in LanguageDetect; lang_confidence: the share of the script's characters, or of the language's likelihood (0.5 without a model)."""
-    df, found, share = _guessed(df, ctx)
-    return df.withColumn("lang_confidence", share).withColumn("lang", found).drop("__guess", "__share")
+    df, found, share, n = _guessed(df, ctx)
+    return df.withColumn("lang_confidence", share).withColumn("lang", found).drop("__guess", "__share", *n)
 
 
 # fixed values: frequent traditional characters, each followed by its simplified form
