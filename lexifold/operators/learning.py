@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LOCAL_WORDS = 1 << 17
+
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """(id, cluster, x, y): k-means of v and its first two principal components."""
@@ -20,12 +22,23 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
 
 
 def topics(df: DataFrame, k: int, tokens: str = "tokens", vocabulary: int = 0, iterations: int = 5, words: int = 10, seed: int = 1):
-    """(rows (id, topic), topics (topic, terms)): LDA over token counts. vocabulary: only the most frequent words (0: all)."""
+    """(rows (id, topic), topics (topic, terms)): LDA over token counts. vocabulary: only the most frequent words (0: all).
+
+    Spark's library holds the vocabulary and the topics' weights in the driver, so
+    beyond LOCAL_WORDS words of all the weights are a table (operators.topics).
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
-    size = vocabulary or max(1, df.select(F.explode(tokens).alias("term")).distinct().count())
+    from .graph import written
+    from .topics import Topics, term_counts
+
+    counted = None if vocabulary else written(term_counts(df, tokens))
+    size = vocabulary or max(1, counted.count())
+    if not vocabulary and size > LOCAL_WORDS:
+        found = Topics(df, k, tokens, iterations, seed, counted=counted)
+        return found.assigned(), found.described(words)
     cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=size, minDF=1).fit(df)
     rows = cv.transform(df).select("id", "features")
     model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="features").fit(rows)
