@@ -27,7 +27,7 @@ from .graph import written
 
 HEAD = 1 << 17
 SHARE, TAU, KAPPA, SHAPE = 0.05, 1024, 0.51, 100.0
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def digamma(x):
